@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandlake.llm.decontaminate import op1_decontaminate
+from strandlake.llm.packing import op3_pack
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_pack": op3_pack}
 ORACLE_SQL: dict[str, str] = {}
