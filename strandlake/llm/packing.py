@@ -115,6 +115,30 @@ def best_fit(lengths: np.ndarray, members: list[int], capacity: int) -> list[lis
     return [b for at in places for b in at]
 
 
+def placing(level: int, last: bool, capacity: int):
+    """The function that packs one group."""
+
+    def place(batch: pd.DataFrame) -> pd.DataFrame:
+        lengths = batch["length"].to_numpy()
+        closed, open_ = sum_of_squares(lengths, capacity)
+        left = [i for b in open_ for i in b]
+        if last:
+            closed, left = closed + best_fit(lengths, left, capacity), []
+        order = [i for b in closed for i in b]
+        size = np.array([len(b) for b in closed], np.int64)
+        number = np.repeat(np.arange(len(closed)), size)
+        used = lengths[order]
+        at = np.cumsum(used) - used
+        offset = at - np.repeat(at[np.cumsum(size) - size], size) if len(order) else at
+        out = batch.iloc[order + left].drop(columns="_group")
+        base = (level << 56) + (int(batch["_group"].iloc[0]) << 24)
+        out["sequence_id"] = pd.array([*(base + number), *[None] * len(left)], "Int64")
+        out["offset"] = pd.array([*offset, *[None] * len(left)], "Int64")
+        return out
+
+    return place
+
+
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_pieces: int = GROUP) -> DataFrame:
     """The pieces (a column ``length`` from 1 to capacity, any others) with their sequence_id and offset."""
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
@@ -126,26 +150,8 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_pieces: int = GRO
         groups = -(-n // group_pieces)
         last = groups == 1
 
-        def place(batch: pd.DataFrame, level=level, last=last) -> pd.DataFrame:
-            lengths = batch["length"].to_numpy()
-            closed, open_ = sum_of_squares(lengths, capacity)
-            left = [i for b in open_ for i in b]
-            if last:
-                closed, left = closed + best_fit(lengths, left, capacity), []
-            order = [i for b in closed for i in b]
-            size = np.array([len(b) for b in closed], np.int64)
-            number = np.repeat(np.arange(len(closed)), size)
-            used = lengths[order]
-            at = np.cumsum(used) - used
-            offset = at - np.repeat(at[np.cumsum(size) - size], size) if len(order) else at
-            out = batch.iloc[order + left].drop(columns="_group")
-            base = (level << 56) + (int(batch["_group"].iloc[0]) << 24)
-            out["sequence_id"] = pd.array([*(base + number), *[None] * len(left)], "Int64")
-            out["offset"] = pd.array([*offset, *[None] * len(left)], "Int64")
-            return out
-
         dealt = rest.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-        packed = stored(dealt.groupBy("_group").applyInPandas(place, schema))
+        packed = stored(dealt.groupBy("_group").applyInPandas(placing(level, last, capacity), schema))
         done.append(packed.where("sequence_id is not null"))
         rest = packed.where("sequence_id is null").drop("sequence_id", "offset")
         level, n = level + 1, 0 if last else rest.count()
