@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandlake.llm.decontaminate import op1_decontaminate
 from strandlake.llm.near_duplicates import op7_near_duplicates
 from strandlake.llm.packing import op3_pack
+from strandlake.llm.substring_dedup import op2_substring_dedup
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_pack": op3_pack, "op7_near_duplicates": op7_near_duplicates}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_substring_dedup": op2_substring_dedup, "op3_pack": op3_pack, "op7_near_duplicates": op7_near_duplicates}
 ORACLE_SQL: dict[str, str] = {}
