@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from strandlake.llm.decontaminate import op1_decontaminate
+from strandlake.llm.html_text import op6_extract
 from strandlake.llm.near_duplicates import op7_near_duplicates
 from strandlake.llm.packing import op3_pack
 from strandlake.llm.quality import op10_quality
 from strandlake.llm.substring_dedup import op2_substring_dedup
 from strandlake.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_pack, op7_near_duplicates, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_pack, op6_extract, op7_near_duplicates, op9_toxicity, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
