@@ -7,8 +7,10 @@ from strandlake.llm.html_text import op6_extract
 from strandlake.llm.near_duplicates import op7_near_duplicates
 from strandlake.llm.packing import op3_pack
 from strandlake.llm.quality import op10_quality
+from strandlake.llm.secrets_scan import op5_secrets
 from strandlake.llm.substring_dedup import op2_substring_dedup
 from strandlake.llm.toxicity import op9_toxicity
+from strandlake.llm.url_filter import op8_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_pack, op6_extract, op7_near_duplicates, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_pack, op5_secrets, op6_extract, op7_near_duplicates, op8_url_filter, op9_toxicity, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
