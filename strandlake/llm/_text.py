@@ -166,6 +166,21 @@ def over_texts(df: DataFrame, columns: dict[str, str], schema: str, work: Callab
     return df.select(*[F.col(quoted(v)).alias(k) for k, v in columns.items()]).mapInArrow(run, schema)
 
 
+def filter_texts(df: DataFrame, text: str, work: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows that the function of a task keeps, judged by their texts chunk by chunk, with all columns."""
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = work()
+        for batch in batches:
+            named = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
+            for part in chunks(named, f"c{place}"):
+                kept = part.filter(pa.array(f(part[f"c{place}"])))
+                yield pa.RecordBatch.from_arrays(kept.columns, schema=batch.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._text import ALNUM_LOWER, Words, over_texts, quoted, rolled, same_row
+from strandlake.llm._text import ALNUM_LOWER, Words, filter_texts, over_texts, quoted, rolled, same_row
 
 WINDOW, GRAM = 10, 5
 INDEX_LIMIT = 8 << 20
@@ -142,17 +142,41 @@ def _output(ids: pa.Array, found: dict) -> dict:
     return {"doc_id": ids, "n_words": found["n_words"], "n_hit": found["n_hit"], "n_items": [len(x) for x in listed], "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed], "contaminated": found["n_hit"] > 0, "items": listed}
 
 
+def usable(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.col(quoted(item_id)).alias("item_id"), F.col(quoted(item_text)).alias("text")).where("item_id is not null and text is not null")
+
+
+def broadcast_index(items: DataFrame, window: int, gram: int, index_limit: int):
+    """The items' index for every executor, or None if they hold more than ``index_limit`` bytes."""
+    if items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0] > index_limit:
+        return None
+    rows = items.collect()
+    return items.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], window, gram))
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, index_limit: int = INDEX_LIMIT) -> DataFrame:
+    """The documents that hold no window of an item, with all columns."""
+    items = usable(benchmark, item_id, item_text)
+    index = broadcast_index(items, window, gram, index_limit)
+    if index is not None:
+
+        def clean(texts: pa.Array) -> np.ndarray:
+            return _verdicts(index.value, Words(texts, ALNUM_LOWER))["n_hit"] == 0
+
+        return filter_texts(documents, text, lambda: clean)
+    bad = _joined(documents, items, doc_id, text, window, gram).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    return documents.join(bad, F.col(quoted(doc_id)).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(quoted(text)), F.lit(""))) == F.col("_key")), "left_anti")
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, index_limit: int = INDEX_LIMIT) -> DataFrame:
     """A row for each document: its words, those inside windows of items, the items (sorted as strings) and whether any word is hit.
 
     window: words of a window; gram: words of a hashed k-gram; index_limit: bytes of items up to which they are broadcast.
     """
-    spark = documents.sparkSession
-    items = benchmark.select(F.col(quoted(item_id)).alias("item_id"), F.col(quoted(item_text)).alias("text")).where("item_id is not null and text is not null")
-    if items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0] > index_limit:
-        return _joined(documents, items, doc_id, text, window, gram)
-    rows = items.collect()
-    index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], window, gram))
+    items = usable(benchmark, item_id, item_text)
+    index = broadcast_index(items, window, gram, index_limit)
+    if index is None:
+        return _joined(documents, items, doc_id, text, window, gram).drop("key")
 
     def work():
         def f(batch: pa.RecordBatch) -> dict:
@@ -236,7 +260,7 @@ def _joined(documents: DataFrame, items: DataFrame, doc_id: str, text: str, wind
     out = counts.join(per_doc, counts["doc_id"].eqNullSafe(per_doc["_id"]) & (counts["key"] == per_doc["_key"]), "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), items_.alias("items"))
+    return out.select("doc_id", "key", "n_words", hit.alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), items_.alias("items"))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -157,6 +157,16 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def without_copies(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each group, that of the least id, with all columns; rows that share an id stay together.
+
+    Only the ids that go are sent to the documents: broadcast up to BROADCAST_IDS of them, else joined.
+    """
+    gone = stored(near_duplicates(documents, doc_id=doc_id, text=text, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    small = gone.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(gone) if small else gone, F.col(quoted(doc_id)) == F.col("_gone"), "left_anti")
+
+
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """All documents, linked from a similarity of 0.85 on."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm._labels import first_by_hash, fold
-from strandlake.llm._text import SPACED, Words, mix, over_texts, quoted, rolled, same_row
+from strandlake.llm._text import SPACED, Words, mix, filter_texts, over_texts, quoted, rolled, same_row
 
 MAX_ROWS, BINS, PAIR_BINS, CYCLES, PAIRS, PAIR_CYCLES = 20_000, 64, 8, 120, 6, 60
 FEATURES = ("log_words", "word_length", "upper", "symbols", "exclamations", "pipes", "digits", "punctuation", "non_ascii", "lines", "distinct_words", "repeated_windows", "capital_words", "common_share", "long_words")
@@ -207,6 +207,12 @@ def score(documents: DataFrame, model: Model, *, doc_id: str = "doc_id", text: s
     return over_texts(documents, {"doc_id": doc_id, "text": text}, "doc_id bigint, score double", work)
 
 
+def keep(documents: DataFrame, model: Model, threshold: float, *, text: str = "text") -> DataFrame:
+    """The documents of at least this score, with all columns."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(documents, text, lambda: lambda texts: held.value.score(features(texts)) >= threshold)
+
+
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     """All documents, by a model that has seen no label of fold 2."""
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
