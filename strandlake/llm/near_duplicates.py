@@ -9,9 +9,11 @@ The steps, none of which meets a whole group of copies in one task or emits a gr
 1. equal sets become one representative, the one of least doc_id (an aggregation with map-side combine);
 2. in each bucket every member is paired with the bucket's least member only; pairs whose 1-bit sketches (a bit of each
    of the 128 values) are close enough are confirmed on the full sets, and components of the confirmed links are formed;
-3. buckets that still hold several components pair members of different components, again behind the sketches, and
-   confirm on the full sets. No pair of one bucket in different components stays unjudged.
-At similarity 0.85 a sketch's distance is 9.6 of 128 bits on average with a deviation of 3; pairs up to 28 are confirmed.
+3. in buckets that still hold several components, members of different components are compared by longer sketches (2048
+   bits, computed for these documents alone) in the bucket of the first band they share, and pairs that are close enough
+   are confirmed on the full sets. No pair of one bucket in different components stays unjudged.
+At similarity 0.85 a short sketch's distance is 9.6 of 128 bits on average with a deviation of 3, and pairs up to 28 go on;
+a long one's is 154 of 2048 with a deviation of 12, and pairs up to 219 are confirmed.
 
 Cases: null or empty texts have no shingles and are linked with nothing; rows that repeat a doc_id count as one document
 if their texts are equal, else each text has its links and the id joins them; a null doc_id comes after all others.
@@ -20,6 +22,7 @@ if their texts are equal, else each text has its links and the id joins them; a
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from strandlake.llm._text import SPACED_LOWER, Words, over_texts, quoted, rolled
 from strandlake.llm.components import components
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS, SKETCH_DISTANCE = 5, 64, 25, 5, 28
+LONG_PERMUTATIONS, LONG_DISTANCE = 1024, 219
 #: Candidates' ids are broadcast to the scan of texts up to so many, else joined.
 BROADCAST_IDS = 2_000_000
 
@@ -100,18 +104,39 @@ def signatures(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return over_texts(documents, {"doc_id": doc_id, "text": text}, SIGNED, work)
 
 
+def long_sketches(documents: DataFrame, ids: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(id, l0, l1, ...): 2048 bits for each of the ids' texts."""
+    words = LONG_PERMUTATIONS * 2 // 64
+
+    def work():
+        def f(batch: pa.RecordBatch) -> dict:
+            sets = shingle_sets(Words(batch["text"], SPACED_LOWER), shingle)
+            full = [i for i, x in enumerate(sets) if len(x)]
+            bits = (mixed(min_max([sets[i] for i in full], LONG_PERMUTATIONS)) >> np.uint64(17) & np.uint64(1)).astype(bool)
+            packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(len(full), words)
+            return {"id": batch["doc_id"].take(pa.array(full, pa.int64())), **{f"l{i}": packed[:, i] for i in range(words)}}
+
+        return f
+
+    schema = "id bigint, " + ", ".join(f"l{i} bigint" for i in range(words))
+    return over_texts(texts_of(documents, ids, doc_id, text), {"doc_id": "doc_id", "text": "text"}, schema, work)
+
+
+def texts_of(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text) of the ids (one stored column doc_id): sent to the scan up to BROADCAST_IDS of them, else joined."""
+    texts = documents.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union.
 
     Only candidates' texts are read on: their ids go to the scan (up to BROADCAST_IDS of them) or are joined with it.
     """
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    n = ids.count()
-    if not n:
+    if ids.isEmpty():
         return pairs
-    texts = documents.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
-    texts = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = over_texts(texts, {"doc_id": "doc_id", "text": "text"}, "doc_id bigint, members array<bigint>", lambda: lambda b: {"doc_id": b["doc_id"], "members": [x.view(np.int64) for x in shingle_sets(Words(b["text"], SPACED_LOWER), shingle)]})
+    sets = over_texts(texts_of(documents, ids, doc_id, text), {"doc_id": "doc_id", "text": "text"}, "doc_id bigint, members array<bigint>", lambda: lambda b: {"doc_id": b["doc_id"], "members": [x.view(np.int64) for x in shingle_sets(Words(b["text"], SPACED_LOWER), shingle)]})
     sets = stored(sets)
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
@@ -143,10 +168,16 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     labelled = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = stored(labelled.join(mixed_keys, "key", "left_semi"))
+    long_ = stored(long_sketches(documents, stored(rest.select(F.col("id").alias("doc_id")).distinct()), doc_id, text, shingle))
+    words = [c for c in long_.columns if c != "id"]
+    rest = rest.join(long_, "id").join(groups.select(F.col("doc_id").alias("id"), "bands"), "id")
     x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & close("x", "y"))
-    cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    cross = stored(cross.join(stars, ["a", "b"], "left_anti"))
+    near = reduce(lambda u, v: u + v, [F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words]) <= LONG_DISTANCE
+    # a pair that shares several bands is met in the first
+    band = F.array_position("x.bands", F.col("x.key")).cast("int")
+    first_band = (band <= 1) | ~F.arrays_overlap(F.slice("x.bands", F.lit(1), band - 1), F.slice("y.bands", F.lit(1), band - 1))
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & close("x", "y") & near & first_band)
+    cross = stored(cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
     more = stored(confirmed(cross, documents, doc_id, text, shingle, percent))
     if not more.isEmpty():
         found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
