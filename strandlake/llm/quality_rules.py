@@ -138,4 +138,4 @@ def judge(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """All documents."""
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_distance", "word_distance")

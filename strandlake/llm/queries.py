@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandlake.llm.decontaminate import op1_decontaminate
 from strandlake.llm.html_text import op6_extract
 from strandlake.llm.near_duplicates import op7_near_duplicates
+from strandlake.llm.oracle import ORACLE_SQL
 from strandlake.llm.packing import op3_pack
 from strandlake.llm.quality import op10_quality
 from strandlake.llm.quality_rules import op4_quality_rules
@@ -14,4 +15,5 @@ from strandlake.llm.toxicity import op9_toxicity
 from strandlake.llm.url_filter import op8_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_pack, op4_quality_rules, op5_secrets, op6_extract, op7_near_duplicates, op8_url_filter, op9_toxicity, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

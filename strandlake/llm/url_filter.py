@@ -108,4 +108,4 @@ def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     """All pages; a page's outcome is the label of its id, bad where quality is 0 or toxic is 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), outcomes)
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), outcomes).drop("bad_rate", "bad_bound")
