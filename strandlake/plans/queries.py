@@ -44,27 +44,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dna(text: Column) -> Column:
-    return F.translate(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^ACGTUNacgtun]+", "")), "U", "T")
+def dna(text: str) -> Column:
+    return F.translate(F.upper(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^ACGTUNacgtun]+", "")), "U", "T")
 
 
-def iupac(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^ACGTURYSWKMBDHVNacgturyswkmbdhvn.:~\-]+", "")
+def iupac(text: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^ACGTURYSWKMBDHVNacgturyswkmbdhvn.:~\-]+", "")
 
 
-def residues(text: Column) -> Column:
-    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{AMINO_ACIDS}{AMINO_ACIDS.lower()}]+", ""))
+def residues(text: str) -> Column:
+    return F.upper(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[^{AMINO_ACIDS}{AMINO_ACIDS.lower()}]+", ""))
 
 
-def quality(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "[^!-~]+", "")
+def quality(text: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^!-~]+", "")
 
 
 DNA = "replace(upper(regexp_replace(coalesce(text, ''), '[^ACGTUNacgtun]+', '', 'g')), 'U', 'T')"
 SEQ = r"regexp_replace(coalesce(text, ''), '[^ACGTURYSWKMBDHVNacgturyswkmbdhvn.:~\-]+', '', 'g')"
 AA = f"upper(regexp_replace(coalesce(text, ''), '[^{AMINO_ACIDS}{AMINO_ACIDS.lower()}]+', '', 'g'))"
 QUAL = "regexp_replace(coalesce(text, ''), '[^!-~]+', '', 'g')"
-T = F.col("text")
+T = "text"
 
 
 def _windows(seq: str, k: int) -> str:
@@ -164,7 +164,7 @@ def _sql_map(m, col: str) -> str:
 
 @query("select doc_id, " + ", ".join(f"md5({_sql_map(m, 's')}) as {k}" for k, m in RECODE.items()) + f" from (select doc_id, regexp_replace(coalesce(text, ''), '[^ -~]+', '', 'g') as s from documents)")
 def recode_dna(spark, sf_dir):
-    base = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce(T, F.lit("")), "[^ -~]+", "").alias("s"))
+    base = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce(F.col(T), F.lit("")), "[^ -~]+", "").alias("s"))
     return base.select("doc_id", *[F.md5(sq.recode_dna(F.col("s"), k)).alias(k) for k in RECODE])
 
 
