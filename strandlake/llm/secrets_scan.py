@@ -126,9 +126,8 @@ class TrigramIndex:
         self.terms = sorted(set().union(*map(terms, self.queries.values()))) if rules else []
         self.place = {t: divmod(i, 63) for i, t in enumerate(self.terms)}
 
-    def postings(self, text: Column) -> Column:
-        """An array of longs: bit i of word w is set where term 63 w + i occurs."""
-        low = F.lower(text)
+    def postings(self, low: Column) -> Column:
+        """An array of longs: bit i of word w is set where the lower-case text holds term 63 w + i."""
         words = []
         for w in range(0, len(self.terms), 63):
             bits = [F.when(F.contains(low, F.lit(t)), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, t in enumerate(self.terms[w : w + 63])]
@@ -183,14 +182,15 @@ def scan(documents: DataFrame, *, text: str = "text", rules=RULES, into: str = "
         if re.fullmatch(r.pattern, ""):
             raise ValueError(f"rule {r.kind} matches the empty string")
     index = TrigramIndex(rules)
-    names = _free(documents.columns, "_text", "_bits", *(f"_rule{i}" for i in range(len(rules))))
-    base = documents.withColumn(names[0], F.coalesce(F.col(quoted(text)), F.lit(""))).withColumn(names[1], index.postings(F.col(names[0])))
+    names = _free(documents.columns, "_text", "_bits", *(f"_rule{i}" for i in range(len(rules))), "_low")
+    base = documents.withColumn(names[0], F.coalesce(F.col(quoted(text)), F.lit(""))).withColumn(names[-1], F.lower(names[0]))
+    base = base.withColumn(names[1], index.postings(F.col(names[-1]))).drop(names[-1])
     none = F.array().cast(SPAN)
     for i, r in enumerate(rules):
-        # a run of one class that is long enough is found as such; shorter ones need no place
-        quick = F.col(names[0]).rlike(_prefilter(r)) & index.candidate(r.kind, F.col(names[1]))
+        # candidates are verified first; a run of one class that is long enough is found as such, shorter ones need no place
+        quick = index.candidate(r.kind, F.col(names[1])) & F.col(names[0]).rlike(_prefilter(r))
         base = base.withColumn(names[2 + i], F.when(quick, spans_of(r, i, F.col(names[0]))).otherwise(none))
-    return base.withColumn(into, F.array_sort(F.concat(*[F.col(n) for n in names[2:]]) if rules else none)).drop(*names)
+    return base.withColumn(into, F.array_sort(F.concat(*[F.col(n) for n in names[2:-1]]) if rules else none)).drop(*names)
 
 
 def _prefilter(rule: Rule) -> str:
