@@ -8,6 +8,7 @@ row order is the end; the way back prefers to go on with a gap, then deletions,
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -162,11 +163,9 @@ def align_pair(ref: str, query: str, weights: Weights, go: int, ge: int, mode: s
 
 def rescore(ref: str, query: str, cigar: str, ref_start: int, weights: Weights, go: int, ge: int) -> int:
     """The score of an alignment from its operations alone."""
-    import re
-
     a, b, w = weights.codes(ref), weights.codes(query), weights.array()
     r, q, total = ref_start, 0, 0
-    for n, op in ((int(x), y) for x, y in re.findall(r"(\d+)([MIDNSHP=X])", cigar)):
+    for n, op in ciglets(cigar):
         if op in "M=X":
             if r + n > len(a) or q + n > len(b):
                 raise ValueError("the operations run past a sequence's end")
@@ -291,3 +290,77 @@ def parse_matrix(text: str) -> Weights:
     if len(rows) != len(alphabet):
         raise ValueError("the matrix is not square")
     return Weights(alphabet, tuple(rows), "X" if "X" in alphabet else alphabet[0])
+
+
+def ciglets(cigar: str) -> list[tuple[int, str]]:
+    return [(int(n), op) for n, op in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)]
+
+
+def sliced(cigar: str, ref_start: int, ref_end: int, query_len: int, low: int, high: int) -> tuple[int, int, str] | None:
+    """(query_start, query_end, cigar) of an alignment cut to the reference range, what is left of the query clipped.
+
+    None where the range is not all aligned; an empty range inside the alignment clips the whole query.
+    """
+    if low < ref_start:
+        return None
+    ops: list[tuple[int, str]] = []
+    ref, query, begin = ref_start, 0, None
+    for n, op in ciglets(cigar):
+        in_ref, in_query = op in "MDN=X", op in "MIS=X"
+        end = ref + n * in_ref
+        if begin is None and end > low:
+            skipped = max(low - ref, 0)
+            begin = query + skipped * in_query
+            n, ref, query = n - skipped, ref + skipped, begin
+        if begin is None:
+            ref, query = end, query + n * in_query
+            continue
+        taken = n if not in_ref else min(n, max(high - ref, 0))
+        ops.append((taken, op))
+        ref, query = ref + taken * in_ref, query + taken * in_query
+        if ref >= high:
+            break
+    if begin is None:
+        return (0, 0, run_lengths([(query_len, "S")])) if low == high and ref_start <= low <= ref_end else None
+    if ref < high:
+        return None
+    return begin, query, run_lengths([(begin, "S"), *ops, (query_len - query, "S")])
+
+
+def slice_to_ref_range(alignment: Column, low: int, high: int) -> Column:
+    """The alignment cut to a range of the reference; null where it does not cover the range. Score and lengths stay."""
+    ship()
+
+    @F.pandas_udf(ALIGNMENT)
+    def run(a: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in a.itertuples(index=False):
+            cut = None if pd.isna(r.ref_start) or r.cigar is None else sliced(r.cigar, int(r.ref_start), int(r.ref_end), int(r.query_len), low, high)
+            rows.append((None,) * 9 if cut is None else (r.status, r.score, low, high, cut[0], cut[1], cut[2], r.ref_len, r.query_len))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ALIGNMENT.split(", ")]).astype({c.split()[0]: "Int64" for c in ALIGNMENT.split(", ") if "bigint" in c})
+
+    return run(alignment)
+
+
+def verbose(ref: str, query: str, cigar: str, ref_start: int) -> str:
+    """The operations with M told apart as ``=`` and ``X`` by equal letters."""
+    out: list[tuple[int, str]] = []
+    r, q = ref_start, 0
+    for n, op in ciglets(cigar):
+        if op == "M":
+            out += [(1, "=" if a == b else "X") for a, b in zip(ref[r : r + n], query[q : q + n], strict=True)]
+        else:
+            out.append((n, op))
+        r, q = r + n * (op in "MDN=X"), q + n * (op in "MIS=X")
+    return run_lengths(out)
+
+
+def verbose_matching(ref: Column, query: Column, alignment: Column) -> Column:
+    """``verbose`` of the aligned columns."""
+    ship()
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, start: pd.Series) -> pd.Series:
+        return pd.Series([verbose(x, y, z, int(s)) if isinstance(z, str) else None for x, y, z, s in zip(a, b, c, start, strict=True)], dtype=object)
+
+    return run(ref, query, alignment["cigar"], alignment["ref_start"])

@@ -150,6 +150,20 @@ def test_align_columns(spark):
     assert rows[1]["a"]["cigar"] is None
 
 
+def test_slices_and_verbose_matching(spark):
+    assert al.sliced("4M1D10M3I18M", 0, 33, 35, 9, 27) == (8, 29, "8S6M3I12M6S")
+    assert al.sliced("5M", 2, 7, 5, 1, 4) is None
+    assert al.sliced("5M", 2, 7, 5, 3, 9) is None
+    assert al.sliced("5M", 2, 7, 5, 7, 7) == (0, 0, "5S")
+    assert al.sliced("2S5M1D4M", 3, 13, 11, 4, 10) == (3, 8, "3S4M1D1M3S")
+    assert al.verbose("ACGTA", "ACCA", "2M1D2M", 0) == "2=1D1X1="
+    df = spark.createDataFrame([("GGCCACAGGATTGAG", "CTCAGATTG")], "r string, q string")
+    a = df.withColumn("a", al.align(F.col("r"), F.col("q"), al.Weights.dna(4, -2), -3, -1))
+    row = a.select(al.slice_to_ref_range(F.col("a"), 4, 11).alias("s"), al.verbose_matching(F.col("r"), F.col("q"), F.col("a")).alias("v")).first()
+    assert (row["s"]["ref_start"], row["s"]["ref_end"]) == (4, 11)
+    assert row["v"].count("D") == 1 and "M" not in row["v"]
+
+
 def test_matrix_text():
     w = al.parse_matrix("# c\n  A B\nA 2 -1\nB -1 3\n")
     assert w.table == ((2, -1), (-1, 3))
