@@ -5,7 +5,7 @@ block-level tags. A line's ratio is its characters over the tags met in it and a
 menus, headers, footers, sidebars, forms, adverts, notices and reader comments, count as tags and not as text. The ratios
 are smoothed with a Gaussian over neighbouring lines and clustered in two by a threshold (the two means of their
 logarithms). The content region is the element that holds most text of the upper cluster's lines (an article or main
-element, else the innermost block that all of them share); its own lines are the text, short ones too, and what is marked
+element, else the innermost container that nearly all of them share); its own lines are the text, short ones too, and what is marked
 as boilerplate inside it stays out.
 
 Cases: null, empty or text-less html gives an empty text; unclosed and misnested tags are closed as the parser meets
@@ -31,6 +31,8 @@ BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 #: Words of class, id and role values that mark boilerplate.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|sponsor|sponsored|promo|promoted|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|aside|footer|header|masthead|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comment|comments|disqus|replies|widget|toolbar|pagination|pager|login|signup|search|complementary|contentinfo|alert)(?:$|[\s_-])", re.I)
 CONTENT = frozenset(("article", "main"))
+#: Elements that can be a content region; others hold a piece of text.
+CONTAINERS = frozenset("body html div section center table tbody tr td".split())
 #: An open <p> ends where one of these begins.
 ENDS_P = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "option", "summary"}
 SCOPES = frozenset("table td th button caption article section div main body".split())
@@ -177,7 +179,8 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         shared: dict[int, int] = {}
         for i in high:
             for n in lines[i][3]:
-                shared[n] = shared.get(n, 0) + len(lines[i][0])
+                if parser.kinds[n] in CONTAINERS:
+                    shared[n] = shared.get(n, 0) + len(lines[i][0])
         region = max((n for n, w in shared.items() if w * 10 >= total * 9), default=0)
         inside = [i for i in usable if not region or region in lines[i][3]]
         first, last = min(high), max(high)
