@@ -166,3 +166,41 @@ def genetic_code() -> dict[str, str]:
     return out | {"NNN": "X", "---": "-"} | {"".join(x): "." for x in product(".-", repeat=3) if "." in x}
 
 
+
+
+@dataclass(frozen=True)
+class ByteIndex:
+    """Places of characters in an alphabet; unknown ones have that of ``rest``."""
+
+    alphabet: str
+    rest: str
+    ignore_case: bool = True
+    synonyms: tuple[tuple[str, str], ...] = ()
+
+    def add_synonym(self, new: str, old: str) -> ByteIndex:
+        return ByteIndex(self.alphabet, self.rest, self.ignore_case, (*self.synonyms, (new, old)))
+
+    def _mapped(self, col: Column) -> Column:
+        out = F.upper(col) if self.ignore_case else col
+        return F.translate(out, "".join(a for a, _ in self.synonyms), "".join(b for _, b in self.synonyms)) if self.synonyms else out
+
+    def to_index(self, col: Column) -> Column:
+        """The place of a one-letter column, from 0."""
+        at = F.position(self._mapped(col), F.lit(self.alphabet))
+        return F.when(at > 0, at - 1).otherwise(self.alphabet.index(self.rest))
+
+    def in_keys(self, col: Column) -> Column:
+        return F.position(self._mapped(col), F.lit(self.alphabet)) > 0
+
+    def counts(self, col: Column) -> Column:
+        """How often each letter of the alphabet stands in a sequence, the rest counted with its letter."""
+        known = char_class(self.alphabet, negate=True)
+        text = F.regexp_replace(self._mapped(col), known, self.rest)
+        return F.array(*[F.length(F.regexp_replace(text, f"{char_class(c, negate=True)}+", "")).cast("bigint") for c in self.alphabet])
+
+
+DNA_PROFILE = ByteIndex(ACGTN, "N", synonyms=(("U", "T"),))
+DNA_UNAMBIGUOUS_PROFILE = ByteIndex(ACGT, "A", synonyms=(("U", "T"),))
+AA_PROFILE = ByteIndex(AMINO_ACIDS_X, "X")
+AA_UNAMBIGUOUS_PROFILE = ByteIndex(AMINO_ACIDS, "A")
+AA_ALL_PROFILE = ByteIndex(PROFILE_RESIDUES, "X")

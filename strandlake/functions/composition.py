@@ -85,3 +85,22 @@ def error_of_q(q: Column) -> Column:
 
 def q_of_error(p: Column) -> Column:
     return (-10 * F.log10(p)).cast("float")
+
+
+def min_median_max(col: Column) -> Column:
+    return F.struct(min_q(col).alias("min"), median_q(col).alias("median"), max_q(col).alias("max"))
+
+
+def min_geomean_max(col: Column) -> Column:
+    return F.struct(min_q(col).alias("min"), geometric_mean_q(col).alias("mean"), max_q(col).alias("max"))
+
+
+def min_average_max(col: Column) -> Column:
+    return F.struct(min_q(col).alias("min"), arithmetic_mean_q(col).alias("mean"), max_q(col).alias("max"))
+
+
+def coding_gc(col: Column) -> Column:
+    """(coding, non_coding): G and C inside and outside the first open reading frame, from ATG through the first stop in its frame."""
+    up = F.translate(F.upper(col), "U", "T")
+    frame = F.regexp_extract(up, "(?s)ATG(?:(?!TAA|TAG|TGA)...)*(?:TAA|TAG|TGA)", 0)
+    return F.struct(gc_content(frame).alias("coding"), (gc_content(up) - gc_content(frame)).alias("non_coding"))

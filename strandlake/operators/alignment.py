@@ -364,3 +364,14 @@ def verbose_matching(ref: Column, query: Column, alignment: Column) -> Column:
         return pd.Series([verbose(x, y, z, int(s)) if isinstance(z, str) else None for x, y, z, s in zip(a, b, c, start, strict=True)], dtype=object)
 
     return run(ref, query, alignment["cigar"], alignment["ref_start"])
+
+
+def read_matrix(name: str, folder: str) -> Weights:
+    """A named matrix from a folder of matrix files: the name's case, blanks, dashes and underscores do not matter."""
+    from pathlib import Path
+
+    plain = lambda x: re.sub(r"[\s_-]", "", x).lower()
+    for path in sorted(Path(folder).iterdir()):
+        if plain(path.stem if path.suffix.lower() in (".txt", ".mat") else path.name) == plain(name):
+            return parse_matrix(path.read_text())
+    raise ValueError(f"no matrix is called {name}")

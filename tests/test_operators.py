@@ -245,3 +245,36 @@ def test_queries_are_registered():
 
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert len(list(combinations(QUERIES, 1))) >= 30
+
+
+def test_generated_sequences(spark):
+    from strandlake.operators.generate import rand_sequence, random_sequences, split_mix, xoshiro
+
+    # published first numbers: SplitMix64 from 1234567, xoshiro256++ from the state 1, 2, 3, 4
+    seeds = split_mix(1234567)
+    assert [next(seeds) for _ in range(3)] == [6457827717110365317, 3203168211198807973, 9817491932198370423]
+    assert next(xoshiro(0)) == next(xoshiro(0))
+    rows = {r["id"]: r["sequence"] for r in random_sequences(spark, 20, 30, seed=7).collect()}
+    assert rows == {i: rand_sequence("ACGT", 30, 7 + i) for i in range(20)}
+    assert set("".join(rows.values())) == set("ACGT")
+
+
+def test_byte_index_and_matrices(spark, tmp_path):
+    from strandlake.functions.alphabets import AA_PROFILE, DNA_PROFILE, ByteIndex
+    from strandlake.functions.composition import coding_gc, min_average_max, min_geomean_max, min_median_max
+
+    df = spark.createDataFrame([("u",), ("C",), ("?",)], "c string")
+    assert [r[0] for r in df.select(DNA_PROFILE.to_index(F.col("c"))).collect()] == [3, 1, 4]
+    assert [r[0] for r in df.select(DNA_PROFILE.in_keys(F.col("c"))).collect()] == [True, True, False]
+    row = spark.createDataFrame([("ACCu?n", "&RV", "ccATGGCGTAAg")], "s string, q string, g string").select(DNA_PROFILE.counts(F.col("s")), min_median_max(F.col("q")), min_geomean_max(F.col("q")), min_average_max(F.col("q")), coding_gc(F.col("g"))).first()
+    assert row[0] == [1, 2, 0, 1, 2]
+    assert tuple(row[1]) == (5, 49.0, 53)
+    assert row[2]["mean"] == pytest.approx(107 / 3, abs=1e-4)
+    assert 5 < row[3]["mean"] < 10
+    assert tuple(row[4]) == (4, 3)
+    assert ByteIndex("AB", "A", False).add_synonym("C", "B").synonyms == (("C", "B"),)
+    assert AA_PROFILE.alphabet[-1] == "X"
+    (tmp_path / "My_Matrix62.txt").write_text("A B\n1 0\n0 1\n")
+    assert al.read_matrix("my matrix-62", str(tmp_path)).alphabet == "AB"
+    with pytest.raises(ValueError):
+        al.read_matrix("other", str(tmp_path))
