@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from strandlake.llm._text import ragged, spans_hash
 
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 
 
@@ -78,6 +78,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.encode = self.single_pieces()
+        del self.tokenizer  # what is still needed of it is held by ``encode``
         self.classes = class_table()
         self.values = np.random.default_rng(7).integers(1, 1 << 63, 0x110000, dtype=np.uint64)
         self.forget()
@@ -85,15 +86,16 @@ class Ids:
     def single_pieces(self):
         """How one piece is encoded: by the merges of the file's own vocabulary, where ids are in the order of merges
         (checked on samples against the library), else by the library itself."""
-        slow = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        tokenizer = self.tokenizer
+        slow = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         try:
             import tiktoken
 
             letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
             letters += [b for b in range(256) if b not in letters]
             to_byte = {chr(b if n < 188 else 256 + n - 188): b for n, b in enumerate(letters)}
-            special = set(self.tokenizer.get_added_tokens_decoder())
-            ranks = {bytes(to_byte[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if i not in special}
+            special = set(tokenizer.get_added_tokens_decoder())
+            ranks = {bytes(to_byte[c] for c in t): i for t, i in tokenizer.get_vocab().items() if i not in special}
             fast = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
             for t in (" the", " internationalisation", "Zürich", " 1234567", "日本語", " \n\t", "????!!", "\x00\x1c", " éauouxmentçan", "ondthenblerti"):
                 if list(fast(t)) != slow(t):
