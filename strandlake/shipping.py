@@ -24,7 +24,7 @@ def ship(spark: SparkSession | None = None) -> None:
     root = Path(__file__).resolve().parent
     if not root.is_dir():  # already running from such a file
         return
-    path = Path(tempfile.mkdtemp(prefix="strandlake-")) / "strandlake.zip"
+    path = Path(tempfile.mkdtemp(prefix="strandlake-")).resolve() / "strandlake.zip"
     with zipfile.ZipFile(path, "w") as out:
         for f in sorted(root.rglob("*.py")):
             out.write(f, f.relative_to(root.parent))
