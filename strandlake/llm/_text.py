@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.shipping import ship
+
 CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -154,6 +156,7 @@ def over_texts(df: DataFrame, columns: dict[str, str], schema: str, work: Callab
 
     columns: the input's columns by the names that the function uses; "text" must be one of them.
     """
+    ship(df.sparkSession)
     fields = arrow_fields(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +171,7 @@ def over_texts(df: DataFrame, columns: dict[str, str], schema: str, work: Callab
 
 def filter_texts(df: DataFrame, text: str, work: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
     """The rows that the function of a task keeps, judged by their texts chunk by chunk, with all columns."""
+    ship(df.sparkSession)
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

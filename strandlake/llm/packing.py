@@ -25,6 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from strandlake.llm._spark import stored
 from strandlake.llm._text import over_texts
 from strandlake.llm._tokens import Ids
+from strandlake.shipping import ship
 
 CAPACITY, END, GROUP = 1024, 2, 4096
 
@@ -141,6 +142,7 @@ def placing(level: int, last: bool, capacity: int):
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_pieces: int = GROUP) -> DataFrame:
     """The pieces (a column ``length`` from 1 to capacity, any others) with their sequence_id and offset."""
+    ship(pieces.sparkSession)
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     pieces = stored(pieces)  # tokens are counted once; from here on rows keep their places
     full = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm._text import SPACED, Words, chunks, over_texts, quoted, ragged, rolled, spans_hash
 from strandlake.llm.fm_index import FMIndex
+from strandlake.shipping import ship
 
 WINDOW, GRAM, FILTER_GRAM = 20, 4, 12
 SHARD_BYTES, BLOCK_BYTES, SEGMENT_WINDOWS = 6 << 20, 12 << 20, 62
@@ -181,6 +182,7 @@ REPEATS = "doc_id bigint, tag int, start int, mask bigint"
 
 def substring_dedup(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row for each document: doc_id, n_words, n_removed, kept (the words left, joined by a blank) and kept_sha256."""
+    ship(documents.sparkSession)
     text_ = F.col(quoted(text))
     docs = documents.select(F.coalesce(F.col(quoted(doc_id)), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce(text_, F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"), text_.alias("text"))
     total = documents.agg(F.coalesce(F.sum(F.octet_length(text_)), F.lit(0))).first()[0]
