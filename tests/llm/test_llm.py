@@ -388,26 +388,26 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rnd = random.Random(2)
-    base = [prose(rnd, 120, 4000) for _ in range(40)]
+    base = [prose(rnd, 120, 4000) for _ in range(150)]
     item = prose(rnd, 15, 9000)
     rows = [(i, t) for i, t in enumerate(base)]
-    rows += [(100 + i, t + " end") for i, t in enumerate(base[:5])]
-    rows += [(200, base[6] + " " + item), (201, prose(rnd, 120, 4000) + ' password = "hunter2hunter2" ')]
-    rows += [(300 + i, " ".join(x + "%%#" for x in prose(rnd, 100, 4000).split())) for i in range(40)]
+    rows += [(1000 + i, t + " end") for i, t in enumerate(base[:5])]
+    rows += [(2000, prose(rnd, 120, 4000) + " " + item), (2001, prose(rnd, 120, 4000) + ' password = "hunter2hunter2" ')]
+    rows += [(3000 + i, " ".join(x + "%%#" for x in prose(rnd, 100, 4000).split())) for i in range(150)]
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    spark.createDataFrame([(i, int(i < 300), 0) for i, _ in rows if i not in (201, 203)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, int(i < 3000), 0) for i, _ in rows if i != 2001], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     seen = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         seen.append({r["doc_id"] for r in docs.select("doc_id").collect()})
-    assert seen[0] == {i for i, _ in rows if i < 300}
-    assert seen[1] == seen[0] - {100, 101, 102, 103, 104}
-    assert seen[2] == seen[1] - {200}
+    assert seen[0] == {i for i, _ in rows if i < 3000}
+    assert seen[1] == seen[0] - {1000, 1001, 1002, 1003, 1004}
+    assert seen[2] == seen[1] - {2000}
     assert seen[3] == seen[2]
-    assert "hunter2" not in docs.where("doc_id = 201").first()["text"]
+    assert "hunter2" not in docs.where("doc_id = 2001").first()["text"]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == seen[3]
 
