@@ -1,8 +1,8 @@
 """A training corpus from raw documents: quality, near duplicates, benchmark passages, secrets, packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and judges all that the stage before it kept. All but the last return the columns of
-``documents``. Documents that the quality classifier scores below 0.7 go; of each group of near duplicates the one of the
-least id stays; documents with a benchmark passage go; secrets are replaced by a mark; what is left is packed into
+``documents``. Documents that the quality classifier scores below 0.7 go; of each group of near duplicates (linked
+from a similarity of 0.8 on) the one of the least id stays; documents with a benchmark passage go; secrets are replaced by a mark; what is left is packed into
 sequences of 1024 tokens. SQL cannot express a classifier or a tokenizer, so ``ORACLE_SQL`` is None and the tests compare
 the stages with brute-force versions.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandlake.llm import decontaminate, near_duplicates, packing, quality, secrets_scan
 from strandlake.llm._spark import written
 
-THRESHOLD = 0.7
+THRESHOLD, COPY_PERCENT = 0.7, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_duplicates.without_copies(docs)
+    return near_duplicates.without_copies(docs, percent=COPY_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 A document's set is its distinct shingles (5 lower-case words; a shorter text is one shingle). Under each of 64
 permutations both the least and the greatest hash are kept: 128 signature values of 64 hash evaluations a shingle, each of
-which agrees for two sets with probability J, their Jaccard similarity. 25 bands of 5 values make the candidates: two sets
-of similarity 0.85 miss all bands with a probability under 1e-6.
+which agrees for two sets with probability J, their Jaccard similarity. Bands of several values make the candidates; their number
+and the sketch distances below follow the similarity from which documents are linked (``banding``, ``farthest``). From 0.85
+on there are 25 bands of 5 values, from 0.8 on 32 of 4: two sets at that similarity miss all bands with a probability under
+1e-6.
 
 The steps, none of which meets a whole group of copies in one task or emits a group's pairs:
 1. equal sets become one representative, the one of least doc_id (an aggregation with map-side combine);
@@ -12,8 +14,9 @@ The steps, none of which meets a whole group of copies in one task or emits a gr
 3. in buckets that still hold several components, members of different components are compared by longer sketches (2048
    bits, computed for these documents alone) in the bucket of the first band they share, and pairs that are close enough
    are confirmed on the full sets. No pair of one bucket in different components stays unjudged.
-At similarity 0.85 a short sketch's distance is 9.6 of 128 bits on average with a deviation of 3, and pairs up to 28 go on;
-a long one's is 154 of 2048 with a deviation of 12, and pairs up to 219 are confirmed.
+A pair at the linked similarity exceeds a sketch distance with a probability under 1e-7. At similarity 0.85 a short sketch's
+distance is 9.6 of 128 bits on average with a deviation of 3, and pairs up to 28 go on; a long one's is 154 of 2048 with a
+deviation of 12, and pairs up to 219 are confirmed. At 0.8 the averages are 12.8 and 205, and the bounds 33 and 279.
 
 Cases: null or empty texts have no shingles and are linked with nothing; rows that repeat a doc_id count as one document
 if their texts are equal, else each text has its links and the id joins them; a null doc_id comes after all others.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +37,36 @@ from strandlake.llm._spark import stored
 from strandlake.llm._text import SPACED_LOWER, Words, over_texts, quoted, rolled
 from strandlake.llm.components import components
 
-SHINGLE, PERMUTATIONS, BANDS, ROWS, SKETCH_DISTANCE = 5, 64, 25, 5, 28
-LONG_PERMUTATIONS, LONG_DISTANCE = 1024, 219
+PERCENT, SHINGLE, PERMUTATIONS, BANDS, ROWS = 85, 5, 64, 25, 5
+SKETCH_BITS, LONG_PERMUTATIONS = 128, 1024
+#: A pair at the linked similarity shares no band, or is beyond a sketch's distance, with a probability under these.
+NO_BAND, BEYOND = 1e-6, 1e-7
 #: Candidates' ids are broadcast to the scan of texts up to so many, else joined.
 BROADCAST_IDS = 2_000_000
 
 
+def banding(percent: int, permutations: int = PERMUTATIONS) -> tuple[int, int]:
+    """(bands, rows): the most rows with which the bands that fit in the signature miss a pair of this similarity under NO_BAND."""
+    values = 2 * permutations
+    for rows in range(values, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (values // rows) < NO_BAND:
+            return values // rows, rows
+    raise ValueError(f"{permutations} permutations are too few for a similarity of {percent} percent")
+
+
+def farthest(percent: int, bits: int) -> int:
+    """The least distance of two sketches that a pair of this similarity exceeds with a probability under BEYOND."""
+    p = (1 - percent / 100) / 2
+    if p <= 0:
+        return 0
+    tail = 0.0
+    for d in range(bits, 0, -1):
+        tail += exp(lgamma(bits + 1) - lgamma(d + 1) - lgamma(bits - d + 1) + d * log(p) + (bits - d) * log1p(-p))
+        if tail >= BEYOND:
+            return d
+    return 0
+
+
 def shingle_sets(words: Words, k: int = SHINGLE) -> list[np.ndarray]:
     """Each row's sorted distinct shingle hashes."""
     grams = rolled(words.hash, k)
@@ -145,11 +173,19 @@ def confirmed(pairs: DataFrame, documents: DataFrame, doc_id: str, text: str, sh
     return both.where((common * 100) >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
 
 
-def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, bands: int = BANDS, rows: int = ROWS, sketch_distance: int = SKETCH_DISTANCE) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, bands: int | None = None, rows: int | None = None, sketch_distance: int | None = None) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the least doc_id linked with it) and kept (it is that one).
 
-    percent: documents are linked from this Jaccard similarity on, in hundredths.
+    percent: documents are linked from this Jaccard similarity on, in hundredths; bands, rows and sketch distances that are
+    not given follow it.
     """
+    if bands is None or rows is None:
+        if bands is not None or rows is not None:
+            raise ValueError("bands and rows are given together")
+        bands, rows = banding(percent, permutations)
+    if sketch_distance is None:
+        sketch_distance = farthest(percent, min(SKETCH_BITS, 2 * permutations))
+    long_distance = farthest(percent, 2 * LONG_PERMUTATIONS)
     signed = stored(signatures(documents, doc_id=doc_id, text=text, shingle=shingle, permutations=permutations, bands=bands, rows=rows))
     has = signed.where("n_shingles > 0 and doc_id is not null")
     # 1. equal sets
@@ -172,7 +208,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     words = [c for c in long_.columns if c != "id"]
     rest = rest.join(long_, "id").join(groups.select(F.col("doc_id").alias("id"), "bands"), "id")
     x, y = rest.alias("x"), rest.alias("y")
-    near = reduce(lambda u, v: u + v, [F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words]) <= LONG_DISTANCE
+    near = reduce(lambda u, v: u + v, [F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words]) <= long_distance
     # a pair that shares several bands is met in the first
     band = F.array_position("x.bands", F.col("x.key")).cast("int")
     first_band = (band <= 1) | ~F.arrays_overlap(F.slice("x.bands", F.lit(1), band - 1), F.slice("y.bands", F.lit(1), band - 1))

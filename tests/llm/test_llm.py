@@ -184,6 +184,47 @@ def test_near_duplicates(spark, texts):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in odd) == [(-1, -1, True), (2, 2, True), (2, 2, True)]
 
 
+def test_near_duplicates_from_80_percent(spark):
+    """Pairs of similarity 0.80 to 0.85 whose buckets all hold a lesser document that is linked with neither."""
+    import corpus_pipeline
+
+    rnd = random.Random(80)
+    fresh = lambda n: [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, pairs = [], []
+    for f in range(30):
+        common, own = fresh(404), 50 if f < 24 else rnd.randrange(36, 50)
+        for i in range(10):
+            w = list(common)
+            for quarter in range(4 if i < 8 else 0):
+                w[quarter * 100 + rnd.randrange(5, 95)] = fresh(1)[0]
+            rows.append((f + 100 * i, " ".join(fresh(50 if i < 8 else own) + w)))
+        pairs.append((f + 800, f + 900))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert sorted(links) == sorted(pairs)
+    docs = documents(spark, [t for _, t in rows], [d for d, _ in rows])
+    bands, width = near_duplicates.banding(80)
+    keys = {r["doc_id"]: r["bands"] for r in near_duplicates.signatures(docs, bands=bands, rows=width).collect()}
+    heads = {}
+    for d in sorted(keys):
+        for k in keys[d]:
+            heads.setdefault(k, d)
+    late = {(a, b) for a, b in pairs if not any(heads[k] in (a, b) for k in set(keys[a]) & set(keys[b]))}
+    words = near_duplicates.Words(pa.array([t for _, t in rows]), near_duplicates.SPACED_LOWER)
+    bits = near_duplicates.mixed(near_duplicates.min_max(near_duplicates.shingle_sets(words), near_duplicates.LONG_PERMUTATIONS)) >> np.uint64(17) & np.uint64(1)
+    bits = dict(zip([d for d, _ in rows], bits, strict=True))
+    # these the distance that suits 0.85 would leave out
+    assert [p for p in late if (bits[p[0]] != bits[p[1]]).sum() > 219]
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == set(sets) - {b for _, b in pairs}
+
+
+def test_banding_follows_the_similarity():
+    assert [near_duplicates.banding(p) for p in (80, 85)] == [(32, 4), (25, 5)]
+    assert [near_duplicates.farthest(p, 128) for p in (80, 85, 100)] == [33, 28, 0]
+    assert [near_duplicates.farthest(p, 2048) for p in (80, 85, 100)] == [279, 219, 0]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
