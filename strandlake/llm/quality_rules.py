@@ -2,8 +2,9 @@
 
 Two histograms of a text, of character classes and of common words, are compared with the reference of its language by the
 Jensen-Shannon distance (base 2, from 0 to 1). A reference is the mean of the normalised histograms of all documents of
-the language that are long enough; at most ``max_languages`` languages (the most frequent) have one of their own, others
-and null languages take the reference of all documents, so what is sent to the executors is bounded. Texts of fewer
+the language that are long enough; every language has one of its own, and null languages and those without such a document
+take the reference of all documents. The references of the ``max_languages`` most frequent languages are broadcast; where
+there are more, the rows of the others are joined with theirs by a shuffle. Texts of fewer
 characters or words than the guards ask for are not judged by that histogram.
 
 Everything is native and works inside the row: words are an array, repeated windows are found by sorting the hashes of a
@@ -34,7 +35,9 @@ WHITE_CLASS = r"[\x20\x09-\x0D]+"
 MIN_WORDS, REPEATED_PERCENT = 50, 50
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 100
 #: A distance is too far above its base plus spread / sqrt(words), as a short text's histogram strays from its language's.
-CLASS_LIMIT, WORD_LIMIT, MAX_LANGUAGES = (0.17, 0.8), (0.2, 1.0), 64
+CLASS_LIMIT, WORD_LIMIT = (0.17, 0.8), (0.2, 1.0)
+#: References are broadcast for so many languages, else joined.
+MAX_LANGUAGES = 64
 
 
 def words_of(text: Column) -> Column:
@@ -101,8 +104,8 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def references(rows: DataFrame, max_languages: int) -> tuple[DataFrame | None, list[float] | None, list[float] | None]:
-    """A frame (lang, class_reference, word_reference) of at most ``max_languages`` rows, and the same of all documents."""
+def references(rows: DataFrame) -> tuple[DataFrame | None, list[float] | None, list[float] | None]:
+    """A frame (_lang, n, class_reference, word_reference) of all languages, and the references of all documents."""
     judged = rows.where((F.col("word_chars") >= MIN_CHARS_JUDGED) & (F.col("n_words") >= MIN_WORDS_JUDGED))
     judged = judged.select("lang", normalised(F.col("classes")).alias("c"), normalised(F.col("common")).alias("w"))
     sizes = (6, len(COMMON_WORDS) + 1)
@@ -112,21 +115,33 @@ def references(rows: DataFrame, max_languages: int) -> tuple[DataFrame | None, l
     whole = table.agg(F.sum("n").alias("n"), *[F.sum(f"{k}{i}").alias(f"{k}{i}") for k, n in zip("cw", sizes, strict=True) for i in range(n)]).first()
     if not whole["n"]:
         return None, None, None
-    top = table.where("lang is not null").orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    frame = rows.sparkSession.createDataFrame([(r["lang"], *parts(r)) for r in top], "_lang string, class_reference array<double>, word_reference array<double>")
+    mean = lambda k, n: F.array(*[F.col(f"{k}{i}") / F.col("n") for i in range(n)])
+    frame = table.where("lang is not null").select(F.col("lang").alias("_lang"), "n", mean("c", sizes[0]).alias("class_reference"), mean("w", sizes[1]).alias("word_reference"))
     return frame, *parts(whole)
 
 
+def with_references(rows: DataFrame, frame: DataFrame, max_languages: int) -> DataFrame:
+    """The rows with their language's references, null where it has none."""
+    if len(frame.take(max_languages + 1)) <= max_languages:
+        return rows.join(F.broadcast(frame.drop("n")), rows["lang"] == F.col("_lang"), "left")
+    top = stored(frame.orderBy(F.desc("n"), "_lang").limit(max_languages))
+    rest = frame.join(F.broadcast(top.select("_lang")), "_lang", "left_anti").drop("n")
+    # a frequent language's rows, and those of none, do not meet in one task
+    near = rows.join(F.broadcast(top.drop("n")), rows["lang"] == F.col("_lang"), "left")
+    far = near.where("_lang is null and lang is not null").select(*rows.columns)
+    return near.where("_lang is not null or lang is null").unionByName(far.join(rest, far["lang"] == F.col("_lang"), "left"))
+
+
 def judge(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", class_limit: tuple[float, float] = CLASS_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """A row for each document: its counts, class_distance and word_distance (null where too short), base_failed and kept."""
     rows = stored(counted(documents, doc_id, text, lang))
-    frame, classes, words = references(rows, max_languages)
+    frame, classes, words = references(rows)
     if frame is None:
         none = F.lit(None).cast("double")
         out = rows.withColumn("class_distance", none).withColumn("word_distance", none)
     else:
         literal = lambda x: F.array(*[F.lit(float(v)) for v in x])
-        joined = rows.join(F.broadcast(frame), rows["lang"] == frame["_lang"], "left")
+        joined = with_references(rows, frame, max_languages)
         out = joined.withColumn("class_distance", F.when(F.col("word_chars") >= MIN_CHARS_JUDGED, distance(normalised(F.col("classes")), F.coalesce("class_reference", literal(classes)))))
         out = out.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS_JUDGED, distance(normalised(F.col("common")), F.coalesce("word_reference", literal(words)))))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * F.lit(100).cast("bigint") > F.col("n_words") * F.lit(REPEATED_PERCENT).cast("bigint"))
