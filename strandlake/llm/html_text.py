@@ -8,6 +8,10 @@ logarithms). The content region is the element that holds most text of the upper
 element, else the innermost container that nearly all of them share); its own lines are the text, short ones too, and what is marked
 as boilerplate inside it stays out.
 
+A class, id or role name, or a form, marks an element only by likelihood: such a mark does not reach into the outermost
+article or main element, nor does it hold where the element has most of the text that the ratios alone put in the upper
+cluster, unless an article or main element with text stands beside it. Boilerplate tags and hidden elements are always left out.
+
 Cases: null, empty or text-less html gives an empty text; unclosed and misnested tags are closed as the parser meets
 others; plain text without tags is one line and is the text; rows that repeat a page_id are judged each by itself.
 """
@@ -27,7 +31,8 @@ SIGMA = 1.5
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
+FOREIGN = frozenset(("svg", "math"))
+BOILERPLATE = frozenset("nav header footer aside menu dialog".split())
 #: Words of class, id and role values that mark boilerplate.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|sponsor|sponsored|promo|promoted|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|aside|footer|header|masthead|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comment|comments|disqus|replies|widget|toolbar|pagination|pager|login|signup|search|complementary|contentinfo|alert)(?:$|[\s_-])", re.I)
 CONTENT = frozenset(("article", "main"))
@@ -40,12 +45,12 @@ WHITE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, link characters, tags, path of block elements, boilerplate)."""
+    """Collects lines: (text, link characters, tags, path of block elements, boilerplate, elements marked by name)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, boilerplate, silent
+        self.lines: list[tuple[str, int, int, tuple[int, ...], bool, tuple[int, ...]]] = []
+        self.stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []  # tag, number, boilerplate, silent, elements marked by name
         self.kinds: dict[int, str] = {0: ""}
         self.parts: list[str] = []
         self.links, self.tags, self.in_link = 0, 0, 0
@@ -55,8 +60,8 @@ class Lines(HTMLParser):
         if self.parts:
             text = WHITE.sub(" ", "".join(self.parts)).strip()
             if text:
-                path = tuple(n for tag, n, _, _ in self.stack if tag in BLOCKS)
-                self.lines.append((text, self.links, self.tags, path, bool(self.stack) and self.stack[-1][2]))
+                path = tuple(n for tag, n, *_ in self.stack if tag in BLOCKS)
+                self.lines.append((text, self.links, self.tags, path, bool(self.stack) and self.stack[-1][2], self.stack[-1][4] if self.stack else ()))
                 self.tags = 0
             self.parts = []
         self.links = 0
@@ -75,19 +80,25 @@ class Lines(HTMLParser):
                 self.close_element("dd", frozenset(("dl",)))
         if tag in VOID:
             return
-        under = self.stack[-1] if self.stack else ("", 0, False, False)
+        under = self.stack[-1] if self.stack else ("", 0, False, False, ())
         marked = under[2] or tag in BOILERPLATE
-        if not marked and tag not in CONTENT and tag not in ("html", "body"):
-            for k, v in attrs:
-                if v and k in ("class", "id", "role", "aria-label") and MARKS.search(v) or k == "hidden":
-                    marked = True
+        number, named = len(self.kinds), under[4]
+        if tag in CONTENT:
+            if named and not any(x[0] in CONTENT for x in self.stack):
+                named = ()
+        elif not marked and tag not in ("html", "body"):
+            marked = any(k == "hidden" for k, _ in attrs)
+            if tag == "form" or any(v and k in ("class", "id", "role", "aria-label") and MARKS.search(v) for k, v in attrs):
+                named = (*named, number)
         self.in_link += tag == "a"
-        number = len(self.kinds)
         self.kinds[number] = tag
-        self.stack.append((tag, number, marked, under[3] or tag in SILENT))
+        self.stack.append((tag, number, marked, under[3] or tag in SILENT, named))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        foreign = tag in FOREIGN or tag not in BLOCKS and any(x[0] in FOREIGN for x in self.stack)
         self.handle_starttag(tag, attrs)  # as browsers do, <div/> opens an element
+        if foreign and tag not in VOID:
+            self.close_element(tag)
 
     def close_element(self, tag: str, scopes: frozenset[str] = frozenset()) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -150,18 +161,46 @@ def threshold(values: list[float]) -> float:
     return (lo + hi) / 2
 
 
+def evened(lines: list[tuple], out: list[bool], sigma: float) -> list[float]:
+    """Logarithms of the smoothed ratios; lines that are left out have none."""
+    ratio = [0.0 if gone else max(len(x[0]) - x[1], 0) / max(x[2], 1) for x, gone in zip(lines, out, strict=True)]
+    return [math.log1p(v) for v in smoothed(ratio, sigma)]
+
+
+def left_out(lines: list[tuple], kinds: dict[int, str], sigma: float) -> list[bool]:
+    """Whether each line is boilerplate: by a tag, or by a mark on an element that lacks most of the upper cluster's text."""
+    out = [x[4] for x in lines]
+    if not any(x[5] for x in lines):
+        return out
+    even = evened(lines, out, sigma)
+    cut = threshold(even)
+    high = [i for i, v in enumerate(even) if v > cut and not out[i]]
+    sizes = {i: max(len(lines[i][0]) - lines[i][1], 0) for i in high}
+    held: dict[int, int] = {}
+    for i in high:
+        for n in lines[i][5]:
+            held[n] = held.get(n, 0) + sizes[i]
+    total = sum(sizes.values())
+    # beside an article or main element with text, an outer element keeps its mark however long it is
+    contents = [[n for n in x[3] if kinds[n] in CONTENT] for x in lines]
+    for m in [m for m, n in held.items() if n * 2 > total]:
+        within = any(m in x[5] and c and c[0] < m for x, c in zip(lines, contents, strict=True))
+        if not within and any(c and m not in x[5] and not x[4] for x, c in zip(lines, contents, strict=True)):
+            held[m] = 0
+    return [gone or any(held.get(n, 0) * 2 <= total for n in x[5]) for x, gone in zip(lines, out, strict=True)]
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not html:
         return ""
     parser = Lines()
     parser.feed(html)
     parser.finish()
-    lines = parser.lines
+    lines = [(*x[:4], out) for x, out in zip(parser.lines, left_out(parser.lines, parser.kinds, sigma), strict=True)]
     usable = [i for i, x in enumerate(lines) if not x[4]]
     if not usable:
         return ""
-    ratio = [0.0 if marked else max(len(text) - links, 0) / max(tags, 1) for text, links, tags, _, marked in lines]
-    even = [math.log1p(v) for v in smoothed(ratio, sigma)]
+    even = evened(lines, [x[4] for x in lines], sigma)
     cut = threshold(even)
     high = [i for i in usable if even[i] > cut] or usable
     # the region: the article or main element that holds most of the upper cluster's text, else the block that they share

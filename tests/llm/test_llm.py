@@ -353,6 +353,23 @@ def test_html():
     assert html_text.main_text(plain) == "T\nBody text that is clearly the longest on this page.\nx"
 
 
+def test_html_marked_wrappers():
+    body = "<p>The first paragraph of the article says a good deal about stones and rivers.</p><p>The second one adds as much again about hills and lakes.</p>"
+    text = body.replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "")
+    side = '<div class="sidebar"><p>Side text</p></div>'
+    for wrapper in ('div class="layout has-sidebar"', 'div class="no-sidebar"', 'div id="search-results"', "form", 'div class="widget"><div class="modal"'):
+        end = "</form>" if wrapper == "form" else "</div>" * wrapper.count("div")
+        assert html_text.main_text(f"<body><{wrapper}><article>{body}</article>{side}{end}</body>") == text, wrapper
+        assert html_text.main_text(f"<body><{wrapper}><div>{body}</div>{side}{end}</body>") == text, wrapper
+        assert html_text.main_text(f"<body><main><{wrapper}><article>{body}</article>{side}{end}</main></body>") == text, wrapper
+    # a long advert beside a short article is no text; marks inside an article hold, and so do tags
+    assert html_text.main_text(f'<div class="ad">{body}</div><article><p>Short.</p></article>') == "Short."
+    assert html_text.main_text(f'<article>{body}<div class="comments"><article>A reply.</article></div></article>') == text
+    assert html_text.main_text(f"<nav>{body}</nav>") == ""
+    assert html_text.main_text("<div><svg/><p>Text after an icon.</p></div>") == "Text after an icon."
+    assert html_text.main_text("<div><svg><path/><title>no</title></svg><p>Text after an icon.</p></div>") == "Text after an icon."
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None)], "page_id bigint, url string, html string")
     rows = sorted(tuple(r) for r in html_text.extract(df).where("page_id = 1").collect())
