@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Set a checkpoint folder where the session has none (a local session); a cluster names its own in spark.checkpoint.dir."""
+    """Set a checkpoint folder where the session has none. A cluster must name one in spark.checkpoint.dir; a local session gets its own."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandlake-"))
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandlake-"))
 
 
 def stored(df: DataFrame) -> DataFrame:

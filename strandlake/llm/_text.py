@@ -1,7 +1,8 @@
 """Vectorised word scanning shared by the Arrow-batched operators.
 
 A chunk of rows is handled as one byte array: words, their 64-bit hashes and their rows come from array operations, so no
-Python code runs per word. A chunk holds ``CHUNK`` bytes of text, or one longer row; memory follows the longest text.
+Python code runs per word. A chunk holds ``CHUNK`` bytes of text, or one longer row, which is hashed in blocks: memory is
+about ten times the bytes of the longest text. Arrow batches that Spark sends are bounded by ``BATCH_BYTES``.
 """
 
 from __future__ import annotations
@@ -10,12 +11,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.shipping import ship
 
-CHUNK = 1 << 20
+CHUNK = 1 << 17
+#: Sessions that keep Spark's default bound of an Arrow batch (64 MB) get this one.
+BATCH_BYTES = "8m"
+
+# The C library's allocator gives freed memory back beyond twice the largest block freed so far. Without a block of some
+# size every chunk's arrays would be mapped anew, which takes longer than filling them.
+np.empty(8 << 20, np.uint8)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -58,21 +65,41 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK) + 1
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, x, np.uint64)]) for x in (_BASE, _INVERSE)]
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    if not _powers:
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(CHUNK, x, np.uint64)]) for x in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
 
 
-def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span ``values[start:end]`` of 64-bit values, the same wherever the span stands."""
-    n = len(values)
-    power, inverse = _power_tables(n)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * power[:n], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span ``values[start:end]``, the same wherever the span stands. Starts and ends ascend.
+
+    values: of 64 bits, or codes that ``table`` has such values for.
+    """
+    power, inverse = _power_tables()
+    of = (lambda v: v) if table is None else (lambda v: table[v])
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        a = int(start[i])
+        j = max(int(np.searchsorted(end, a + CHUNK, "right")), i + 1)
+        b = int(end[j - 1])
+        if b - a > CHUNK:  # one long span, a block at a time
+            total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+            for x in range(a, b, CHUNK):
+                v = of(values[x : min(x + CHUNK, b)])
+                total += (v * power[: len(v)]).sum(dtype=np.uint64) * scale
+                scale *= power[CHUNK]
+            out[i] = total[0]
+        else:
+            v = of(values[a:b])
+            sums = np.empty(len(v) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(v * power[: len(v)], out=sums[1:])
+            s = start[i:j] - a
+            out[i:j] = (sums[end[i:j] - a] - sums[s]) * inverse[s]
+        i = j
+    return mix(out + (end - start).astype(np.uint64))
 
 
 class Words:
@@ -106,7 +133,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(texts)), self.count)
-        self.hash = spans_hash(_BYTES[data], self.start, self.end)
+        self.hash = spans_hash(data, self.start, self.end, _BYTES)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the k words from each word on, and which of these stay in one row."""
@@ -151,12 +178,20 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[p
         at = to
 
 
+def prepare(spark: SparkSession) -> None:
+    """The package on the executors, and Arrow batches of a size that small executors hold."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64m", "67108864", "67108864b"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def over_texts(df: DataFrame, columns: dict[str, str], schema: str, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict]]) -> DataFrame:
     """mapInArrow over chunks: ``work()`` is called once a task and gives the function of a chunk.
 
     columns: the input's columns by the names that the function uses; "text" must be one of them.
     """
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     fields = arrow_fields(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,22 +200,27 @@ def over_texts(df: DataFrame, columns: dict[str, str], schema: str, work: Callab
             for part in chunks(batch, "text"):
                 out = f(part)
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays([out[k] if isinstance(out[k], pa.Array) else pa.array(out[k], t) for k, t in fields], names=[k for k, _ in fields])
+            batch = part = out = None
+            pa.default_memory_pool().release_unused()
 
     return df.select(*[F.col(quoted(v)).alias(k) for k, v in columns.items()]).mapInArrow(run, schema)
 
 
 def filter_texts(df: DataFrame, text: str, work: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
     """The rows that the function of a task keeps, judged by their texts chunk by chunk, with all columns."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = work()
         for batch in batches:
             named = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
+            part = kept = None
             for part in chunks(named, f"c{place}"):
                 kept = part.filter(pa.array(f(part[f"c{place}"])))
                 yield pa.RecordBatch.from_arrays(kept.columns, schema=batch.schema)
+            batch = named = part = kept = None
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)
 
@@ -189,6 +229,17 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """The names, lengthened where a column is called so."""
+    out, used = [], {c.lower() for c in taken}
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
 def arrow_fields(schema: str) -> list[tuple[str, pa.DataType]]:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType

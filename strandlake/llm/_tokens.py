@@ -68,60 +68,82 @@ def pieces(code: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
-class Ids:
-    """Ids of texts. path: a byte-level BPE file of the ``tokenizers`` library with this splitting pattern."""
+class Vocabulary:
+    """What a byte-level BPE file of the ``tokenizers`` library with this splitting pattern holds: read once, on the driver.
+
+    ranks: the vocabulary's bytes with their ids, where ids are in the order of merges (checked on samples against the
+    library); else None, and the library itself encodes pieces, from the file at ``path`` on each machine.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.encode = self.single_pieces()
-        del self.tokenizer  # what is still needed of it is held by ``encode``
-        self.classes = class_table()
-        self.values = np.random.default_rng(7).integers(1, 1 << 63, 0x110000, dtype=np.uint64)
-        self.forget()
-
-    def single_pieces(self):
-        """How one piece is encoded: by the merges of the file's own vocabulary, where ids are in the order of merges
-        (checked on samples against the library), else by the library itself."""
-        tokenizer = self.tokenizer
-        slow = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.path, self.classes, self.ranks = path, class_table(), None
         try:
-            import tiktoken
-
             letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
             letters += [b for b in range(256) if b not in letters]
             to_byte = {chr(b if n < 188 else 256 + n - 188): b for n, b in enumerate(letters)}
             special = set(tokenizer.get_added_tokens_decoder())
-            ranks = {bytes(to_byte[c] for c in t): i for t, i in tokenizer.get_vocab().items() if i not in special}
-            fast = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-            for t in (" the", " internationalisation", "Zürich", " 1234567", "日本語", " \n\t", "????!!", "\x00\x1c", " éauouxmentçan", "ondthenblerti"):
-                if list(fast(t)) != slow(t):
-                    return slow
-            return fast
+            self.ranks = {bytes(to_byte[c] for c in t): i for t, i in tokenizer.get_vocab().items() if i not in special}
+            fast = self.encoder()
+            samples = (" the", " internationalisation", "Zürich", " 1234567", "日本語", " \n\t", "????!!", "\x00\x1c", " éauouxmentçan", "ondthenblerti")
+            if any(list(fast(t)) != tokenizer.encode(t, add_special_tokens=False).ids for t in samples):
+                self.ranks = None
         except (ImportError, KeyError, ValueError):
-            return slow
+            self.ranks = None
+
+    def encoder(self):
+        """How one piece is encoded."""
+        if self.ranks is not None:
+            import tiktoken
+
+            return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+
+    def ids(self) -> Ids:
+        """The encoder of this process, built once: tasks of one worker share it through the broadcast vocabulary."""
+        if getattr(self, "_ids", None) is None:
+            self._ids = Ids(self)
+        return self._ids
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_ids"}
+
+
+class Ids:
+    """Ids of texts by a vocabulary."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.encode, self.classes = vocabulary.encoder(), vocabulary.classes
+        self.values = np.random.default_rng(7).integers(1, 1 << 63, 0x110000, dtype=np.uint64)
+        self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.size, self.flat, self.used = np.zeros(REMEMBERED * 2, np.int64), np.zeros(REMEMBERED * 2, np.int64), np.zeros(1 << 20, np.uint32), 0
-
-    def learn(self, hashes: list[int], texts: list[str]) -> None:
-        n = len(self.known)
-        if n + len(texts) > len(self.start):
-            grow = n + len(texts) - len(self.start)
-            self.start, self.size = np.r_[self.start, np.zeros(grow, np.int64)], np.r_[self.size, np.zeros(grow, np.int64)]
+        """No piece is remembered. Known hashes ascend, each with the number of its piece; pieces are ranges of ``flat``."""
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.size, self.flat, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1 << 20, np.uint32), 0
+
+    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """hashes: new ones, ascending."""
         ids = list(map(self.encode, texts))
-        size = np.array(list(map(len, ids)))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.flat):
+        size = np.array(list(map(len, ids)), np.int32)
+        total = int(size.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.uint32)]
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.start[n : n + len(ids)], self.size[n : n + len(ids)] = self.used + np.cumsum(size) - size, size
-        self.used += len(flat)
-        self.known.update(zip(hashes, range(n, n + len(ids)), strict=True))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.number = np.insert(self.number, at, np.arange(len(self.start), len(self.start) + len(ids), dtype=np.int32))
+        self.start = np.r_[self.start, (self.used + np.cumsum(size) - size).astype(np.int32)]
+        self.size = np.r_[self.size, size]
+        self.used += total
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and each text's number of them."""
@@ -131,18 +153,22 @@ class Ids:
         joined = "".join(rows)
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.r_[0, np.cumsum([len(t) for t in rows])]
+        del rows
         if not len(code):
-            return np.zeros(0, np.uint32), np.zeros(len(rows), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(first) - 1, np.int64)
         start = pieces(code, self.classes[code], first)
         end = np.r_[start[1:], len(code)]
-        unique, at, back = np.unique(spans_hash(self.values[code], start, end), return_index=True, return_inverse=True)
-        listed = unique.tolist()
-        index = np.array([self.known.get(h, -1) for h in listed])
-        if (new := np.flatnonzero(index < 0)).size:
-            self.learn([listed[i] for i in new], [joined[start[a] : end[a]] for a in at[new].tolist()])
-            index[new] = np.arange(len(self.known) - len(new), len(self.known))
-        piece = index[back]
-        size = self.size[piece]
-        ids = self.flat[ragged(self.start[piece], size)]
+        unique, at, back = np.unique(spans_hash(code, start, end, self.values), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, unique)
+        old = np.zeros(len(unique), bool)
+        inside = place < len(self.known)
+        old[inside] = self.known[place[inside]] == unique[inside]
+        if not old.all():
+            new = at[~old].tolist()
+            self.learn(unique[~old], [joined[start[a] : end[a]] for a in new])
+            place = np.searchsorted(self.known, unique)
+        piece = self.number[place][back]
+        size = self.size[piece].astype(np.int64)
+        ids = self.flat[ragged(self.start[piece].astype(np.int64), size)]
         total = np.r_[0, np.cumsum(size)]
         return ids, np.diff(total[np.searchsorted(start, first)])

@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from strandlake.llm._spark import stored
 from strandlake.llm._text import over_texts
-from strandlake.llm._tokens import Ids
+from strandlake.llm._tokens import Vocabulary
 from strandlake.shipping import ship
 
 CAPACITY, END, GROUP = 1024, 2, 4096
@@ -40,11 +40,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def cut(documents: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids.
 
-    tokenizer: a file's path on every machine, or the name of a public tokenizer file.
+    tokenizer: a file's path, or the name of a public tokenizer file; it is read on the driver and sent to the executors.
     """
 
+    held = documents.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer if "/" in tokenizer else tokenizer_path(tokenizer)))
+
     def work():
-        model = Ids(tokenizer if "/" in tokenizer else tokenizer_path(tokenizer))
+        model = held.value.ids()
 
         def f(batch: pa.RecordBatch) -> dict:
             flat, size = model(batch["text"])

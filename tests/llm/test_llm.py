@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate as de
 from strandlake.llm import html_text, near_duplicates, packing, quality, quality_rules, secrets_scan, substring_dedup, toxicity, url_filter
-from strandlake.llm._tokens import Ids
+from strandlake.llm._tokens import Vocabulary
 from strandlake.llm.components import components
 from strandlake.llm.fm_index import FMIndex
 
@@ -239,7 +239,7 @@ def test_tokens_and_packing(spark, texts):
     rnd = random.Random(8)
     odd = ["".join(rnd.choice(" '\n\t\rstmdrevlabZÀé1²½!#日𝔘\x00\x1c\x85\u2028") for _ in range(rnd.randint(0, 30))) for _ in range(800)]
     odd += ["'s", "'started", "I'll they're we've 'tis", "<|endoftext|> x"]
-    ids, n = Ids(packing.tokenizer_path())(pa.array(odd))
+    ids, n = Vocabulary(packing.tokenizer_path()).ids()(pa.array(odd))
     ends = np.cumsum(n)
     for t, a, b in zip(odd, ends - n, ends, strict=True):
         assert ids[a:b].tolist() == model.encode(t, add_special_tokens=False).ids
