@@ -61,7 +61,7 @@ def _op5() -> str:
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 spans as (select * from ({" union all ".join(parts)}) where n >= least),
-found as (select doc_id, {sums}, string_agg({text}, ',' order by s, e, rank) filter (where rank < {n}) as base, string_agg({text}, ',' order by s, e, rank) as every from spans group by doc_id)
+found as (select doc_id, {sums}, string_agg({text}, ',' order by s, rank, e) filter (where rank < {n}) as base, string_agg({text}, ',' order by s, rank, e) as every from spans group by doc_id)
 select d.doc_id, {counts}, sha256(coalesce(base, '')) as base_sha256, coalesce(every, '') as spans from d left join found on found.doc_id = d.doc_id"""
 
 

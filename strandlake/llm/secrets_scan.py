@@ -1,16 +1,21 @@
-"""Secret scans through trigram queries.
+"""Secret scans through a trigram inverted index.
 
 From each rule's regular expression a Boolean query of trigrams is derived: trigrams that every match must hold, joined by
-AND along the expression and by OR over its alternatives. The distinct trigrams of all queries are the index's terms. Its
-postings are kept as bitmaps beside the rows: one bit a term, set where the lower-case text holds the trigram. Queries are
-intersected as bit operations, and only rows that pass a rule's query are verified with its expression. Rules without a
-mandatory trigram scan every text.
+AND along the expression and by OR over its alternatives. The distinct trigrams of all queries are the index's terms, in
+lower case. The index (``postings``) is a table of posting lists: for each term and block of texts the keys of the texts
+that hold the term. Lists of a block are intersected and united as a rule's query says, which gives the rule's candidates;
+only these are verified with the expression. Rules without a mandatory trigram scan every text.
 
-Everything is native: bits come from substring tests on the scanned row, so postings need no shuffle and no row meets
-another; places come from the texts between matches.
+A text's key is its 64-bit hash, so copies are one entry, and a collision only makes a candidate more. Blocks are ranges of
+keys, about ``BLOCK`` rows each, so no list grows with the input. Candidates meet the texts by a broadcast up to
+``BROADCAST_KEYS`` of them, else by a join that adaptive execution can split where one text is very frequent.
 
-Cases: null text is empty; a rule that matches the empty string is refused; matches shorter than a rule asks for are
-dropped after the leftmost non-overlapping matches are found.
+Everything is native. Starts of matches are sums over the texts between them, taken in runs, so the cost of a text follows
+its matches.
+
+Cases: null and empty texts have no spans; rows that repeat an id or a text are scanned each; no rows give no rows; other
+columns stay, whatever they are called; a rule that matches the empty string is refused; matches shorter than a rule asks
+for are dropped after the leftmost non-overlapping matches are found; spans that start together come in the rules' order.
 """
 
 from __future__ import annotations
@@ -22,7 +27,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._text import quoted
+from strandlake.llm._spark import stored
+from strandlake.llm._text import free, quoted
+
+#: Rows of a block of the index, and candidates that are broadcast.
+BLOCK, BROADCAST_KEYS = 16_384, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -118,83 +127,110 @@ def terms(query) -> set[str]:
     return {query[1]} if query[0] == "has" else set().union(*map(terms, query[1]))
 
 
+def alternatives(query) -> list[frozenset[str]]:
+    """The sets of terms of a query's alternatives, without those that ask for all of another and more."""
+    sets = {frozenset(terms(part)) for part in query[1]}
+    return sorted((c for c in sets if not any(o < c for o in sets)), key=sorted)
+
+
 class TrigramIndex:
-    """Bitmap postings of the rules' trigrams, in words of 63 bits."""
+    """The rules' terms and queries: for each kind the alternatives of its query, each a list of terms' numbers; None where
+    every text is a candidate."""
 
     def __init__(self, rules) -> None:
-        self.queries = {r.kind: trigram_query(r.pattern) for r in rules}
-        self.terms = sorted(set().union(*map(terms, self.queries.values()))) if rules else []
-        self.place = {t: divmod(i, 63) for i, t in enumerate(self.terms)}
-
-    def postings(self, low: Column) -> Column:
-        """An array of longs: bit i of word w is set where the lower-case text holds term 63 w + i."""
-        words = []
-        for w in range(0, len(self.terms), 63):
-            bits = [F.when(F.contains(low, F.lit(t)), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, t in enumerate(self.terms[w : w + 63])]
-            words.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
-        return F.array(*words) if words else F.array().cast("array<bigint>")
-
-    def candidate(self, kind: str, postings: Column) -> Column:
-        """Whether the row may match the rule: its query over the row's bits."""
-        return self._asked(self.queries[kind], postings)
-
-    def _asked(self, query, postings: Column) -> Column:
-        if query is None:
-            return F.lit(True)
-        if query[0] == "or":
-            return reduce(lambda a, b: a | b, [self._asked(q, postings) for q in query[1]])
-        masks: dict[int, int] = {}
-        for _, t in query[1]:
-            w, i = self.place[t]
-            masks[w] = masks.get(w, 0) | 1 << i
-        return reduce(lambda a, b: a & b, [postings[w].bitwiseAND(F.lit(m).cast("bigint")) == F.lit(m).cast("bigint") for w, m in masks.items()])
-
-
-SPAN = "array<struct<start: bigint, end: bigint, rank: int, kind: string>>"
-
-
-def spans_of(rule: Rule, rank: int, text: Column) -> Column:
-    """Spans (start, end, rank, kind) of the rule's matches in code points, end exclusive.
-
-    The texts between matches come from a split and the matches from an extraction by the same expression; starts are sums
-    of their lengths.
-    """
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+        queries = {r.kind: trigram_query(r.pattern) for r in rules}
+        self.terms = sorted({t for q in queries.values() if q is not None for c in alternatives(q) for t in c})
+        place = {t: i for i, t in enumerate(self.terms)}
+        self.clauses = {k: None if q is None else [sorted(place[t] for t in c) for c in alternatives(q)] for k, q in queries.items()}
+
+    def postings(self, texts: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
+        """(block, term, keys): the posting list of each term in each block."""
+        low = F.lower(F.col(text))
+        held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(i)) for i, t in enumerate(self.terms)]))
+        rows = texts.select(F.col(key).alias("key"), low.alias("low")).select("key", F.explode(held).alias("term"))
+        return rows.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "term").agg(F.collect_set("key").alias("keys"))
+
+    def candidates(self, postings: DataFrame, kinds: list[str]) -> DataFrame:
+        """(key, rules): the texts that a rule's query leaves, and a bit for each such rule by its place in ``kinds``."""
+        lists = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("term", "keys"))).alias("lists"))
+        none = F.array().cast("array<bigint>")
+        of = lambda t: F.coalesce(F.try_element_at("lists", F.lit(t)), none)
+        asked = []
+        for i, kind in enumerate(kinds):
+            for clause in self.clauses[kind] or []:
+                found = reduce(F.array_intersect, [of(t) for t in clause])
+                asked.append(F.transform(found, _marked(1 << i)))
+        if not asked:
+            return postings.sparkSession.createDataFrame([], "key bigint, rules bigint")
+        rows = lists.select(F.explode(F.flatten(F.array(*asked))).alias("c")).select("c.*")
+        return rows.groupBy("key").agg(F.bit_or("rules").alias("rules"))
+
+
+def _marked(bit: int):
+    return lambda k: F.struct(k.alias("key"), F.lit(bit).cast("bigint").alias("rules"))
+
+
+SPAN = "array<struct<start: bigint, rank: int, end: bigint, kind: string>>"
+RUN = 64
+
+
+def measured(rule: Rule, rank: int, text: Column, found: Column) -> Column:
+    """The rule's matches ``found`` as lengths: for each the text before it, the match and what must be long enough."""
     gaps = F.split(text, rule.pattern, -1)
     size = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    empty = F.array().cast(SPAN)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans"))
+    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("found"), size.alias("size"))
+    lengths = F.transform(zipped, lambda x: F.struct(F.length(x["gap"]).cast("bigint").alias("gap"), F.length(x["found"]).cast("bigint").alias("found"), (F.length(x["size"]) >= rule.at_least).alias("holds")))
+    none = F.array().cast("array<struct<gap: bigint, found: bigint, holds: boolean>>")
+    return F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.when(F.size(found) > 0, lengths).otherwise(none).alias("lengths"))
+
+
+def placed(rule: Column) -> Column:
+    """Spans (start, rank, end, kind) of a rule's measured matches, in code points, end exclusive.
+
+    Starts are sums of lengths: first over runs of ``RUN`` matches, then within each run.
+    """
+    lengths = rule["lengths"]
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int")), lambda i: F.slice(lengths, i * RUN + 1, F.lit(RUN)))
+    zero = F.lit(0).cast("bigint")
+    sums = F.transform(runs, lambda r: F.aggregate(r, zero, lambda a, x: a + x["gap"] + x["found"]))
+    before = F.aggregate(sums, F.array(zero), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gaps"])
-        end = start + F.length(x["found"])
-        span = F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"))
-        new = F.when(F.length(x["size"]) >= rule.at_least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.cast("bigint").alias("at"), new.alias("spans"))
+        start = acc["at"] + x["gap"]
+        span = F.struct(start.alias("start"), rule["rank"].alias("rank"), (start + x["found"]).alias("end"), rule["kind"].alias("kind"))
+        return F.struct((start + x["found"]).alias("at"), F.when(x["holds"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gaps"), found.alias("found"), size.alias("size"))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, zero, step)["spans"]).otherwise(empty)
+    of = lambda r, at: F.aggregate(r, F.struct(at.alias("at"), F.array().cast(SPAN).alias("spans")), step)["spans"]
+    return F.when(F.size(lengths) > 0, F.flatten(F.zip_with(runs, F.slice(before, F.lit(1), F.size(runs)), of))).otherwise(F.array().cast(SPAN))
 
 
-def scan(documents: DataFrame, *, text: str = "text", rules=RULES, into: str = "secrets") -> DataFrame:
+def scan(documents: DataFrame, *, text: str = "text", rules=RULES, into: str = "secrets", block: int = BLOCK, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """The frame with a column ``into``: all spans of the rules, by start and then by the rules' order."""
     for r in rules:
         if re.fullmatch(r.pattern, ""):
             raise ValueError(f"rule {r.kind} matches the empty string")
-    index = TrigramIndex(rules)
-    names = _free(documents.columns, "_text", "_bits", *(f"_rule{i}" for i in range(len(rules))), "_low")
-    base = documents.withColumn(names[0], F.coalesce(F.col(quoted(text)), F.lit(""))).withColumn(names[-1], F.lower(names[0]))
-    base = base.withColumn(names[1], index.postings(F.col(names[-1]))).drop(names[-1])
-    none = F.array().cast(SPAN)
-    for i, r in enumerate(rules):
-        # candidates are verified first; a run of one class that is long enough is found as such, shorter ones need no place
-        quick = index.candidate(r.kind, F.col(names[1])) & F.col(names[0]).rlike(_prefilter(r))
-        base = base.withColumn(names[2 + i], F.when(quick, spans_of(r, i, F.col(names[0]))).otherwise(none))
-    return base.withColumn(into, F.array_sort(F.concat(*[F.col(n) for n in names[2:-1]]) if rules else none)).drop(*names)
-
-
-def _prefilter(rule: Rule) -> str:
-    """The rule's expression, or for one run of a class the same with its least length: what a row must match to have spans."""
+    if len(rules) > 62:
+        raise ValueError("62 rules at most")
+    index, kinds = TrigramIndex(rules), [r.kind for r in rules]
+    t, k, mask, hits, *found = free(documents.columns, "text_", "key_", "rules_", "hits_", *(f"found{i}_" for i in range(len(rules))))
+    base = documents.withColumn(t, F.coalesce(F.col(quoted(text)), F.lit(""))).withColumn(k, F.xxhash64(t))
+    if index.terms:
+        blocks = -(-documents.count() // block) or 1
+        chosen = stored(index.candidates(index.postings(base, k, t, blocks), kinds)).select(F.col("key").alias(k), F.col("rules").alias(mask))
+        base = base.join(F.broadcast(chosen) if chosen.count() <= broadcast_keys else chosen, k, "left")
+    else:
+        base = base.withColumn(mask, F.lit(None).cast("bigint"))
+    if not rules:
+        return base.withColumn(into, F.array().cast(SPAN)).select(*[F.col(quoted(c)) for c in documents.columns if c.lower() != into.lower()], into)
+    asked = [F.col(t).rlike(_long_enough(r)) if index.clauses[r.kind] is None else F.coalesce(F.col(mask), F.lit(0)).bitwiseAND(F.lit(1 << i).cast("bigint")) != 0 for i, r in enumerate(rules)]
+    base = base.select("*", *[F.when(a, F.regexp_extract_all(t, F.lit(r.pattern), F.lit(0))).alias(f) for a, r, f in zip(asked, rules, found, strict=True)])
+    base = base.withColumn(hits, F.array(*[measured(r, i, F.col(t), F.col(f)) for i, (r, f) in enumerate(zip(rules, found, strict=True))]))
+    base = base.withColumn(into, F.array_sort(F.flatten(F.transform(hits, placed))))
+    return base.select(*[F.col(quoted(c)) for c in documents.columns if c.lower() != into.lower()], into)
+
+
+def _long_enough(rule: Rule) -> str:
+    """The rule's expression, or for one run of a class the same with its least length: what a scanned row must match to have spans."""
     m = re.fullmatch(r"(.*\])\+", rule.pattern)
     if rule.group or rule.at_least < 2 or not m:
         return rule.pattern
@@ -202,16 +238,6 @@ def _prefilter(rule: Rule) -> str:
     return f"{m[1]}{{{max(rule.at_least - lead, 1)},}}"
 
 
-def _free(taken: list[str], *names: str) -> list[str]:
-    out, used = [], {c.lower() for c in taken}
-    for n in names:
-        while n.lower() in used:
-            n += "_"
-        used.add(n.lower())
-        out.append(n)
-    return out
-
-
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -219,15 +245,29 @@ def listed(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     """The text with every span replaced; spans that touch or overlap become one mark."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("to"), F.array().cast("array<string>").alias("parts"))
+    zero = F.array().cast("array<struct<start: bigint, end: bigint>>")
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["to"] + 1).cast("int"), (s["start"] - acc["to"]).cast("int"))
-        apart = (s["start"] > acc["to"]) | (F.size(acc["parts"]) == 0)
-        return F.struct(F.greatest(acc["to"], s["end"]).alias("to"), F.when(apart, F.concat(acc["parts"], F.array(gap, F.lit(mark)))).otherwise(acc["parts"]).alias("parts"))
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        touches = F.when(F.size(acc) > 0, s["start"] <= last["end"]).otherwise(F.lit(False))
+        return F.when(touches, longer).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+
+    merged = F.aggregate(spans, zero, step)
+
+    def kept(s: Column, i: Column) -> Column:
+        since = F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(F.lit(0).cast("bigint"))
+        return F.substring(text, (since + 1).cast("int"), (s["start"] - since).cast("int"))
+
+    end = F.element_at(merged, -1)["end"]
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(F.transform(merged, kept), mark), F.lit(mark), F.substring(text, (end + 1).cast("int"), F.length(text))))
+
 
-    done = F.aggregate(spans, zero, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(done["parts"], ""), F.substring(text, (done["to"] + 1).cast("int"), F.length(text))))
+def redact(documents: DataFrame, *, text: str = "text", rules=RULES, mark: str = "[REDACTED]") -> DataFrame:
+    """The documents with every secret of their texts replaced by the mark, and the same columns."""
+    (spans,) = free(documents.columns, "spans_")
+    found = scan(documents, text=text, rules=rules, into=spans)
+    return found.withColumn(text, redacted(F.col(quoted(text)), F.col(spans), mark)).select(*[quoted(c) for c in documents.columns])
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
