@@ -1,10 +1,15 @@
-"""CIGAR strings as native expressions. A ciglet is a struct (inc, op)."""
+"""CIGAR strings as native expressions (but for ``aligned_pair``). A ciglet is a struct (inc, op)."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.shipping import ship
+
 OPS = "MIDNSHP=X"
 REF_OPS, QUERY_OPS = ("M", "D", "N", "=", "X"), ("M", "I", "S", "=", "X")
 LARGEST = "18446744073709551615"
@@ -84,25 +89,53 @@ def reversed_cigar(col: Column) -> Column:
     return of_ciglets(F.reverse(ciglets(col)))
 
 
+def clipped(col: Column) -> Column:
+    """(start, end): how many bases of the query soft clips take at both ends."""
+    lead, trail = F.regexp_extract(col, r"^(?:[0-9]+[HS])+", 0), F.regexp_extract(without_leading_clips(col), r"(?:[0-9]+[HS])+\z", 0)
+    total = lambda x: F.aggregate(F.filter(ciglets(x), lambda c: c["op"] == "S"), F.lit(0).cast("bigint"), lambda a, c: a + c["inc"])
+    return F.struct(total(lead).alias("start"), total(trail).alias("end"))
+
+
+def without_leading_clips(col: Column) -> Column:
+    return F.regexp_replace(col, r"^(?:[0-9]+[HS])+", "")
+
+
 def without_clipping(col: Column) -> Column:
     """Without hard and soft clips at both ends."""
     return F.regexp_replace(F.regexp_replace(col, r"^(?:[0-9]+[HS])+", ""), r"(?:[0-9]+[HS])+\z", "")
 
 
+def paired(ref: str, query: str, cigar: str, start: int) -> tuple[str, str]:
+    """Both sequences with gaps, by one pass over the operations."""
+    r, q, a, b = start, 0, [], []
+    for n, op in re.findall(rf"([0-9]+)([{OPS}])", cigar):
+        n = int(n)
+        in_ref, in_query = op in "M=XDN", op in "M=XI"
+        if in_ref:
+            a.append(ref[r : r + n])
+        elif op == "I":
+            a.append("-" * n)
+        if in_query:
+            b.append(query[q : q + n])
+        elif op in "DN":
+            b.append(("-" if op == "D" else "N") * n)
+        r, q = r + n * in_ref, q + n * (in_query or op == "S")
+    return "".join(a), "".join(b)
+
+
 def aligned_pair(ref: Column, query: Column, cigar: Column, ref_start: Column) -> Column:
-    """(ref, query) with gaps: ``-`` in the query for D, in the reference for I, N for N; S skips the query; H and P nothing."""
-    zero = F.struct(ref_start.cast("int").alias("r"), F.lit(0).alias("q"), F.lit("").alias("a"), F.lit("").alias("b"))
+    """(ref, query) with gaps: ``-`` in the query for D, in the reference for I, N for N; S skips the query; H and P nothing.
 
-    def step(acc: Column, c: Column) -> Column:
-        n, op = c["inc"].cast("int"), c["op"]
-        in_ref, in_query = op.isin("M", "=", "X", "D", "N"), op.isin("M", "=", "X", "I")
-        r, q = F.substring(ref, acc["r"] + 1, n), F.substring(query, acc["q"] + 1, n)
-        a = F.when(in_ref, r).when(op == "I", F.repeat(F.lit("-"), n)).otherwise(F.lit(""))
-        b = F.when(in_query, q).when(op == "D", F.repeat(F.lit("-"), n)).when(op == "N", F.repeat(F.lit("N"), n)).otherwise(F.lit(""))
-        return F.struct(F.when(in_ref, acc["r"] + n).otherwise(acc["r"]).alias("r"), F.when(in_query | (op == "S"), acc["q"] + n).otherwise(acc["q"]).alias("q"), F.concat(acc["a"], a).alias("a"), F.concat(acc["b"], b).alias("b"))
-
-    out = F.aggregate(ciglets(cigar), zero, step)
-    return F.struct(out["a"].alias("ref"), out["b"].alias("query"))
+    Arrow-batched: native substrings count from a sequence's start at every operation.
+    """
+    ship()
+
+    @F.pandas_udf("ref string, query string")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, s: pd.Series) -> pd.DataFrame:
+        rows = [paired(w, x, y, int(z)) if isinstance(w, str) and isinstance(x, str) and isinstance(y, str) and not pd.isna(z) else (None, None) for w, x, y, z in zip(a, b, c, s, strict=True)]
+        return pd.DataFrame(rows, columns=["ref", "query"], dtype=object)
+
+    return run(ref, query, cigar, ref_start)
 
 
 def inverted(cigar: Column) -> Column:

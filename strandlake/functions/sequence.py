@@ -251,6 +251,10 @@ def is_amino_acid(codon: Column) -> Column:
     return ~translate_codon(codon).isin("X", "*", "-", ".")
 
 
+#: Starts of windows that one piece of a fuzzy search holds.
+FUZZY_PIECE = 64
+
+
 # Search -------------------------------------------------------------------------------------------------------------
 
 
@@ -281,8 +285,8 @@ def find_mapped(col: Column, needle: str, by: ByteMap) -> Column:
 def find_fuzzy(col: Column, needle: str, k: int) -> Column:
     """The leftmost window with at most k substitutions.
 
-    k + 1 parts of the needle cannot all be changed by k substitutions, so places are taken from exact matches of a part
-    (found by one pass each) and only those windows are compared letter by letter.
+    k + 1 parts of the needle cannot all be changed by k substitutions, so only pieces of the sequence that hold a part are
+    looked at. Pieces are short (the needle's length and ``FUZZY_PIECE`` more), so the cost follows the sequence's length.
     """
     n = len(needle)
     if not n:
@@ -290,23 +294,23 @@ def find_fuzzy(col: Column, needle: str, k: int) -> Column:
     if k >= n:
         return F.when(F.length(col) >= n, _range(F.lit(1), F.lit(n)))
     cuts = [n * i // (k + 1) for i in range(k + 2)]
-    starts = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        # lengths up to each match of the part, found with a lookahead so that overlapping matches count
-        pieces = F.split(col, f"(?={_escaped(needle[a:b])})")
-        ends = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-        starts.append(F.transform(ends, _minus(a)))
-    valid = F.filter(F.sort_array(F.array_distinct(F.flatten(F.array(*starts)))), lambda s: (s >= 0) & (s + n <= F.length(col)))
-
-    def differing(s: Column) -> Column:
-        return sum((F.when(F.substr(col, s + i + 1, F.lit(1)) != c, 1).otherwise(0) for i, c in enumerate(needle)), F.lit(0))
+    parts = [needle[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    size = FUZZY_PIECE
+    windows = F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{1,{size + n - 1}}})).{{1,{size}}}"), F.lit(1))
 
-    first = F.get(F.filter(valid, lambda s: differing(s) <= k), F.lit(0))
-    return F.when(F.length(col) >= n, _range(F.coalesce(first + 1, F.lit(0)), F.lit(n)))
+    def differing(w: Column) -> Column:
+        return sum((F.when(F.substr(w, F.lit(i + 1), F.lit(1)) != c, 1).otherwise(0) for i, c in enumerate(needle)), F.lit(0))
 
+    def first(piece: Column, at: Column) -> Column:
+        window = lambda s: F.substr(piece, s + 1, F.lit(n))
+        fits = F.filter(F.sequence(F.lit(0), F.length(piece) - n), lambda s: (F.levenshtein(window(s), F.lit(needle), k) >= 0) & (differing(window(s)) <= k))
+        some = F.lit(False)
+        for p in parts:
+            some = some | F.contains(piece, F.lit(p))
+        return F.when((F.length(piece) >= n) & some, F.get(fits, F.lit(0)) + at * size)
 
-def _minus(n: int):
-    return lambda x: x - n
+    found = F.get(F.array_compact(F.transform(windows, first)), F.lit(0))
+    return F.when(F.length(col) >= n, _range(F.coalesce(found + 1, F.lit(0)), F.lit(n)))
 
 
 def _escaped(text: str) -> str:
@@ -334,6 +338,19 @@ def find_byte(col: Column, any_of: str) -> Column:
     return F.when(before < F.length(col), before)
 
 
+def position(col: Column, chars: str | None = None, *, pattern: str | None = None) -> Column:
+    """The first place of a character of ``chars``, or of one that ``pattern`` (an expression of one character) matches."""
+    if pattern is None:
+        return find_byte(col, chars or "")
+    before = F.length(F.regexp_extract(col, f"(?s)^(?:(?!{pattern}).)*", 0))
+    return F.when(before < F.length(col), before)
+
+
+def last_position(col: Column, chars: str | None = None, *, pattern: str | None = None) -> Column:
+    """The last such place."""
+    return F.length(col) - 1 - position(F.reverse(col), chars, pattern=pattern)
+
+
 def find_last_byte(col: Column, any_of: str) -> Column:
     at = find_byte(F.reverse(col), any_of)
     return F.length(col) - 1 - at
@@ -364,9 +381,8 @@ def _shifted(r: Column, by: Column) -> Column:
 
 
 def stepped_windows(col: Column, size: int, step: int) -> Column:
-    """All full windows, left to right; the shorter rest is ``final_partial_window``."""
-    last = F.length(col) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.floor(last / step).cast("int")), lambda i: F.substr(col, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """All full windows, left to right, by one pass; the shorter rest is ``final_partial_window``."""
+    return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{size}}})).{{1,{step}}}"), F.lit(1))
 
 
 def final_partial_window(col: Column, size: int, step: int) -> Column:

@@ -1,8 +1,9 @@
 """Pairwise alignment with affine gaps, in Arrow batches.
 
 A gap of k costs ``gap_open + (k - 1) * gap_extend``, both from -127 to 0 and the extension no worse than the opening. A row
-of the matrix is filled at once: gaps in the reference direction come from the row above, and gaps along the row are a
-running maximum, because a gap that follows another gap is never better than one longer gap. Of equal scores the first in
+of the matrix is filled at once, for all pairs of like size in a batch together: gaps in the reference direction come from
+the row above, and gaps along the row are a running maximum, because a gap that follows another gap is never better than
+one longer gap. Of equal scores the first in
 row order is the end; the way back prefers to go on with a gap, then deletions, insertions and matches.
 """
 
@@ -21,7 +22,7 @@ from strandlake.shipping import ship
 
 ALIGNMENT = "status string, score bigint, ref_start bigint, ref_end bigint, query_start bigint, query_end bigint, cigar string, ref_len bigint, query_len bigint"
 UP, LEFT, STOP, UP_MORE, LEFT_MORE = 1, 2, 4, 8, 16
-NONE = -(1 << 40)
+NONE = -(1 << 29)
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,30 @@ class Weights:
     def dna(match: int, mismatch: int, ignoring: str | None = "N") -> Weights:
         return Weights.simple("ACGTN", match, mismatch, ignoring, "N", (("U", "T"),))
 
+    @staticmethod
+    def from_function(alphabet: str, score, rest: str | None = None) -> Weights:
+        """``score(reference letter, query letter)`` for each pair of letters."""
+        return Weights(alphabet, tuple(tuple(int(score(a, b)) for b in alphabet) for a in alphabet), rest or alphabet[0])
+
+    def subset(self, alphabet: str, rest: str | None = None) -> Weights:
+        """The scores of some letters, in this order."""
+        if not set(alphabet) <= set(self.alphabet):
+            raise ValueError("the letters are not a subset of the matrix's")
+        at = [self.alphabet.index(c) for c in alphabet]
+        return Weights(alphabet, tuple(tuple(self.table[i][j] for j in at) for i in at), rest or (self.rest if self.rest in alphabet else alphabet[0]), tuple((a, b) for a, b in self.synonyms if b in alphabet))
+
+    def biased(self) -> tuple[Weights, int]:
+        """The matrix shifted so that no score is negative, and the shift (0 or the least score)."""
+        bias = min(0, min(map(min, self.table)))
+        return Weights(self.alphabet, tuple(tuple(x - bias for x in row) for row in self.table), self.rest, self.synonyms), bias
+
+    def get(self, ref: str, query: str) -> int:
+        return int(self.array()[self._lookup()[ord(ref)], self._lookup()[ord(query)]])
+
+    def text(self) -> str:
+        """The usual text form, as ``parse_matrix`` reads it."""
+        return "\n".join(["  " + " ".join(f"{c:>3}" for c in self.alphabet), *(a + " " + " ".join(f"{x:>3}" for x in row) for a, row in zip(self.alphabet, self.table, strict=True))]) + "\n"
+
     def codes(self, text: str) -> np.ndarray:
         lut = self._lookup()
         return lut[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
@@ -76,50 +101,142 @@ def run_lengths(ops: list[tuple[int, str]]) -> str:
     return "".join(f"{n}{op}" for n, op in out)
 
 
-def fill(ref: np.ndarray, query: np.ndarray, weights: np.ndarray, go: int, ge: int, mode: str, band: int | None = None, trace: bool = True):
-    """(best score, its row, its column, flags). mode: local or global."""
-    n, m = len(ref), len(query)
-    local = mode == "local"
-    profile = weights[:, query]
-    col = np.arange(m, dtype=np.int64)
-    above = np.zeros(m, np.int64) if local else go + ge * col
-    gap = above + go  # E: ends with a gap that consumes the reference
-    flags = np.zeros((n, m), np.uint8) if trace else None
-    best, at = 0, (0, 0)
-    for r in range(n):
-        lo, hi = (0, m) if band is None else (max(0, r - band), min(m, r + band + 1))
+def padded(codes: list[np.ndarray]) -> np.ndarray:
+    """Sequences as rows of one array, filled up with the first letter."""
+    out = np.zeros((len(codes), max(map(len, codes), default=0)), np.intp)
+    for i, c in enumerate(codes):
+        out[i, : len(c)] = c
+    return out
+
+
+class Rows:
+    """The rows of many matrices, one after another: pairs of like size are filled in step.
+
+    What stands right of a query's end never reaches a cell left of it, so padding changes nothing; best scores are taken
+    from each pair's own cells. ``state`` and ``restore`` let a matrix be filled again from a row on.
+    """
+
+    def __init__(self, refs: list[np.ndarray], queries: list[np.ndarray], weights: np.ndarray, go: int, ge: int, mode: str, band: int | None = None) -> None:
+        self.ref, self.query, self.weights, self.go, self.ge = padded(refs), padded(queries), weights.astype(np.int32), go, ge
+        self.n, self.m = np.array([len(x) for x in refs]), np.array([len(x) for x in queries])
+        self.local, self.band, self.r = mode == "local", band, 0
+        b, m = self.query.shape
+        self.col = np.arange(m, dtype=np.int32)
+        self.own = self.col[None, :] < self.m[:, None]
+        self.above = np.zeros((b, m), np.int32) if self.local else np.repeat((go + ge * self.col)[None, :], b, 0)
+        self.gap = self.above + np.int32(go)  # E: ends with a gap that consumes the reference
+        if band is not None and not self.local:
+            self.gap[:, band + 1 :] = NONE  # what the band has not reached yet
+        self.best, self.at = np.zeros(b, np.int64), np.zeros((b, 2), np.int64)
+        if not self.local:
+            self.best = np.where(self.n > 0, 0, go + ge * (self.m - 1)).astype(np.int64)
+            self.at = np.column_stack((self.n - 1, self.m - 1))
+
+    def state(self) -> tuple:
+        return self.r, self.above.copy(), self.gap.copy()
+
+    def restore(self, state: tuple) -> None:
+        self.r, self.above, self.gap = state[0], state[1].copy(), state[2].copy()
+
+    def step(self, trace: bool = False) -> np.ndarray | None:
+        """Fills the next row; its flags if asked for. Right of the band nothing is filled."""
+        r, go, ge = self.r, self.go, self.ge
+        self.r += 1
+        b, m = self.query.shape
+        lo, hi = (0, m) if self.band is None else (max(0, r - self.band), min(m, r + self.band + 1))
+        flags = np.zeros((b, m), np.uint8) if trace else None
         if lo >= hi:
-            break
-        edge = 0 if local else (0 if r == 0 else go + ge * (r - 1))  # left of the row above
-        left = 0 if local else go + ge * r  # left of this row
-        diagonal = np.empty(hi - lo, np.int64)
-        diagonal[1:] = above[lo : hi - 1]
-        diagonal[0] = above[lo - 1] if lo else edge
-        e = gap[lo:hi]
-        x = np.maximum(diagonal + profile[ref[r], lo:hi], e)
-        if local:
+            return flags
+        edge = 0 if self.local or r == 0 else go + ge * (r - 1)  # left of the row above
+        left = 0 if self.local else go + ge * r  # left of this row
+        x = np.empty((b, hi - lo), np.int32)
+        x[:, 1:] = self.above[:, lo : hi - 1]
+        x[:, 0] = self.above[:, lo - 1] if lo else edge
+        x += self.weights[self.ref[:, r][:, None], self.query[:, lo:hi]]
+        e = self.gap[:, lo:hi]
+        np.maximum(x, e, out=x)
+        if self.local:
             np.maximum(x, 0, out=x)
-        place = col[: hi - lo]
-        run = np.empty(hi - lo, np.int64)
-        run[0] = (left if lo == 0 else 0) + go
-        run[1:] = x[:-1] + go - ge * (place[:-1] + 1)
-        f = np.maximum.accumulate(run) + ge * place
+        place = self.col[: hi - lo] * np.int32(ge)
+        run = np.empty((b, hi - lo), np.int32)
+        run[:, 0] = left + go if lo == 0 else go if self.local else NONE
+        run[:, 1:] = x[:, :-1] - place[:-1] + np.int32(go - ge)
+        f = np.maximum.accumulate(run, axis=1)
+        f += place
         h = np.maximum(x, f)
-        if local and (top := int(h.max())) > best:
-            best, at = top, (r, lo + int(h.argmax()))
-        opened = h + go
+        if self.local:
+            top = np.where(self.own[:, lo:hi], h, -1)
+            c = top.argmax(1)
+            value = top[np.arange(b), c]
+            new = (value > self.best) & (r < self.n)
+            self.best[new], self.at[new, 0], self.at[new, 1] = value[new], r, lo + c[new]
+        else:
+            done = np.flatnonzero(self.n - 1 == r)
+            last = self.m[done] - 1
+            inside = (last >= lo) & (last < hi)
+            self.best[done] = np.where(inside, h[done, np.clip(last - lo, 0, hi - lo - 1)], self.above[done, last])
+        opened = h + np.int32(go)
         if trace:
             mark = UP * (e == h) + LEFT * (f == h)
             more = UP_MORE * (e + ge > opened) + LEFT_MORE * (f + ge > opened)
-            if local:
+            if self.local:
                 mark = mark + STOP * (h == 0)
                 more = np.where(h == 0, 0, more)
-            flags[r, lo:hi] = mark + more
-        gap[lo:hi] = np.maximum(e + ge, opened)
-        above[lo:hi] = h
-    if not local:
-        best, at = (int(above[-1]) if n else go + ge * (m - 1)), (n - 1, m - 1)
-    return best, *at, flags
+            flags[:, lo:hi] = mark + more
+        self.gap[:, lo:hi] = np.maximum(e + np.int32(ge), opened)
+        self.above[:, lo:hi] = h
+        return flags
+
+
+def fill(ref: np.ndarray, query: np.ndarray, weights: np.ndarray, go: int, ge: int, mode: str, band: int | None = None, trace: bool = True):
+    """(best score, its row, its column, flags) of one pair. mode: local or global."""
+    rows = Rows([ref], [query], weights, go, ge, mode, band)
+    flags = np.zeros((len(ref), len(query)), np.uint8) if trace else None
+    for r in range(len(ref)):
+        f = rows.step(trace)
+        if trace:
+            flags[r] = f[0]
+    return int(rows.best[0]), int(rows.at[0, 0]), int(rows.at[0, 1]), flags
+
+
+class Blocks:
+    """Flags of a matrix that is too large to keep: rows are kept at intervals, and the flags between two of them are filled
+    again when the way back comes there. Cell by cell they are those of the whole matrix."""
+
+    def __init__(self, ref: np.ndarray, query: np.ndarray, weights: np.ndarray, go: int, ge: int, mode: str, band: int | None = None) -> None:
+        self.rows = Rows([ref], [query], weights, go, ge, mode, band)
+        self.every = max(int(len(ref) ** 0.5), 1)
+        self.kept = []
+        for r in range(len(ref)):
+            if r % self.every == 0:
+                self.kept.append(self.rows.state())
+            self.rows.step()
+        self.best, self.r, self.c = int(self.rows.best[0]), int(self.rows.at[0, 0]), int(self.rows.at[0, 1])
+        self.block, self.held = -1, np.zeros((0, 0), np.uint8)
+
+    def __getitem__(self, place: tuple[int, int]) -> int:
+        r, c = place
+        if r // self.every != self.block:
+            self.block = r // self.every
+            self.rows.restore(self.kept[self.block])
+            self.held = np.concatenate([self.rows.step(True) for _ in range(min(self.every, self.rows.ref.shape[1] - self.block * self.every))])
+        return self.held[r % self.every, c]
+
+
+def in_step(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int):
+    """Indices of pairs in groups of like size whose padded matrices have up to ``cells`` cells together (or one pair)."""
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
+    group: list[int] = []
+    n = m = 0
+    for i in order:
+        a, b = max(n, len(pairs[i][0])), max(m, len(pairs[i][1]))
+        if group and a * b * (len(group) + 1) > cells:
+            yield group
+            group, a, b = [], len(pairs[i][0]), len(pairs[i][1])
+        group.append(i)
+        n, m = a, b
+    if group:
+        yield group
 
 
 def way_back(flags: np.ndarray, r: int, c: int, local: bool) -> tuple[int, int, list[tuple[int, str]]]:
@@ -143,13 +260,8 @@ def way_back(flags: np.ndarray, r: int, c: int, local: bool) -> tuple[int, int,
     return r, c, ops
 
 
-def align_pair(ref: str, query: str, weights: Weights, go: int, ge: int, mode: str = "local", band: int | None = None) -> tuple:
+def result(mode: str, n: int, m: int, score: int, r: int, c: int, flags) -> tuple:
     """One alignment, in the order of ALIGNMENT."""
-    if not query:
-        raise ValueError("the query is empty")
-    n, m = len(ref), len(query)
-    a, b = weights.codes(ref), weights.codes(query)
-    score, r, c, flags = fill(a, b, weights.array(), go, ge, mode, band)
     if mode == "global":
         if not n:
             return "Some", score, 0, 0, 0, m, f"{m}I", 0, m
@@ -161,14 +273,96 @@ def align_pair(ref: str, query: str, weights: Weights, go: int, ge: int, mode: s
     return "Some", score, i, r + 1, j, c + 1, run_lengths([(j, "S"), *reversed(ops), (m - c - 1, "S")]), n, m
 
 
-def rescore(ref: str, query: str, cigar: str, ref_start: int, weights: Weights, go: int, ge: int) -> int:
-    """The score of an alignment from its operations alone."""
+def align_pairs(pairs: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, go: int, ge: int, mode: str = "local", band: int | None = None, cells: int = 1 << 24) -> list[tuple]:
+    """Alignments of encoded pairs (reference, query). cells: how many cells' flags are held at a time (a byte each)."""
+    out: list = [None] * len(pairs)
+    for group in in_step(pairs, cells):
+        refs, queries = [pairs[i][0] for i in group], [pairs[i][1] for i in group]
+        if len(group) == 1 and len(refs[0]) * len(queries[0]) > cells:
+            flags = Blocks(refs[0], queries[0], weights, go, ge, mode, band)
+            out[group[0]] = result(mode, len(refs[0]), len(queries[0]), flags.best, flags.r, flags.c, flags)
+            continue
+        rows = Rows(refs, queries, weights, go, ge, mode, band)
+        steps = [rows.step(True) for _ in range(rows.ref.shape[1])]
+        flags = np.stack(steps, 1) if steps else np.zeros((len(group), 0, 0), np.uint8)
+        for k, i in enumerate(group):
+            out[i] = result(mode, len(refs[k]), len(queries[k]), int(rows.best[k]), int(rows.at[k, 0]), int(rows.at[k, 1]), flags[k])
+    return out
+
+
+def score_pairs(pairs: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, go: int, ge: int, mode: str = "local") -> list[tuple[int, int, int]]:
+    """(best score, its row, its column) of encoded pairs: a row of each matrix is kept at a time."""
+    out: list = [None] * len(pairs)
+    for group in in_step(pairs, 1 << 24):
+        rows = Rows([pairs[i][0] for i in group], [pairs[i][1] for i in group], weights, go, ge, mode)
+        for _ in range(rows.ref.shape[1]):
+            rows.step()
+        for k, i in enumerate(group):
+            out[i] = int(rows.best[k]), int(rows.at[k, 0]), int(rows.at[k, 1])
+    return out
+
+
+def align_pair(ref: str, query: str, weights: Weights, go: int, ge: int, mode: str = "local", band: int | None = None) -> tuple:
+    """One alignment, in the order of ALIGNMENT."""
+    if not query:
+        raise ValueError("the query is empty")
+    return align_pairs([(weights.codes(ref), weights.codes(query))], weights.array(), go, ge, mode, band)[0]
+
+
+def ranges_of(pairs: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, go: int, ge: int) -> list[tuple | None]:
+    """(score, ref_start, ref_end, query_start, query_end) of the best local alignments, without a way back.
+
+    The second pass runs over both sequences reversed from the end on: where the score is met first, an alignment begins.
+    """
+    ends = score_pairs(pairs, weights, go, ge)
+    live = [i for i, (s, _, _) in enumerate(ends) if s > 0]
+    turned = [(pairs[i][0][: ends[i][1] + 1][::-1], pairs[i][1][: ends[i][2] + 1][::-1]) for i in live]
+    out: list[tuple | None] = [None] * len(pairs)
+    for i, (s, r, c) in zip(live, score_pairs(turned, weights, go, ge), strict=True):
+        score, end_r, end_c = ends[i]
+        out[i] = score, end_r - r, end_r + 1, end_c - c, end_c + 1
+    return out
+
+
+def three_pass(ref: np.ndarray, query: np.ndarray, weights: np.ndarray, go: int, ge: int) -> tuple:
+    """An alignment of the best score from its ranges: without gaps where that scores as much, else in a band that doubles
+    until the score is met. Of equal paths it may be another than that of the whole matrix."""
+    n, m = len(ref), len(query)
+    found = ranges_of([(ref, query)], weights, go, ge)[0]
+    if found is None:
+        return "Unmapped", None, None, None, None, None, None, n, m
+    score, a, b, c, d = found
+    x, y = ref[a:b], query[c:d]
+    if len(x) == len(y) and int(weights[x, y].sum()) == score:
+        return "Some", score, a, b, c, d, run_lengths([(c, "S"), (len(x), "M"), (m - d, "S")]), n, m
+    band = max(abs(len(x) - len(y)), 1) + 1
+    while True:
+        got = align_pairs([(x, y)], weights, go, ge, "global", band if band < max(len(x), len(y)) else None)[0]
+        if got[1] == score or band >= max(len(x), len(y)):
+            return "Some", score, a, b, c, d, run_lengths([(c, "S"), *ciglets(got[6]), (m - d, "S")]), n, m
+        band *= 2
+
+
+class PathError(ValueError):
+    """Why a path has no score; ``kind`` names the fault."""
+
+    def __init__(self, kind: str, text: str) -> None:
+        super().__init__(text)
+        self.kind = kind
+
+
+def rescore(ref: str, query: str, cigar: str, ref_start: int, weights: Weights, go: int, ge: int, mode: str = "local") -> int:
+    """The score of an alignment from its operations alone. mode global: all of both sequences must be used."""
     a, b, w = weights.codes(ref), weights.codes(query), weights.array()
     r, q, total = ref_start, 0, 0
+    if "".join(f"{n}{op}" for n, op in ciglets(cigar)) != re.sub(r"(?<![0-9])0+(?=[1-9])", "", cigar):
+        raise PathError("InvalidCigar", "the operations are malformed")
     for n, op in ciglets(cigar):
+        if op in "M=XDN" and r + n > len(a):
+            raise PathError("ReferenceEnded", "the operations run past the reference's end")
+        if op in "M=XIS" and q + n > len(b):
+            raise PathError("QueryEnded", "the operations run past the query's end")
         if op in "M=X":
-            if r + n > len(a) or q + n > len(b):
-                raise ValueError("the operations run past a sequence's end")
             total += int(w[a[r : r + n], b[q : q + n]].sum())
             r, q = r + n, q + n
         elif op in "ID":
@@ -178,18 +372,51 @@ def rescore(ref: str, query: str, cigar: str, ref_start: int, weights: Weights,
             r += n
         elif op == "S":
             q += n
+    if mode == "global" and r < len(a):
+        raise PathError("ReferenceLeft", "some of the reference is left")
+    if q < len(b):
+        raise PathError("QueryLeft", "some of the query is left")
     return total
 
 
-def align(ref: Column, query: Column, weights: Weights, gap_open: int, gap_extend: int, mode: str = "local", band: int | None = None) -> Column:
-    """An ALIGNMENT struct for each pair of columns; null where either is null or the query is empty. mode: local or global."""
+def _frame(rows: list[tuple], schema: str = ALIGNMENT) -> pd.DataFrame:
+    names = [c.split() for c in schema.split(", ")]
+    return pd.DataFrame(rows, columns=[n for n, _ in names]).astype({n: "Int64" for n, t in names if t == "bigint"})
+
+
+def _encoded(a: pd.Series, b: pd.Series, weights: Weights) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+    """The rows that have both sequences, encoded; equal strings, such as one query against many references, once."""
+    known: dict[str, np.ndarray] = {}
+
+    def codes(x: str) -> np.ndarray:
+        if x not in known:
+            known[x] = weights.codes(x)
+        return known[x]
+
+    live = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if isinstance(x, str) and isinstance(y, str) and y]
+    return live, [(codes(a.iloc[i]), codes(b.iloc[i])) for i in live]
+
+
+def align(ref: Column, query: Column, weights: Weights, gap_open: int, gap_extend: int, mode: str = "local", band: int | None = None, *, strategy: str = "whole") -> Column:
+    """An ALIGNMENT struct for each pair of columns; null where either is null or the query is empty. mode: local or global.
+
+    strategy: "whole" fills the matrix (long pairs keep some of its rows and fill the rest again); "three_pass", for local
+    alignments, finds the ranges first and then fills a band.
+    """
     check_gaps(gap_open, gap_extend)
+    if strategy not in ("whole", "three_pass") or strategy == "three_pass" and (mode != "local" or band is not None):
+        raise ValueError("three passes are for local alignments without a band")
     ship()
 
     @F.pandas_udf(ALIGNMENT)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [align_pair(x, y, weights, gap_open, gap_extend, mode, band) if isinstance(x, str) and isinstance(y, str) and y else (None,) * 9 for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in ALIGNMENT.split(", ")]).astype({c.split()[0]: "Int64" for c in ALIGNMENT.split(", ") if "bigint" in c})
+        live, pairs = _encoded(a, b, weights)
+        table = weights.array()
+        found = align_pairs(pairs, table, gap_open, gap_extend, mode, band) if strategy == "whole" else [three_pass(x, y, table, gap_open, gap_extend) for x, y in pairs]
+        rows: list[tuple] = [(None,) * 9] * len(a)
+        for i, row in zip(live, found, strict=True):
+            rows[i] = row
+        return _frame(rows)
 
     return run(ref, query)
 
@@ -201,16 +428,52 @@ def score(ref: Column, query: Column, weights: Weights, gap_open: int, gap_exten
 
     @F.pandas_udf("bigint")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        table = weights.array()
-        out = []
-        for x, y in zip(a, b, strict=True):
-            s = fill(weights.codes(x), weights.codes(y), table, gap_open, gap_extend, mode, trace=False)[0] if isinstance(x, str) and isinstance(y, str) and y else None
-            out.append(None if s == 0 and mode == "local" else s)
+        live, pairs = _encoded(a, b, weights)
+        out: list = [None] * len(a)
+        for i, (s, _, _) in zip(live, score_pairs(pairs, weights.array(), gap_open, gap_extend, mode), strict=True):
+            out[i] = None if s == 0 and mode == "local" else s
         return pd.Series(out, dtype="Int64")
 
     return run(ref, query)
 
 
+RANGES = "score bigint, ref_start bigint, ref_end bigint, query_start bigint, query_end bigint"
+
+
+def score_ranges(ref: Column, query: Column, weights: Weights, gap_open: int, gap_extend: int) -> Column:
+    """A RANGES struct of the best local alignment of each pair, by two passes without a way back; nulls where unmapped."""
+    check_gaps(gap_open, gap_extend)
+    ship()
+
+    @F.pandas_udf(RANGES)
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        live, pairs = _encoded(a, b, weights)
+        rows: list[tuple] = [(None,) * 5] * len(a)
+        for i, row in zip(live, ranges_of(pairs, weights.array(), gap_open, gap_extend), strict=True):
+            rows[i] = row or (None,) * 5
+        return _frame(rows, RANGES)
+
+    return run(ref, query)
+
+
+def path_score(ref: Column, query: Column, alignment: Column, weights: Weights, gap_open: int, gap_extend: int, mode: str = "local") -> Column:
+    """(score, error) of alignments from their operations alone; error names what is wrong with a path, else null."""
+    check_gaps(gap_open, gap_extend)
+    ship()
+
+    @F.pandas_udf("score bigint, error string")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, start: pd.Series) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for x, y, z, s in zip(a, b, c, start, strict=True):
+            try:
+                rows.append((rescore(x, y, z, int(s), weights, gap_open, gap_extend, mode), None) if isinstance(z, str) and isinstance(x, str) and isinstance(y, str) else (None, None))
+            except PathError as e:
+                rows.append((None, e.kind))
+        return _frame(rows, "score bigint, error string")
+
+    return run(ref, query, alignment["cigar"], alignment["ref_start"])
+
+
 def may_align(ref: str, query: str, threshold: float) -> bool | None:
     """Whether the pair can be within ``floor(len(query) * threshold)`` edits: a lower bound that never rejects such a pair.
 
@@ -273,6 +536,21 @@ def invert(a: Column) -> Column:
     return F.struct(a["status"].alias("status"), a["score"].alias("score"), a["query_start"].alias("ref_start"), a["query_end"].alias("ref_end"), a["ref_start"].alias("query_start"), a["ref_end"].alias("query_end"), body.alias("cigar"), a["query_len"].alias("ref_len"), a["ref_len"].alias("query_len"))
 
 
+def status(alignment: Column, of: dict[str, Column] | None = None) -> Column:
+    """The column ``of`` names for the alignment's status (Some, Unmapped, Overflowed), else null: what to do in each case."""
+    out = F.lit(None)
+    for k, v in (of or {}).items():
+        out = F.when(alignment["status"] == k, v).otherwise(out)
+    return out
+
+
+def overflowing(alignment: Column, least: int = -(1 << 31), most: int = (1 << 31) - 1) -> Column:
+    """The alignment with the status Overflowed, and nothing else, where its score does not fit the range."""
+    fits = alignment["score"].isNull() | alignment["score"].between(least, most)
+    kept = [F.when(fits, alignment[c.split()[0]]).alias(c.split()[0]) for c in ALIGNMENT.split(", ")[1:-2]]
+    return F.struct(F.when(fits, alignment["status"]).otherwise("Overflowed").alias("status"), *kept, alignment["ref_len"].alias("ref_len"), alignment["query_len"].alias("query_len"))
+
+
 def parse_matrix(text: str) -> Weights:
     """A weight matrix from text: ``#`` comments, a header of letters, rows of numbers with or without a label."""
     lines = [x for x in (y.strip() for y in text.splitlines()) if x and not x.startswith("#")]

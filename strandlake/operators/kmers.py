@@ -1,7 +1,7 @@
 """K-mers as rows: sets, counts, mismatch variants, set algebra and search.
 
 A k-mer is a string over NACGT (three-bit encoding, others become N) or ACGT (two-bit, others become A). Everything is
-native: windows are generated inside the row and counted with map-side combine.
+native: sequences are cut into short pieces, windows are generated from these and counted with map-side combine.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from strandlake.functions.alphabets import KMER2, KMER3
 
 ALPHABET = "NACGT"
 MAX_THREE_BIT, MAX_TWO_BIT = 42, 64
+#: Bases of the pieces that sequences are cut into.
+PIECE = 128
 
 
 def normal(seq: Column, bits: int = 3) -> Column:
@@ -33,10 +35,18 @@ def windows(seq: Column, k: int, bits: int = 3, reverse: bool = False) -> Column
 
 
 def kmers(df: DataFrame, seq: str, k: int, *, bits: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each k-mer: the kept columns, its 0-based position and the k-mer."""
-    # the normal form is one column, so that it is computed once a sequence and not once a window
+    """A row for each k-mer: the kept columns, its 0-based position and the k-mer.
+
+    Sequences are cut into pieces of ``PIECE`` bases, each with the first k - 1 of the next, so that a window is cut from a
+    short string: the cost is proportional to the length, and no array holds more than a piece's windows.
+    """
     base = df.select(*keep, normal(F.col(seq), bits).alias("_n")).where(F.length("_n") >= check_length(k, bits))
-    return base.select(*keep, "_n", F.explode(F.sequence(F.lit(0), F.length("_n") - k)).alias("pos")).select(*keep, "pos", F.substr("_n", F.col("pos") + 1, F.lit(k)).alias("kmer"))
+    cut = F.regexp_extract_all("_n", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    base = base.select(*keep, cut.alias("_cut"))
+    whole = F.transform("_cut", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("_cut", i + 1), 1, k - 1), F.lit(""))))
+    pieces = base.select(*keep, F.posexplode(whole).alias("_at", "_n")).where(F.length("_n") >= k)
+    at = pieces.select(*keep, "_at", "_n", F.explode(F.sequence(F.lit(0), F.length("_n") - k)).alias("_pos"))
+    return at.select(*keep, (F.col("_at") * PIECE + F.col("_pos")).alias("pos"), F.substr("_n", F.col("_pos") + 1, F.lit(k)).alias("kmer"))
 
 
 def kmer_set(df: DataFrame, seq: str, k: int, *, bits: int = 3, mismatches: int = 0) -> DataFrame:
@@ -61,10 +71,9 @@ def variants(kmer: Column, k: int, n: int) -> Column:
 
 
 def encode(kmer: Column, bits: int = 3) -> Column:
-    """The packed number, as a string of decimal digits for any length up to 21 (three bits) or 32 (two bits)."""
-    if bits == 3:
-        return F.conv(F.translate(kmer, "NACGT", "34567"), 8, 10).cast("bigint")
-    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("bigint")
+    """The packed number as a long, up to 21 bases of three bits or 32 of two (a full 64 bits, so it may be negative)."""
+    most, code = (21, F.conv(F.translate(kmer, "NACGT", "34567"), 8, -10)) if bits == 3 else (32, F.conv(F.translate(kmer, "ACGT", "0123"), 4, -10))
+    return F.when(F.length(kmer) <= most, code.cast("bigint")).when(kmer.isNotNull(), F.raise_error("k-mers of this length are packed by encode_wide").cast("bigint"))
 
 
 def decode(code: Column, k: int, bits: int = 3) -> Column:
@@ -73,6 +82,26 @@ def decode(code: Column, k: int, bits: int = 3) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+#: The bits of each letter.
+BITS = {3: {"N": "011", "A": "100", "C": "101", "G": "110", "T": "111"}, 2: {"A": "00", "C": "01", "G": "10", "T": "11"}}
+
+
+def encode_wide(kmer: Column, bits: int = 3) -> Column:
+    """The packed number of any length (up to 42 bases of three bits, 64 of two) as a struct (high, low) of its 64-bit halves."""
+    letters = F.split(kmer, "")
+    table = F.create_map(*[F.lit(x) for pair in BITS[bits].items() for x in pair])
+    text = F.lpad(F.array_join(F.transform(letters, lambda c: F.try_element_at(table, c)), ""), 128, "0")
+    half = lambda at: F.conv(F.substring(text, at, 64), 2, -10).cast("bigint")
+    return F.when(kmer.isNotNull(), F.struct(half(1).alias("high"), half(65).alias("low")))
+
+
+def decode_wide(code: Column, k: int, bits: int = 3) -> Column:
+    half = lambda x: F.lpad(F.conv(F.hex(x), 16, 2), 64, "0")
+    text = F.substring(F.concat(half(code["high"]), half(code["low"])), 128 - bits * k + 1, bits * k)
+    table = F.create_map(*[F.lit(x) for a, b in BITS[bits].items() for x in (b, a)])
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f".{{{bits}}}"), F.lit(0)), lambda c: F.try_element_at(table, c)), "")
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("kmer").union(b.select("kmer")).distinct()
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bins of draws that a large sample's border is found by, and the size from which it is.
+BINS, SORTED = 1 << 16, 100_000
+
 
 def draw(key: str, seed: int) -> Column:
-    """A number from 0 to below 1 for each key."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / F.lit(float(1 << 53))
+    """A number from 0 to below 1 for each key: the first 52 bits of the MD5 of ``seed:key``."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 def bernoulli(df: DataFrame, key: str, p: float, seed: int = 42) -> DataFrame:
@@ -19,8 +22,21 @@ def bernoulli(df: DataFrame, key: str, p: float, seed: int = 42) -> DataFrame:
 
 
 def reservoir(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows, or all if there are fewer: the n least draws (each task keeps n at most)."""
-    return df.orderBy(draw(key, seed), key).limit(n)
+    """n rows, or all if there are fewer: the n least draws, of equal ones those of the least keys.
+
+    Small samples are a top n. For a large one rows are counted in bins of draws (65,536 counts), all rows of the bins below
+    the n-th draw are taken where they lie, and only its own bin is sorted: no task holds n rows.
+    """
+    if n <= SORTED:
+        return df.orderBy(draw(key, seed), key).limit(n)
+    bin_ = F.floor(draw(key, seed) * BINS).cast("int")
+    left, border = n, BINS
+    for b, count in sorted(tuple(r) for r in df.groupBy(bin_.alias("b")).count().where("b is not null").collect()):
+        if count > left:
+            border = b
+            break
+        left -= count
+    return df.where(bin_ < border).unionByName(df.where(bin_ == border).orderBy(draw(key, seed), key).limit(left))
 
 
 def known_size(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

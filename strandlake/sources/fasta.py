@@ -1,8 +1,9 @@
 """FASTA files.
 
-A record begins with ``>``: Spark's text reader splits files at that character, so large files are read in parallel and
-records are cut and cleaned by native expressions. The name is the rest of its line; line breaks of the sequence are
-removed and blanks inside it stay.
+A record begins with ``>`` at the start of a line: Spark's text reader splits files there, so large files are read in
+parallel and records are cut and cleaned by native expressions. The name is the rest of its line; line breaks of the
+sequence are removed and blanks inside it stay. A ``>`` anywhere else is a fault of its record. What stands before a file's
+first record is a record without a sequence, and so a fault, unless it is blank or has several lines.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from strandlake.functions.sequence import id_taxon
 
 def read_fasta(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST") -> DataFrame:
     """(name, sequence). mode: FAILFAST raises on a malformed record, DROPMALFORMED leaves it out, PERMISSIVE keeps it with the fault in ``_corrupt_record``."""
-    raw = spark.read.option("lineSep", ">").text(path)
+    if mode not in ("FAILFAST", "DROPMALFORMED", "PERMISSIVE"):
+        raise ValueError(f"no mode is called {mode}")
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    # what stands before a file's first record is blank, and is no record
+    records = raw.where(~F.col("value").rlike(r"^[ \t\r\n]*\z")).select(F.regexp_replace("value", r"^>", "").alias("value"))
     body = F.regexp_replace("value", r"^[^\r\n]*[\r\n]*", "")
     name = F.regexp_extract("value", r"^[^\r\n]*", 0)
     sequence = F.translate(body, "\r\n", "")
     has_line = F.col("value").rlike(r"[\r\n]")
-    # what stands before a file's first record is blank, and is no record
-    records = raw.where(~F.col("value").rlike(r"^[ \t\r\n]*\z"))
-    fault = F.when(~has_line & (F.trim("value") != ""), "no sequence follows the header, or the file does not start with '>', or '>' stands inside a line").when(F.trim(name) == "", "the header is empty").when(F.trim(sequence) == "", "the sequence is empty")
+    fault = F.when(~has_line & (F.trim("value") != ""), "no sequence follows the header, or the file does not start with '>'").when(F.trim(name) == "", "the header is empty").when(F.contains("value", F.lit(">")), "'>' stands inside a line").when(F.trim(sequence) == "", "the sequence is empty")
     out = records.select(name.alias("name"), sequence.alias("sequence"), fault.alias("_corrupt_record"))
     if mode == "PERMISSIVE":
         return out

@@ -1,11 +1,17 @@
 """FASTQ files.
 
-Records are four strict lines and are not self-delimiting (a quality line may start with ``@``), so a file is one task, as
-compressed FASTQ files are anyway: lines stream through an Arrow-batched parser, in bounded memory.
+Records are four strict lines and are not self-delimiting, as a quality line may start with ``@``. A plain file is read in
+splits: a task seeks to its split, finds the first record there (a line that starts with ``@`` whose second next starts
+with ``+`` and whose sequence and quality are of one length; a sequence does not start with ``+``), and parses on until the
+first record that begins behind its split. A gzip file is one task. Lines are streamed, so memory is bounded by a batch of
+records whatever a file's size. Files are opened by Arrow's file systems; where these do not know a path's scheme, Spark
+itself loads the file, up to the 2 GB that it can hold in a row.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,62 +22,161 @@ from strandlake.shipping import ship
 
 SCHEMA = "header string, sequence string, quality string"
 BATCH = 4096
+SPLIT_BYTES = 64 << 20
+MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
+
+
+def fault(header: str, sequence: str, plus: str, quality: str) -> str | None:
+    """What is wrong with the four lines of a record."""
+    if not header.startswith("@"):
+        return f"a FASTQ header must start with '@': {header[:50]!r}" if header else "missing FASTQ header"
+    if len(header) == 1:
+        return "missing FASTQ header"
+    if not sequence:
+        return f"missing FASTQ sequence: {header}"
+    if not plus.startswith("+"):
+        return f"missing '+' line: {header}"
+    if not quality:
+        return f"missing FASTQ quality scores: {header}"
+    if len(quality) != len(sequence):
+        return f"sequence and quality score length mismatch ({len(sequence)} and {len(quality)}): {header}"
+    if not quality.isascii() or not quality.isprintable() or " " in quality:
+        return f"the quality scores are not graphic ASCII: {header}"
+    return None
+
+
+def begins(lines: list[str]) -> bool:
+    """Whether a record starts at the first of these lines."""
+    return len(lines) >= 4 and lines[0].startswith("@") and lines[2].startswith("+") and len(lines[1]) == len(lines[3])
+
+
+def entries(lines: Iterator[tuple[int, str]], end: int | None = None) -> Iterator[tuple[str, str, str, str | None]]:
+    """(header, sequence, quality, fault) of the records that begin before ``end``. lines: each with its place in the file.
+
+    After a malformed record reading goes on where the next one begins.
+    """
+    held: list[tuple[int, str]] = []
+    lines = iter(lines)
+
+    def filled(n: int) -> bool:
+        while len(held) < n and (x := next(lines, None)) is not None:
+            held.append(x)
+        return len(held) >= n
+
+    while filled(1) and (end is None or held[0][0] < end):
+        filled(4)
+        texts = [x for _, x in held[:4]] + [""] * (4 - len(held[:4]))
+        wrong = fault(*texts)
+        if wrong is None:
+            yield texts[0][1:], texts[1], texts[3], None
+            del held[:4]
+            continue
+        yield texts[0].removeprefix("@"), texts[1], texts[3], wrong
+        del held[:1]
+        while filled(1) and not (filled(4) and begins([x for _, x in held[:4]])):
+            del held[:1]
 
 
 def parse(lines: Iterator[str]) -> Iterator[tuple[str, str, str]]:
     """Records of lines without line ends; a ValueError says what is wrong."""
-    lines = iter(lines)
-    for header in lines:
-        if not header.startswith("@"):
-            raise ValueError(f"a FASTQ header must start with '@': {header[:50]!r}" if header else "missing FASTQ header")
-        if len(header) == 1:
-            raise ValueError("missing FASTQ header")
-        sequence, plus, quality = (next(lines, "") for _ in range(3))
-        if not sequence:
-            raise ValueError(f"missing FASTQ sequence: {header}")
-        if not plus.startswith("+"):
-            raise ValueError(f"missing '+' line: {header}")
-        if not quality:
-            raise ValueError(f"missing FASTQ quality scores: {header}")
-        if len(quality) != len(sequence):
-            raise ValueError(f"sequence and quality score length mismatch ({len(sequence)} and {len(quality)}): {header}")
-        if any(not "!" <= c <= "~" for c in quality):
-            raise ValueError(f"the quality scores are not graphic ASCII: {header}")
-        yield header[1:], sequence, quality
-
-
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(header, sequence, quality) of files, plain or gzip; malformed records and empty files raise."""
+    for header, sequence, quality, wrong in entries((0, x) for x in lines):
+        if wrong:
+            raise ValueError(wrong)
+        yield header, sequence, quality
+
+
+def _lines(stream: io.BufferedIOBase, at: int = 0) -> Iterator[tuple[int, str]]:
+    for line in stream:
+        yield at, line.rstrip(b"\r\n").decode("utf-8", "replace")
+        at += len(line)
+
+
+def _opened(path: str, start: int):
+    """The lines of a file from the first that begins at ``start`` or later, each with its place."""
+    from urllib.parse import unquote
+
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + unquote(path.removeprefix("file:")))
+    if path.endswith(".gz"):
+        return _lines(gzip.GzipFile(fileobj=system.open_input_stream(name, compression=None)))
+    stream = io.BufferedReader(system.open_input_file(name), 1 << 20)
+    if start:
+        stream.seek(start - 1)
+        start += len(stream.readline()) - 1
+    return _lines(stream, start)
+
+
+def _aligned(lines: Iterator[tuple[int, str]], end: int | None) -> Iterator[tuple[int, str]]:
+    """The lines from the first record on; nothing if none begins before ``end``."""
+    held: list[tuple[int, str]] = []
+    for x in lines:
+        held.append(x)
+        if len(held) == 4:
+            if end is not None and held[0][0] >= end:
+                return
+            if begins([t for _, t in held]):
+                yield from held
+                yield from lines
+                return
+            del held[:1]
+
+
+def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(header, sequence, quality) of files, plain or gzip. An empty file raises in FAILFAST.
+
+    mode: FAILFAST raises on a malformed record, DROPMALFORMED leaves it out, PERMISSIVE keeps it with the fault in
+    ``_corrupt_record``.
+    """
+    if mode not in MODES:
+        raise ValueError(f"no mode is called {mode}")
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path)
+    known = F.col("path").rlike(r"^(file|hdfs|s3|gs|abfss?)[^/]*:/")
+    whole = F.endswith("path", F.lit(".gz")) | ~known
+    starts = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint")))
+    splits = files.where(known).select("path", "length", F.explode(starts).alias("start"), whole.alias("whole"), F.lit(None).cast("binary").alias("content"))
+    n = splits.count()
+    splits = splits.repartition(max(n, 1), "path", "start")
+    others = files.where(~known).select("path", "length", F.lit(0).cast("bigint").alias("start"), F.lit(True).alias("whole"), "content")
+    schema = SCHEMA + ", _corrupt_record string" * (mode == "PERMISSIVE")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-        import io
-
         for batch in batches:
-            for path_, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                stream = io.BytesIO(content.as_buffer())
-                stream = gzip.GzipFile(fileobj=stream) if path_.endswith(".gz") else stream
-                text = io.TextIOWrapper(stream, "utf-8", newline="\n")
-                held: list[tuple] = []
+            for file, length, start, entire, content in zip(*(batch[c].to_pylist() for c in ("path", "length", "start", "whole")), batch["content"], strict=True):
+                end = None if entire or start + split_bytes >= length else start + split_bytes
+                if content.is_valid:
+                    stream = io.BytesIO(content.as_buffer())
+                    lines = _lines(gzip.GzipFile(fileobj=stream) if file.endswith(".gz") else stream)
+                else:
+                    lines = _opened(file, start)
+                rows: list[tuple] = []
                 some = False
-                for record in parse(x.rstrip("\r\n") for x in text):
+                for record in entries(_aligned(lines, end) if start else lines, end):
                     some = True
-                    held.append(record)
-                    if len(held) == BATCH:
-                        yield _batch(held)
-                        held = []
-                if not some:
+                    if record[3] and mode != "PERMISSIVE":
+                        if mode == "FAILFAST":
+                            raise ValueError(record[3])
+                        continue
+                    rows.append(record if mode == "PERMISSIVE" else record[:3])
+                    if len(rows) == BATCH:
+                        yield _batch(rows, schema)
+                        rows = []
+                if not some and not start and mode == "FAILFAST":
                     raise ValueError("No FASTQ data found!")
-                if held:
-                    yield _batch(held)
+                if rows:
+                    yield _batch(rows, schema)
 
-    return files.mapInArrow(run, SCHEMA)
+    out = splits.mapInArrow(run, schema)
+    if others.select("path").isEmpty():
+        if not n and mode == "FAILFAST":  # Spark lists no files without bytes
+            raise ValueError("No FASTQ data found!")
+        return out
+    return out.unionByName(others.mapInArrow(run, schema))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["header", "sequence", "quality"])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
 
 def reverse_complement(records: DataFrame) -> DataFrame:

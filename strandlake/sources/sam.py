@@ -35,14 +35,21 @@ def read_sam(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST",
 
 
 def read_sam_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(line) of the header."""
-    return spark.read.text(path).where(F.startswith("value", F.lit("@"))).select(F.col("value").alias("line"))
+    """(line, idx) of the header in its order, from the start of the first file (by name)."""
+    first = min(spark.read.text(path).inputFiles())
+    lines, n = spark.sparkContext.textFile(first), 1024
+    while True:  # ``take`` reads a file's first split first
+        head = lines.take(n)
+        size = next((i for i, x in enumerate(head) if not x.startswith("@")), len(head))
+        if size < len(head) or len(head) < n:
+            return spark.createDataFrame([(x.rstrip("\r"), i) for i, x in enumerate(head[:size])], "line string, idx int")
+        n *= 4
 
 
 def reference_order(header: DataFrame) -> DataFrame:
-    """(rname, idx) of a header's @SQ lines in their order. A header is small and comes from the start of one file."""
-    names = [r[0] for r in header.where(F.startswith("line", F.lit("@SQ"))).select(F.regexp_extract("line", r"\tSN:([^\t]+)", 1)).collect()]
-    return header.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "rname string, idx int")
+    """(rname, idx) of a header's @SQ lines in their order."""
+    name = F.regexp_extract("line", r"\tSN:([^\t]+)", 1)
+    return header.where(F.startswith("line", F.lit("@SQ"))).select(name.alias("rname"), "idx")
 
 
 def sam_line(record: dict[str, Column]) -> Column:
@@ -58,11 +65,12 @@ def write_sam(records: DataFrame, path: str, header: DataFrame | None = None, mo
     line = sam_line({c: F.col(c) for c in records.columns}).alias("value")
     body = records.select(line)
     if header is not None:
-        body = header.select(F.col("line").alias("value")).coalesce(1).unionByName(body)
+        head = header.orderBy("idx") if "idx" in header.columns else header
+        body = head.select(F.col("line").alias("value")).coalesce(1).unionByName(body)
     body.write.mode(mode).text(path)
 
 
 def sorted_header(header: DataFrame) -> DataFrame:
-    """The header of a coordinate-sorted file: the @HD line first."""
-    first = header.sparkSession.createDataFrame([(HEADER,)], "line string")
-    return first.unionByName(header.where(~F.startswith("line", F.lit("@HD"))))
+    """The header (line, idx) of a coordinate-sorted file: the @HD line first."""
+    first = header.sparkSession.createDataFrame([(HEADER, -1)], "line string, idx int")
+    return first.unionByName(header.where(~F.startswith("line", F.lit("@HD"))).select("line", "idx"))
