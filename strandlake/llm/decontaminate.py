@@ -7,8 +7,8 @@ find every such span; a hit is then extended word by word, and counts where it c
 Items of fewer words than the window are one window each, with fingerprints of their own length.
 
 Test items are indexed once. Up to ``index_limit`` bytes of them are broadcast and documents are matched as they are
-scanned, without a shuffle. Beyond it fingerprints of documents are joined with those of items, and the pairs found are
-extended item by item (``_joined``).
+scanned, without a shuffle. Beyond it documents' fingerprints that items have too are extended to the windows around them and
+joined with the items' windows (``_joined``). Both ways compare the words themselves, not only their hashes.
 
 Cases: a null or empty text has no words; items with a null id or no words never match; rows that repeat a doc_id are
 judged each by itself; items that repeat an item_id count once.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._text import ALNUM_LOWER, Words, filter_texts, over_texts, quoted, rolled, same_row
+from strandlake.llm._text import ALNUM_LOWER, Words, filter_texts, free, over_texts, quoted, ragged, rolled, same_row
 
 WINDOW, GRAM = 10, 5
 INDEX_LIMIT = 8 << 20
@@ -164,8 +164,9 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, *, doc_id:
             return _verdicts(index.value, Words(texts, ALNUM_LOWER))["n_hit"] == 0
 
         return filter_texts(documents, text, lambda: clean)
-    bad = _joined(documents, items, doc_id, text, window, gram).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return documents.join(bad, F.col(quoted(doc_id)).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(quoted(text)), F.lit(""))) == F.col("_key")), "left_anti")
+    id_, key = free(documents.columns, "id_", "key_")
+    bad = _joined(documents, items, doc_id, text, window, gram).where("contaminated").select(F.col("doc_id").alias(id_), F.col("key").alias(key)).distinct()
+    return documents.join(bad, F.col(quoted(doc_id)).eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col(quoted(text)), F.lit(""))) == F.col(key)), "left_anti")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, index_limit: int = INDEX_LIMIT) -> DataFrame:
@@ -190,70 +191,87 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "
 def _joined(documents: DataFrame, items: DataFrame, doc_id: str, text: str, window: int, gram: int) -> DataFrame:
     """The way for items of any size: no item is broadcast.
 
-    Fingerprints (with the window's length) of both sides meet in a join, whose pairs carry ``window`` words each way as
-    hashes; pairs that cover a window give spans, which are united within each document.
+    Fingerprints of documents that no item has are left out by a semi join, which emits no pairs however frequent one is.
+    Those left are extended to the windows around them, which meet the items' windows by their words: equal bytes, and a row
+    for each window of the items whatever the number of items. Hits are united within each document.
     """
     row = F.struct(F.col(quoted(doc_id)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(quoted(text)), F.lit(""))).alias("key"))
     docs = documents.select(row.alias("row"), F.col(quoted(text)).alias("text")).select("row.*", "text")
     spans = sorted({int(r[0]) for r in over_texts(items, {"text": "text"}, "n int", lambda: lambda b: {"n": np.minimum(Words(b["text"], ALNUM_LOWER).count, window)}).where("n > 0").distinct().collect()})
 
-    def prints(kind: str):
-        def work():
-            def f(batch: pa.RecordBatch) -> dict:
-                w = Words(batch["text"], ALNUM_LOWER)
-                out = {"id": [], "key": [], "span": [], "print": [], "at": [], "around": []}
-                for span in spans:
-                    k = min(gram, span)
-                    at, h = winnow(w.hash, w.row, k, span)
-                    if kind == "item":
-                        n = w.count[w.row[at]]
-                        keep = n >= window if span == window else n == span
-                        at, h = at[keep], h[keep]
-                    r = w.row[at]
-                    lo, hi = np.maximum(w.first[r], at - (span - k)), np.minimum(w.first[r + 1], at + span)
-                    out["id"] += batch["id"].take(pa.array(r)).to_pylist()
-                    out["key"] += batch["key"].take(pa.array(r)).to_pylist()
-                    out["span"] += [span] * len(at)
-                    out["print"] += h.view(np.int64).tolist()
-                    out["at"] += (at - w.first[r]).tolist()
-                    out["around"] += [(int(p - a), w.hash[a:b].view(np.int64).tolist()) for p, a, b in zip(at, lo, hi, strict=True)]
-                out["around"] = [{"before": a, "words": b} for a, b in out["around"]]
-                return out
-
-            return f
-
-        return work
-
-    schema = "id {}, key bigint, span int, print bigint, at int, around struct<before: int, words: array<bigint>>"
-    left = over_texts(docs, {"id": "doc_id", "key": "key", "text": "text"}, schema.format("bigint"), prints("doc"))
-    right = over_texts(items.select(F.col("item_id").cast("string").alias("id"), F.lit(0).cast("bigint").alias("key"), "text"), {"id": "id", "key": "key", "text": "text"}, schema.format("string"), prints("item")).select(F.col("id").alias("item"), "span", "print", F.col("around").alias("other")).distinct()
-    pairs = left.join(right, ["span", "print"]).drop("print")
-
-    def verify():
-        def f(batches):
-            for b in batches:
-                out = [[], [], [], [], []]
-                for r in b.to_pylist():
-                    x, y, span, k = r["around"], r["other"], r["span"], min(gram, r["span"])
-                    p, q = x["before"], y["before"]
-                    u, v = x["words"], y["words"]
-                    if u[p : p + k] != v[q : q + k]:
-                        continue
-                    lo = 0
-                    while lo < min(p, q, span - k) and u[p - lo - 1] == v[q - lo - 1]:
-                        lo += 1
-                    hi = k
-                    while hi < min(len(u) - p, len(v) - q, span) and u[p + hi] == v[q + hi]:
-                        hi += 1
-                    if lo + hi >= span:
-                        for c, z in zip(out, (r["id"], r["key"], r["item"], r["at"] - lo, r["at"] + hi), strict=True):
-                            c.append(z)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "key", "item", "start", "end"])
+    def joined(w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """All words, each followed by a blank, and where each begins."""
+        n = w.end - w.start + 1
+        data = w.data[np.minimum(ragged(w.start, n), max(len(w.data) - 1, 0))].copy()
+        at = np.r_[0, np.cumsum(n)]
+        data[at[1:] - 1] = 0x20
+        return data, at
+
+    def strings(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+        n = at[hi] - 1 - at[lo]
+        return pa.LargeStringArray.from_buffers(len(lo), pa.py_buffer(np.r_[0, np.cumsum(n)]), pa.py_buffer(data[ragged(at[lo], n)])).cast(pa.string())
+
+    def marked():
+        """Fingerprints of documents with the words around them that windows may hold."""
+
+        def f(b: pa.RecordBatch) -> dict:
+            w = Words(b["text"], ALNUM_LOWER)
+            data, at = joined(w)
+            rows, span_, print_, first, around = [], [], [], [], []
+            for span in spans:
+                k = min(gram, span)
+                place, h = winnow(w.hash, w.row, k, span)
+                r = w.row[place]
+                lo, hi = np.maximum(w.first[r], place - (span - k)), np.minimum(w.first[r + 1], place + span)
+                rows.append(r)
+                span_.append(np.full(len(place), span, np.int32))
+                print_.append(h.view(np.int64))
+                first.append((lo - w.first[r]).astype(np.int32))
+                around.append(strings(data, at, lo, hi))
+            r = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            whole = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
+            return {"id": b["doc_id"].take(r), "key": b["key"].take(r), "span": whole(span_, np.int32), "print": whole(print_, np.int64), "first": whole(first, np.int32), "words": pa.chunked_array(around, pa.string()).combine_chunks()}
 
         return f
 
-    spans_df = pairs.mapInArrow(verify(), "doc_id bigint, key bigint, item string, start int, end int")
-    per_doc = spans_df.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    def known():
+        """Fingerprints of items, each by the windows' length."""
+
+        def f(b: pa.RecordBatch) -> dict:
+            w, span_, print_ = Words(b["text"], ALNUM_LOWER), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            for span in spans:
+                place, h = winnow(w.hash, w.row, min(gram, span), span)
+                n = w.count[w.row[place]]
+                h = h[n >= window if span == window else n == span]
+                span_.append(np.full(len(h), span, np.int32))
+                print_.append(h.view(np.int64))
+            return {"span": np.concatenate(span_), "print": np.concatenate(print_)}
+
+        return f
+
+    def item_windows():
+        def f(b: pa.RecordBatch) -> dict:
+            w = Words(b["text"], ALNUM_LOWER)
+            data, at = joined(w)
+            span = np.minimum(w.count, window)
+            n = np.where(w.count > 0, w.count - span + 1, 0)
+            row = np.repeat(np.arange(len(n)), n)
+            lo = ragged(w.first[:-1], n)
+            return {"item": b["id"].take(pa.array(row)), "span": span[row].astype(np.int32), "window": strings(data, at, lo, lo + span[row])}
+
+        return f
+
+    ids = items.select(F.col("item_id").cast("string").alias("id"), "text")
+    prints = over_texts(ids, {"text": "text"}, "span int, print bigint", known).distinct()
+    left = over_texts(docs, {"doc_id": "doc_id", "key": "key", "text": "text"}, "id bigint, key bigint, span int, print bigint, first int, words string", marked)
+    near = left.join(prints, ["span", "print"], "left_semi")
+    words = F.split("words", " ")
+    at = F.explode(F.sequence(F.lit(0), F.size(words) - F.col("span")))
+    near = near.where(F.size(words) >= F.col("span")).select("id", "key", "span", "first", words.alias("words"), at.alias("at"))
+    near = near.select(F.col("id").alias("doc_id"), "key", "span", (F.col("first") + F.col("at")).alias("start"), F.array_join(F.slice("words", F.col("at") + 1, F.col("span")), " ").alias("window")).distinct()
+    held = over_texts(ids, {"id": "id", "text": "text"}, "item string, span int, window string", item_windows).groupBy("span", "window").agg(F.collect_set("item").alias("item"))
+    spans_df = near.join(held, ["span", "window"]).select("doc_id", "key", "item", "start", (F.col("start") + F.col("span")).alias("end"))
+    per_doc = spans_df.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item")))).alias("items"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["to"], x["start"]))).alias("n"), F.greatest(acc["to"], x["end"]).alias("to"))
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "items", F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step)["n"].cast("bigint").alias("n_hit"))
     counts = over_texts(docs, {"doc_id": "doc_id", "key": "key", "text": "text"}, "doc_id bigint, key bigint, n_words bigint", lambda: lambda b: {"doc_id": b["doc_id"], "key": b["key"], "n_words": Words(b["text"], ALNUM_LOWER).count})
