@@ -2,7 +2,7 @@
 
 Each step links nodes to the least neighbour seen, so long chains shrink in a number of rounds that grows with their
 logarithm. Edges stay in DataFrames; each round is cut with a checkpoint. A node with many neighbours is met only in
-aggregations by key (``min``) and in joins of edges with one row a node, which adaptive execution can split.
+aggregations by key (``min``) and in salted joins of edges with one row a node.
 """
 
 from __future__ import annotations
@@ -12,12 +12,20 @@ from pyspark.sql import functions as F
 
 from strandlake.llm._spark import stored
 
+SALTS = 8
+
 
 def digest(edges: DataFrame) -> tuple:
     """What tells one set of edges from another: its size and two 64-bit sums of hashes."""
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
 
+def met(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each edge with the row of its node ``a``: nodes' rows are sent SALTS times, so that one node's edges meet in as many tasks."""
+    salted = nodes.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of an edge: component is the least node it is linked with, itself included.
 
@@ -30,10 +38,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large star: each neighbour above a node moves to the node's least neighbour
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = met(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: each node, its neighbours below it included, moves to the least of these
         under = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(under, "a").select("a", "b", "m")
+        small = met(large, under).select("a", "b", "m")
         new = stored(small.select("a", F.col("m").alias("b")).unionByName(small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         before, mark = mark, digest(new)
         now = new

@@ -3,7 +3,7 @@
 A document's set is its distinct shingles (5 lower-case words; a shorter text is one shingle). Under each of 64
 permutations both the least and the greatest hash are kept: 128 signature values of 64 hash evaluations a shingle, each of
 which agrees for two sets with probability J, their Jaccard similarity. Bands of several values make the candidates; their number
-and the sketch distances below follow the similarity from which documents are linked (``banding``, ``farthest``). From 0.85
+and the sketch distance below follow the similarity from which documents are linked (``banding``, ``farthest``). From 0.85
 on there are 25 bands of 5 values, from 0.8 on 32 of 4: two sets at that similarity miss all bands with a probability under
 1e-6.
 
@@ -11,12 +11,14 @@ The steps, none of which meets a whole group of copies in one task or emits a gr
 1. equal sets become one representative, the one of least doc_id (an aggregation with map-side combine);
 2. in each bucket every member is paired with the bucket's least member only; pairs whose 1-bit sketches (a bit of each
    of the 128 values) are close enough are confirmed on the full sets, and components of the confirmed links are formed;
-3. in buckets that still hold several components, members of different components are compared by longer sketches (2048
-   bits, computed for these documents alone) in the bucket of the first band they share, and pairs that are close enough
-   are confirmed on the full sets. No pair of one bucket in different components stays unjudged.
-A pair at the linked similarity exceeds a sketch distance with a probability under 1e-7. At similarity 0.85 a short sketch's
-distance is 9.6 of 128 bits on average with a deviation of 3, and pairs up to 28 go on; a long one's is 154 of 2048 with a
-deviation of 12, and pairs up to 219 are confirmed. At 0.8 the averages are 12.8 and 205, and the bounds 33 and 279.
+3. documents of buckets that still hold several components are completed exactly, without meeting all with all. Their
+   shingles are ordered from rare to frequent; a pair of the linked similarity shares one of the first shingles of both (of
+   the longer set the first ``n - ceil(t n) + 1``, of the shorter ``n - ceil(2 t n / (1 + t)) + 1``), at places that leave
+   room for the overlap. So texts that are alike but not linked, such as filled-in forms, do not meet: what they share is
+   frequent and comes last. Candidates of different components are confirmed on the full sets. The order needs no exact
+   counts: shingles are counted in ``LEVEL_BUCKETS`` buckets, a table of that size for every input.
+A pair at the linked similarity exceeds the sketch distance with a probability under 1e-7. At similarity 0.85 the distance
+is 9.6 of 128 bits on average with a deviation of 3, and pairs up to 28 go on; at 0.8 the average is 12.8 and the bound 33.
 
 Cases: null or empty texts have no shingles and are linked with nothing; rows that repeat a doc_id count as one document
 if their texts are equal, else each text has its links and the id joins them; a null doc_id comes after all others.
@@ -25,7 +27,6 @@ if their texts are equal, else each text has its links and the id joins them; a
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 from math import exp, lgamma, log, log1p
 
 import numpy as np
@@ -34,11 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm._spark import stored
-from strandlake.llm._text import SPACED_LOWER, Words, over_texts, quoted, rolled
+from strandlake.llm._text import SPACED_LOWER, Words, chunks, free, over_texts, prepare, quoted, ragged, rolled
 from strandlake.llm.components import components
 
 PERCENT, SHINGLE, PERMUTATIONS, BANDS, ROWS = 85, 5, 64, 25, 5
-SKETCH_BITS, LONG_PERMUTATIONS = 128, 1024
+SKETCH_BITS = 128
+#: Shingles are counted in so many buckets, by the first bits of their hashes.
+LEVEL_BUCKETS = 1 << 18
+LEVEL_SHIFT = 46
+#: Pairs of one document that meet its set in one task.
+PAIRS_A_TASK = 200
 #: A pair at the linked similarity shares no band, or is beyond a sketch's distance, with a probability under these.
 NO_BAND, BEYOND = 1e-6, 1e-7
 #: Candidates' ids are broadcast to the scan of texts up to so many, else joined.
@@ -132,22 +138,70 @@ def signatures(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return over_texts(documents, {"doc_id": doc_id, "text": text}, SIGNED, work)
 
 
-def long_sketches(documents: DataFrame, ids: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(id, l0, l1, ...): 2048 bits for each of the ids' texts."""
-    words = LONG_PERMUTATIONS * 2 // 64
+def levels(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How frequent the shingles of each bucket of hashes are in (doc_id, text, ...), as twice the logarithm of their count.
+
+    Counts are summed in each task and then over the tasks: LEVEL_BUCKETS rows at most come to the driver.
+    """
+
+    def work():
+        def f(batches):
+            counts = np.zeros(LEVEL_BUCKETS, np.int64)
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    sets = shingle_sets(Words(part["text"], SPACED_LOWER), shingle)
+                    bucket, n = np.unique(np.concatenate(sets) >> np.uint64(LEVEL_SHIFT), return_counts=True)
+                    counts[bucket.astype(np.int64)] += n
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bucket", "n"])
+
+        return f
+
+    prepare(texts.sparkSession)
+    rows = texts.select("text").mapInArrow(work(), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(LEVEL_BUCKETS, np.uint8)
+    out[rows["bucket"].to_numpy()] = (2 * np.log2(rows["n"].to_numpy() + 1)).astype(np.uint8)
+    return out
+
+
+def first_shingles(texts: DataFrame, level: np.ndarray, shingle: int, percent: int) -> DataFrame:
+    """(id, component, n, token, pos, short) of the rarest shingles of (doc_id, text, component): those that a set must share
+    with a shorter one, and whether it must also share it with a longer one (``short``)."""
+    held = texts.sparkSession.sparkContext.broadcast(level)
 
     def work():
         def f(batch: pa.RecordBatch) -> dict:
             sets = shingle_sets(Words(batch["text"], SPACED_LOWER), shingle)
-            full = [i for i, x in enumerate(sets) if len(x)]
-            bits = (mixed(min_max([sets[i] for i in full], LONG_PERMUTATIONS)) >> np.uint64(17) & np.uint64(1)).astype(bool)
-            packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(len(full), words)
-            return {"id": batch["doc_id"].take(pa.array(full, pa.int64())), **{f"l{i}": packed[:, i] for i in range(words)}}
+            size = np.array([len(x) for x in sets], np.int64)
+            probe = np.where(size > 0, size + (-size * percent) // 100 + 1, 0)
+            index = np.where(size > 0, size + (-2 * size * percent) // (100 + percent) + 1, 0)
+            tokens = [x[np.lexsort((x, held.value[(x >> np.uint64(LEVEL_SHIFT)).astype(np.int64)]))[:k]] for x, k in zip(sets, probe.tolist(), strict=True)]
+            row, pos = np.repeat(np.arange(len(sets)), probe), ragged(np.zeros(len(sets), np.int64), probe)
+            token = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+            return {"id": batch["doc_id"].take(pa.array(row)), "component": batch["component"].take(pa.array(row)), "n": size[row], "token": token.view(np.int64), "pos": pos, "short": pos < index[row]}
 
         return f
 
-    schema = "id bigint, " + ", ".join(f"l{i} bigint" for i in range(words))
-    return over_texts(texts_of(documents, ids, doc_id, text), {"doc_id": "doc_id", "text": "text"}, schema, work)
+    return over_texts(texts, {c: c for c in ("doc_id", "text", "component")}, "id bigint, component bigint, n bigint, token bigint, pos bigint, short boolean", work)
+
+
+def across(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids of different components among ``first_shingles`` that may have the similarity.
+
+    Of each shingle the component with most rows is set apart: its own rows are never paired with each other, so the work
+    is within a constant factor of the pairs of different components.
+    """
+    tally = rows.groupBy("token", "component").agg(F.count("*").alias("k"))
+    top = tally.groupBy("token").agg(F.max(F.struct("k", "component"))["component"].alias("top"), F.count("*").alias("m")).where("m > 1").select("token", "top")
+    rows = stored(rows.join(top, "token"))
+    p, q = rows.where("component <> top").alias("p"), rows.alias("q")
+    c = F.col
+    later = (c("q.n") < c("p.n")) | ((c("q.n") == c("p.n")) & (c("q.id") < c("p.id")))
+    small, large = F.least("p.n", "q.n"), F.greatest("p.n", "q.n")
+    room = F.least(c("p.n") - c("p.pos"), c("q.n") - c("q.pos"))
+    fits = (small * 100 >= large * percent) & (room * (100 + percent) >= (small + large) * percent)
+    pairs = p.join(q, (c("p.token") == c("q.token")) & (c("p.component") != c("q.component")) & F.when(later, c("q.short")).otherwise(c("p.short")) & fits)
+    return pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).where("a < b").distinct()
 
 
 def texts_of(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -168,7 +222,13 @@ def confirmed(pairs: DataFrame, documents: DataFrame, doc_id: str, text: str, sh
     sets = stored(sets)
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    both = pairs.join(right, "b").join(left, "a")
+    # the set of a document with many pairs, such as the first of a large group, is sent to several tasks
+    hot = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("k")).where("k > 1"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    k = F.coalesce("k", F.lit(1))
+    salted = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.hash("b"), k).alias("salt"))
+    left = left.join(hot, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), k - 1)).alias("salt"))
+    both = salted.join(right, "b").join(left, ["a", "salt"])
     common = F.size(F.array_intersect("x", "y"))
     return both.where((common * 100) >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
 
@@ -185,7 +245,6 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         bands, rows = banding(percent, permutations)
     if sketch_distance is None:
         sketch_distance = farthest(percent, min(SKETCH_BITS, 2 * permutations))
-    long_distance = farthest(percent, 2 * LONG_PERMUTATIONS)
     signed = stored(signatures(documents, doc_id=doc_id, text=text, shingle=shingle, permutations=permutations, bands=bands, rows=rows))
     has = signed.where("n_shingles > 0 and doc_id is not null")
     # 1. equal sets
@@ -203,17 +262,10 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     # 3. what several components share a bucket
     labelled = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = stored(labelled.join(mixed_keys, "key", "left_semi"))
-    long_ = stored(long_sketches(documents, stored(rest.select(F.col("id").alias("doc_id")).distinct()), doc_id, text, shingle))
-    words = [c for c in long_.columns if c != "id"]
-    rest = rest.join(long_, "id").join(groups.select(F.col("doc_id").alias("id"), "bands"), "id")
-    x, y = rest.alias("x"), rest.alias("y")
-    near = reduce(lambda u, v: u + v, [F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words]) <= long_distance
-    # a pair that shares several bands is met in the first
-    band = F.array_position("x.bands", F.col("x.key")).cast("int")
-    first_band = (band <= 1) | ~F.arrays_overlap(F.slice("x.bands", F.lit(1), band - 1), F.slice("y.bands", F.lit(1), band - 1))
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & close("x", "y") & near & first_band)
-    cross = stored(cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    rest = stored(labelled.join(mixed_keys, "key", "left_semi").select(F.col("id").alias("doc_id"), "component").distinct())
+    small = rest.count() <= BROADCAST_IDS
+    texts = documents.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text")).join(F.broadcast(rest) if small else rest, "doc_id")
+    cross = stored(across(first_shingles(texts, levels(texts, shingle), shingle, percent), percent).join(stars, ["a", "b"], "left_anti"))
     more = stored(confirmed(cross, documents, doc_id, text, shingle, percent))
     if not more.isEmpty():
         found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
@@ -229,9 +281,10 @@ def without_copies(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     Only the ids that go are sent to the documents: broadcast up to BROADCAST_IDS of them, else joined.
     """
-    gone = stored(near_duplicates(documents, doc_id=doc_id, text=text, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    (id_,) = free(documents.columns, "gone_")
+    gone = stored(near_duplicates(documents, doc_id=doc_id, text=text, **options).where("not kept").select(F.col("doc_id").alias(id_)).distinct())
     small = gone.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(gone) if small else gone, F.col(quoted(doc_id)) == F.col("_gone"), "left_anti")
+    return documents.join(F.broadcast(gone) if small else gone, F.col(quoted(doc_id)) == F.col(id_), "left_anti")
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:

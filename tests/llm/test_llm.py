@@ -210,11 +210,7 @@ def test_near_duplicates_from_80_percent(spark):
         for k in keys[d]:
             heads.setdefault(k, d)
     late = {(a, b) for a, b in pairs if not any(heads[k] in (a, b) for k in set(keys[a]) & set(keys[b]))}
-    words = near_duplicates.Words(pa.array([t for _, t in rows]), near_duplicates.SPACED_LOWER)
-    bits = near_duplicates.mixed(near_duplicates.min_max(near_duplicates.shingle_sets(words), near_duplicates.LONG_PERMUTATIONS)) >> np.uint64(17) & np.uint64(1)
-    bits = dict(zip([d for d, _ in rows], bits, strict=True))
-    # these the distance that suits 0.85 would leave out
-    assert [p for p in late if (bits[p[0]] != bits[p[1]]).sum() > 219]
+    assert late  # pairs that only the last step can find
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == set(sets) - {b for _, b in pairs}
 
@@ -222,7 +218,6 @@ def test_near_duplicates_from_80_percent(spark):
 def test_banding_follows_the_similarity():
     assert [near_duplicates.banding(p) for p in (80, 85)] == [(32, 4), (25, 5)]
     assert [near_duplicates.farthest(p, 128) for p in (80, 85, 100)] == [33, 28, 0]
-    assert [near_duplicates.farthest(p, 2048) for p in (80, 85, 100)] == [279, 219, 0]
 
 
 def test_components(spark):
