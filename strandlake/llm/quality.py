@@ -9,7 +9,9 @@ The model is fitted on the driver from at most ``max_rows`` labelled rows, chose
 computed for every whole text where it lies.
 
 Cases: null and empty texts have features of zeros and get a score like any other; without labelled rows of both kinds
-every score is the share of good rows (0.5 without any).
+every score is the share of good rows (0.5 without any); rows that repeat an id are scored each, and one of them is learnt
+from, the one of the least hash; labels that repeat an id count as the greatest; equal features get equal scores; no rows
+give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._labels import first_by_hash, fold
+from strandlake.llm._labels import first_by_hash, fold, labelled, one_a_document
 from strandlake.llm._text import SPACED, Words, mix, filter_texts, over_texts, quoted, rolled, same_row
 
 MAX_ROWS, BINS, PAIR_BINS, CYCLES, PAIRS, PAIR_CYCLES = 20_000, 64, 8, 120, 6, 60
@@ -186,15 +188,17 @@ def fit(x: np.ndarray, y: np.ndarray, *, rate: float = 0.1, cycles: int = CYCLES
 
 def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 4, held_out: int = 2, max_rows: int = MAX_ROWS) -> Model:
     """The model from all folds but ``held_out``."""
-    known = labels.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(label)).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(fold("doc_id", folds) != held_out)
+    known = labelled(labels, doc_id, label).where(fold("doc_id", folds) != held_out)
     picked = first_by_hash(known, max_rows)  # bounded by max_rows
-    rows = documents.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text")).join(F.broadcast(picked), "doc_id")
+    text_ = F.col(quoted(text))
+    rows = documents.select(F.col(quoted(doc_id)).alias("doc_id"), text_.alias("text"), F.xxhash64(F.coalesce(text_, F.lit(""))).alias("tag")).join(F.broadcast(picked), "doc_id")
 
     def work():
-        return lambda batch: {"doc_id": batch["doc_id"], "y": batch["y"], "x": list(features(batch["text"]))}
+        return lambda batch: {"doc_id": batch["doc_id"], "tag": batch["tag"], "y": batch["y"], "x": list(features(batch["text"]))}
 
-    found = sorted(over_texts(rows, {k: k for k in ("doc_id", "text", "y")}, "doc_id bigint, y int, x array<double>", work).collect())
-    return fit(np.array([r["x"] for r in found]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in found], float))
+    found = one_a_document(over_texts(rows, {k: k for k in ("doc_id", "tag", "text", "y")}, "doc_id bigint, tag bigint, y int, x array<double>", work), "y", "x")
+    kept = sorted(found.collect())  # max_rows rows of len(FEATURES) numbers at most
+    return fit(np.array([r["x"] for r in kept]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in kept], float))
 
 
 def score(documents: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,15 +1,20 @@
 """Toxicity scores from non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; all other text, whatever its label, is unlabelled. A linear model over hashed
-words is fitted with numpy by the class-prior-corrected risk ``p R+(P) + max(0, R-(U) - p R-(P))`` with the logistic loss:
-where the bracket falls below zero the step goes back along it instead. The class prior ``p`` is a parameter, or the share
-of toxic rows among the labelled ones of the training folds.
-
-Training uses at most ``max_positive`` confirmed and ``max_unlabelled`` unlabelled documents, chosen by a hash of their
-ids; scores are computed for every whole text where it lies. Words whose shares of documents differ by chance alone get
-no weight.
-
-Cases: null and empty texts get the score of a text without known words; without confirmed rows every score is the prior.
+words and beginnings of words (4 to 8 bytes, so that inflected and compounded forms share one) is fitted with numpy by the
+class-prior-corrected risk ``p R+(P) + max(0, R-(U) - p R-(P))`` with the logistic loss: where the bracket falls below zero
+the step goes back along it instead. The class prior ``p`` is a parameter, or the share of toxic rows among the labelled
+ones of the training folds.
+
+Which of the hashed features matter is counted over all documents of the training folds: the shares of documents with each
+of ``buckets`` features, by a sum in each task and one over the tasks. Features whose shares among the positives and all
+documents differ by chance alone get no weight. The gradient steps use at most ``max_positive`` confirmed and
+``max_unlabelled`` unlabelled documents, chosen by a hash of their ids, of which only the chosen features' counts come to
+the driver; scores are computed for every whole text where it lies.
+
+Cases: null and empty texts get the score of a text without known features; without confirmed rows every score is the prior;
+rows that repeat an id are scored each, and one of them is learnt from, the one of the least hash; labels that repeat an id
+count as the greatest; equal texts get equal scores; no rows give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,16 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._labels import first_by_hash, fold
-from strandlake.llm._text import ALNUM_LOWER, Words, over_texts, quoted
+from strandlake.llm._labels import first_by_hash, fold, labelled, one_a_document
+from strandlake.llm._text import _BYTES, ALNUM_LOWER, Words, chunks, over_texts, prepare, quoted, spans_hash
 
 BUCKETS, MAX_POSITIVE, MAX_UNLABELLED, FEATURES = 1 << 18, 4000, 8000, 400
+#: Bytes of the beginnings of longer words.
+BEGINNINGS = (4, 5, 6, 7, 8)
 
 
 def bags(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, count) of the distinct hashed words of all rows, sorted."""
-    key = words.row.astype(np.int64) * buckets + (words.hash & np.uint64(buckets - 1)).astype(np.int64)
-    key, n = np.unique(key, return_counts=True)
+    """(row, bucket, count) of the distinct hashed words and beginnings of all rows, sorted."""
+    rows, hashes = [words.row], [words.hash]
+    for k in BEGINNINGS:
+        long = np.flatnonzero(words.end - words.start > k)
+        rows.append(words.row[long])
+        hashes.append(spans_hash(words.data, words.start[long], words.start[long] + k, _BYTES) ^ np.uint64(k << 32 | k))
+    row, h = np.concatenate(rows), np.concatenate(hashes)
+    key, n = np.unique(row.astype(np.int64) * buckets + (h & np.uint64(buckets - 1)).astype(np.int64), return_counts=True)
     return key // buckets, key % buckets, n
 
 
@@ -46,78 +58,100 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float, buckets: int, features: int = FEATURES, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """positive, unlabelled: for each document its buckets and their counts."""
-    log_odds = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
-        return Model(np.zeros(0, np.int64), np.zeros(0), log_odds)
-    share = [np.bincount(np.concatenate([b for b, _ in docs]), minlength=buckets) / len(docs) for docs in (positive, unlabelled)]
-    mean = (share[0] * len(positive) + share[1] * len(unlabelled)) / (len(positive) + len(unlabelled))
-    spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / len(positive) + 1 / len(unlabelled)))
-    z = np.abs(share[0] - share[1]) / np.maximum(spread, 1e-9)
+def choose(positive: np.ndarray, n_positive: int, every: np.ndarray, n: int, features: int = FEATURES) -> np.ndarray:
+    """The buckets whose shares of the positives and of all documents differ most, beyond chance; given are counts of documents."""
+    if not n_positive or not n:
+        return np.zeros(0, np.int64)
+    a, b = positive / n_positive, every / n
+    mean = (positive + every) / (n_positive + n)
+    spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / n_positive + 1 / n))
+    z = np.abs(a - b) / np.maximum(spread, 1e-9)
     chosen = np.sort(np.argsort(-z, kind="stable")[:features])
-    chosen = chosen[z[chosen] > 5]
-    place = np.full(buckets, -1)
-    place[chosen] = np.arange(len(chosen))
-
-    def dense(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        x = np.zeros((len(docs), len(chosen)), np.float32)
-        for i, (b, n) in enumerate(docs):
-            p = place[b]
-            x[i, p[p >= 0]] = np.log1p(n[p >= 0])
-        return x
-
-    p, u = dense(positive), dense(unlabelled)
-    w, bias = np.zeros(len(chosen)), log_odds
-    first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    return chosen[z[chosen] > 5]
+
+
+def risk(w: np.ndarray, bias: float, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk: of positives as such, and the bracket, of unlabelled rows as negatives less the positives'
+    share. The logistic loss is log(1 + e^-f) for a positive and log(1 + e^f) for a negative."""
+    fp, fu = p @ w + bias, u @ w + bias
+    return prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+
+
+def slope(w: np.ndarray, bias: float, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The step's gradient, the bias last: of the whole risk, or against the bracket where that is negative."""
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    fp, fu = p @ w + bias, u @ w + bias
+    gp, gu, gn = -prior * sigmoid(-fp) / len(fp), sigmoid(fu) / len(fu), -prior * sigmoid(fp) / len(fp)
+    by_p, by_u = (gp + gn, gu) if risk(w, bias, p, u, prior)[1] >= 0 else (-gn, -gu)
+    return np.r_[p.T @ by_p + u.T @ by_u, by_p.sum() + by_u.sum()]
+
+
+def fit(p: np.ndarray, u: np.ndarray, chosen: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
+    """p, u: counts of the chosen features of the positive and the unlabelled documents, a row each."""
+    log_odds = float(np.log(prior / (1 - prior)))
+    if not len(p) or not len(u):
+        return Model(np.zeros(0, np.int64), np.zeros(0), log_odds)
+    p, u = np.log1p(p), np.log1p(u)
+    at, first, second = np.r_[np.zeros(len(chosen)), log_odds], np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, steps + 1):
-        fp, fu = p @ w + bias, u @ w + bias
-        # the logistic loss: log(1 + e^-f) for a positive, log(1 + e^f) for a negative
-        rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gp, gu, gn = -prior * sigmoid(-fp) / len(fp), sigmoid(fu) / len(fu), -prior * sigmoid(fp) / len(fp)
-        if rest >= 0:
-            grad_p, grad_u = gp + gn, gu
-        else:
-            grad_p, grad_u = -gn, -gu
-        grad = np.r_[p.T @ grad_p + u.T @ grad_u + decay * w, grad_p.sum() + grad_u.sum()]
+        grad = slope(at[:-1], at[-1], p, u, prior) + np.r_[decay * at[:-1], 0]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
-    return Model(chosen, w, float(bias))
+        at = at - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    return Model(chosen, at[:-1], float(at[-1]))
 
 
 def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_out: int = 0, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, buckets: int = BUCKETS) -> Model:
     """The model from all folds but ``held_out``."""
-    known = labels.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(label)).alias("y")).where("doc_id is not null and y is not null").where(fold("doc_id", folds) != held_out)
+    known = labelled(labels, doc_id, label).where(fold("doc_id", folds) != held_out)
     if prior is None:
-        n, ones = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("y") == 1, 1)), F.lit(0))).first()
+        n, ones = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
         prior = (ones + 1) / (n + 20)
-    ids = documents.select(F.col(quoted(doc_id)).alias("doc_id")).where("doc_id is not null").where(fold("doc_id", folds) != held_out)
-    p = first_by_hash(known.where("y = 1").select("doc_id").distinct(), max_positive)
-    u = first_by_hash(ids, max_unlabelled)
-    # bounded by max_positive + max_unlabelled rows
-    picked = p.withColumn("p", F.lit(1)).withColumn("u", F.lit(0)).unionByName(u.withColumn("p", F.lit(0)).withColumn("u", F.lit(1))).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
-    rows = documents.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text")).join(F.broadcast(picked), "doc_id")
+    p = first_by_hash(known.where("y = 1").select("doc_id"), max_positive)  # bounded by max_positive
+    text_ = F.col(quoted(text))
+    docs = documents.select(F.col(quoted(doc_id)).alias("doc_id"), text_.alias("text"), F.xxhash64(F.coalesce(text_, F.lit(""))).alias("tag")).where("doc_id is not null").where(fold("doc_id", folds) != held_out)
+    docs = docs.join(F.broadcast(p.withColumn("p", F.lit(1))), "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(0)))
+
+    def count(batches):
+        every, positive, n = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), [0, 0]
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                row, bucket, _ = bags(Words(part["text"], ALNUM_LOWER), buckets)
+                marked = part["p"].to_numpy() == 1
+                every += np.bincount(bucket, minlength=buckets)
+                if marked.any():
+                    positive += np.bincount(bucket[marked[row]], minlength=buckets)
+                n = [n[0] + part.num_rows, n[1] + int(marked.sum())]
+        some = np.flatnonzero(every)
+        out = (np.r_[-1, some].astype(np.int32), np.r_[n[0], every[some]], np.r_[n[1], positive[some]])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["bucket", "n", "p"])
+
+    prepare(documents.sparkSession)
+    counts = docs.select("text", "p").mapInArrow(count, "bucket int, n bigint, p bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).toArrow()  # buckets + 1 rows at most
+    at, totals = counts["bucket"].to_numpy(), np.zeros((2, buckets + 1), np.int64)
+    for i, c in enumerate(("n", "p")):
+        totals[i, at + 1] = counts[c].to_numpy()
+    chosen = choose(totals[1, 1:], int(totals[1, 0]), totals[0, 1:], int(totals[0, 0]))
 
     def work():
+        place = np.full(buckets, -1, np.int64)
+        place[chosen] = np.arange(len(chosen))
+
         def f(batch: pa.RecordBatch) -> dict:
-            words = Words(batch["text"], ALNUM_LOWER)
-            row, bucket, n = bags(words, buckets)
-            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            parts = list(zip(cut[:-1], cut[1:], strict=True))
-            return {"p": batch["p"], "u": batch["u"], "buckets": [bucket[a:b].astype("<i4").tobytes() for a, b in parts], "counts": [n[a:b].astype("<i4").tobytes() for a, b in parts]}
+            row, bucket, n = bags(Words(batch["text"], ALNUM_LOWER), buckets)
+            x = np.zeros((batch.num_rows, len(chosen)), "<i4")
+            known = place[bucket] >= 0
+            x[row[known], place[bucket[known]]] = n[known]
+            return {"doc_id": batch["doc_id"], "tag": batch["tag"], "p": batch["p"], "u": batch["u"], "x": [r.tobytes() for r in x]}
 
         return f
 
-    found = over_texts(rows, {k: k for k in ("text", "p", "u")}, "p int, u int, buckets binary, counts binary", work).collect()
-    sets: tuple[list, list] = ([], [])
-    for r in found:
-        doc = np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4")
-        for k, on in enumerate((r["p"], r["u"])):
-            if on:
-                sets[k].append(doc)
-    return fit(*sets, min(max(prior, 1e-4), 0.9), buckets)
+    u = first_by_hash(docs.select("doc_id").distinct(), max_unlabelled).withColumn("u", F.lit(1))  # bounded by max_unlabelled
+    rows = docs.join(F.broadcast(u), "doc_id", "left").withColumn("u", F.coalesce("u", F.lit(0))).where("p = 1 or u = 1")
+    found = one_a_document(over_texts(rows, {k: k for k in ("doc_id", "tag", "text", "p", "u")}, "doc_id bigint, tag bigint, p int, u int, x binary", work), "p", "u", "x")
+    kept = sorted(found.collect())  # a row for each chosen id, of len(chosen) numbers
+    x = np.array([np.frombuffer(r["x"], "<i4") for r in kept], float).reshape(len(kept), len(chosen))
+    on = {k: np.array([r[k] == 1 for r in kept], bool) for k in ("p", "u")}
+    return fit(x[on["p"]], x[on["u"]], chosen, min(max(prior, 1e-4), 0.9))
 
 
 def score(documents: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
