@@ -86,6 +86,8 @@ def _op8() -> str:
     wide = "regexp_matches(name, '(^|\\.)(" + "|".join(url_filter.SECOND_LEVEL) + ")\\.[a-z]{2}$')"
     part = lambda k: f"array_to_string(string_split(name, '.')[greatest(len(string_split(name, '.')) - {k - 1}, 1):], '.')"
     rho = lambda src, mean: f"(select coalesce(case when w > 0 then 1 / least(greatest((s - v) / w, 0.001), 0.5) - 1 end, 1.0) from (select sum(n * pow(k / n - {mean}, 2)) as s, sum({mean} * (1 - {mean})) as v, sum((n - 1) * {mean} * (1 - {mean})) as w from {src} where n > 0))"
+    # the share of a beta distribution up to one half, by the power series of the incomplete beta function
+    below = "exp((a + b) * ln(0.5) + lgamma(a + b) - lgamma(a) - lgamma(b)) / a * list_sum([exp(lgamma(a + b + i) - lgamma(a + b) - lgamma(a + 1 + i) + lgamma(a + 1) + i * ln(0.5)) for i in range(0, 3000)])"
     return f"""
 with u as (select page_id, case when position('://' in coalesce(url, '')) > 0 then substring(url, position('://' in url) + 3) else '' end as rest from pages),
 p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
@@ -99,7 +101,7 @@ d0 as (select domain, h1.suffix as suffix, sum(n) as n, sum(k) as k, max(above)
 d1 as (select domain, suffix, (k + r * above) / (n + r) as above from d0, (select {rho("d0", "above")} as r)),
 h2 as (select host, n, k, above from h1 join d1 on d1.domain = h1.domain and d1.suffix = h1.suffix),
 h3 as (select host, k + r * above as a, n - k + r * (1 - above) as b from h2, (select {rho("h2", "above")} as r)),
-h4 as (select host, a / (a + b) - {url_filter.DEVIATIONS} * sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1)) > {url_filter.LIMIT} as bad from h3)
+h4 as (select host, {below} < 0.05 as bad from h3)
 select page_id, p.host as host, path, {rule.replace("host", "p.host")} as rule, coalesce({verdict.replace("host", "p.host")}, case when bad then 'block' else 'allow' end) as verdict from p join h4 on h4.host = p.host"""
 
 
