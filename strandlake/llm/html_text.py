@@ -4,16 +4,18 @@ A page streams through the standard library's parser, whose events cut it into l
 block-level tags. A line's ratio is its characters over the tags met in it and around it; links, and what stands inside
 menus, headers, footers, sidebars, forms, adverts, notices and reader comments, count as tags and not as text. The ratios
 are smoothed with a Gaussian over neighbouring lines and clustered in two by a threshold (the two means of their
-logarithms). The content region is the element that holds most text of the upper cluster's lines (an article or main
-element, else the innermost container that nearly all of them share); its own lines are the text, short ones too, and what is marked
-as boilerplate inside it stays out.
+logarithms). The content regions are the outermost article and main elements that hold most text of the upper cluster's
+lines, each of them at least a tenth of the largest one's; where such elements do not hold most of it, the innermost
+container that nearly all of these lines share. A region's own lines are the text, short ones too, and what is marked as
+boilerplate inside it stays out.
 
 A class, id or role name, or a form, marks an element only by likelihood: such a mark does not reach into the outermost
 article or main element, nor does it hold where the element has most of the text that the ratios alone put in the upper
 cluster, unless an article or main element with text stands beside it. Boilerplate tags and hidden elements are always left out.
 
 Cases: null, empty or text-less html gives an empty text; unclosed and misnested tags are closed as the parser meets
-others; plain text without tags is one line and is the text; rows that repeat a page_id are judged each by itself.
+others; plain text without tags is one line and is the text; rows that repeat a page_id are judged each by itself; of equal
+regions all stay, in page order; no pages give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from strandlake.llm._text import over_texts
 
 SIGMA = 1.5
+#: A further content region has at least this part of the text that the largest one has in the upper cluster.
+PART = 10
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
@@ -203,17 +207,17 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     even = evened(lines, [x[4] for x in lines], sigma)
     cut = threshold(even)
     high = [i for i in usable if even[i] > cut] or usable
-    # the region: the article or main element that holds most of the upper cluster's text, else the block that they share
+    # the regions: the outermost article and main elements that hold a good part of the upper cluster's text, where these have
+    # most of it; else the block that the cluster shares
     weight: dict[int, int] = {}
+    outer = {i: next((n for n in x[3] if parser.kinds[n] in CONTENT), 0) for i, x in enumerate(lines)}
     for i in high:
-        for n in lines[i][3]:
-            if parser.kinds[n] in CONTENT:
-                weight[n] = weight.get(n, 0) + len(lines[i][0])
+        if outer[i]:
+            weight[outer[i]] = weight.get(outer[i], 0) + len(lines[i][0])
     total = sum(len(lines[i][0]) for i in high)
-    if weight and max(weight.values()) * 2 >= total:
-        most = max(weight.values())
-        region = min(n for n, w in weight.items() if w == most)
-        kept = [i for i in usable if region in lines[i][3]]
+    if weight and sum(weight.values()) * 2 >= total:
+        regions = {n for n, w in weight.items() if w * PART >= max(weight.values())}
+        kept = [i for i in usable if outer[i] in regions]
     else:
         shared: dict[int, int] = {}
         for i in high:

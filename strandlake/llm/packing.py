@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from strandlake.llm._spark import stored
-from strandlake.llm._text import over_texts
+from strandlake.llm._text import free, over_texts
 from strandlake.llm._tokens import Vocabulary
 from strandlake.shipping import ship
 
@@ -118,8 +118,8 @@ def best_fit(lengths: np.ndarray, members: list[int], capacity: int) -> list[lis
     return [b for at in places for b in at]
 
 
-def placing(level: int, last: bool, capacity: int):
-    """The function that packs one group."""
+def placing(level: int, last: bool, capacity: int, group: str):
+    """The function that packs one group, whose number is in the column ``group``."""
 
     def place(batch: pd.DataFrame) -> pd.DataFrame:
         lengths = batch["length"].to_numpy()
@@ -133,8 +133,8 @@ def placing(level: int, last: bool, capacity: int):
         used = lengths[order]
         at = np.cumsum(used) - used
         offset = at - np.repeat(at[np.cumsum(size) - size], size) if len(order) else at
-        out = batch.iloc[order + left].drop(columns="_group")
-        base = (level << 56) + (int(batch["_group"].iloc[0]) << 24)
+        out = batch.iloc[order + left].drop(columns=group)
+        base = (level << 56) + (int(batch[group].iloc[0]) << 24)
         out["sequence_id"] = pd.array([*(base + number), *[None] * len(left)], "Int64")
         out["offset"] = pd.array([*offset, *[None] * len(left)], "Int64")
         return out
@@ -143,8 +143,11 @@ def placing(level: int, last: bool, capacity: int):
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_pieces: int = GROUP) -> DataFrame:
-    """The pieces (a column ``length`` from 1 to capacity, any others) with their sequence_id and offset."""
+    """The pieces (a column ``length`` from 1 to capacity, any others) with their sequence_id and offset, which the pieces must not have yet."""
+    if {"sequence_id", "offset"} & {c.lower() for c in pieces.columns}:
+        raise ValueError("the pieces have a column sequence_id or offset")
     ship(pieces.sparkSession)
+    (group,) = free(pieces.columns, "group_")
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     pieces = stored(pieces)  # tokens are counted once; from here on rows keep their places
     full = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
@@ -154,8 +157,8 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_pieces: int = GRO
         groups = -(-n // group_pieces)
         last = groups == 1 or n > 0.7 * before
 
-        dealt = rest.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-        packed = stored(dealt.groupBy("_group").applyInPandas(placing(level, last, capacity), schema))
+        dealt = rest.withColumn(group, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+        packed = stored(dealt.groupBy(group).applyInPandas(placing(level, last, capacity, group), schema))
         done.append(packed.where("sequence_id is not null"))
         rest = packed.where("sequence_id is null").drop("sequence_id", "offset")
         level, n, before = level + 1, 0 if last else rest.count(), n

@@ -404,7 +404,7 @@ def test_reputation(spark):
         assert len(got) == len(rows)
         assert got[4]["verdict"] == "block" and got[1]["verdict"] == "allow"
         assert got[1]["bad_rate"] < got[1000]["bad_rate"] < got[4]["bad_rate"]
-        assert all(r["bad_bound"] < r["bad_rate"] for r in got.values())
+        assert got[4]["below"] < 0.05 < got[1000]["below"] < got[1]["below"]
     domain, suffix = url_filter.registered(F.col("h"))
     hosts = spark.createDataFrame([("a.b.co.uk",), ("x.example.com:80",), ("10.0.0.1",), ("",)], "h string")
     assert [tuple(r) for r in hosts.select(domain, suffix).collect()] == [("b.co.uk", "co.uk"), ("example.com", "com"), ("10.0.0.1", "address"), ("", "")]
