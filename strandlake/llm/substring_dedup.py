@@ -11,14 +11,13 @@ search, by wavelet-matrix ranks, streams every segment through the index and kee
 length. A window is repeated where its interval holds an earlier place. A shard holds about ``shard_bytes`` of the corpus,
 so the number of shards follows the input, and each document is streamed only through the shards of its own windows.
 
-Cases: null or empty texts have no words; a null doc_id comes after all others; rows that repeat a doc_id with the same
+Cases: null or empty texts have no words; a null doc_id comes after all others, the greatest one too; rows that repeat a doc_id with the same
 text stand at the same places and none is earlier than the other; with different texts each is judged by its own windows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 
 import numpy as np
 import pandas as pd
@@ -26,13 +25,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._text import SPACED, Words, chunks, over_texts, quoted, ragged, rolled, spans_hash
+from strandlake.llm._text import SPACED, Words, chunks, over_texts, prepare, quoted, ragged, rolled, spans_hash
 from strandlake.llm.fm_index import FMIndex
-from strandlake.shipping import ship
 
 WINDOW, GRAM, FILTER_GRAM = 20, 4, 12
-SHARD_BYTES, BLOCK_BYTES, SEGMENT_WINDOWS = 6 << 20, 12 << 20, 62
-LAST = (1 << 63) - 1
+SHARD_BYTES, BLOCK_BYTES, SEGMENT_WINDOWS = 4 << 20, 6 << 20, 62
+#: Shards that one task takes on, one after another.
+SHARDS_A_TASK = 16
+#: What a null doc_id is sent as, with this bit in the row's tag: it comes after a document that has this id.
+LAST, NULL = (1 << 63) - 1, 1 << 30
+#: The columns of a block and of its list of places to remove, as they stand there one after another.
+SENT = (("ids", "<i8"), ("tags", "<i4"), ("start", "<i4"), ("windows", "u1"), ("size", "<i4"))
+
+
+def packed(sent: list[np.ndarray], lost: list[np.ndarray], text: np.ndarray) -> bytes:
+    """A block: how many segments and places to remove, their columns, and the segments' text."""
+    columns = [x.astype(t).tobytes() for x, (_, t) in zip([*sent, *lost], (*SENT, *SENT[:4]), strict=True)]
+    return b"".join((np.array([len(sent[0]), len(lost[0])], "<i4").tobytes(), *columns, text.tobytes()))
+
+
+def unpacked(block: bytes) -> list[np.ndarray]:
+    """The segments' columns, the removed places' columns and the text."""
+    n, at, out = np.frombuffer(block, "<i4", 2).tolist(), 8, []
+    for part, columns in zip(n, (SENT, SENT[:4]), strict=True):
+        for _, t in columns:
+            out.append(np.frombuffer(block, t, part, at))
+            at += out[-1].nbytes
+    return [*out, np.frombuffer(block, np.uint8, offset=at)]
+
+
+def owners(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """The documents' places in the order of ids, null ones last."""
+    late = tags >> 30
+    order = np.lexsort((late, ids))
+    i, l = ids[order], late[order]
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(np.r_[False, (i[1:] != i[:-1]) | (l[1:] != l[:-1])])[: len(ids)]
+    return out
 
 
 def segments(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,11 +114,12 @@ class Sender:
             return []
         ids, tags, start, windows, least, key, size, text = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.bytes = [], 0
-        order = np.lexsort((start, ids, key))
+        owner = owners(ids, tags)
+        order = np.lexsort((start, owner, key))
         k = key[order]
         earliest = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
         first = order[np.maximum.accumulate(np.where(earliest, np.arange(len(k)), 0))] if len(k) else order
-        same = (ids[order] == ids[first]) & (start[order] == start[first])
+        same = (owner[order] == owner[first]) & (start[order] == start[first])
         send, drop = order[earliest | same & (tags[order] != tags[first])], order[~same]
         begin = np.cumsum(size.astype(np.int64)) - size
         shard, lost = (least[send] % np.uint64(self.shards)).astype(np.int64), (ids[drop] % self.shards).astype(np.int64)
@@ -99,8 +129,8 @@ class Sender:
         for s in np.union1d(shard, lost).tolist():
             i = np.sort(send[np.searchsorted(shard, s) : np.searchsorted(shard, s, "right")])
             d = drop[np.searchsorted(lost, s) : np.searchsorted(lost, s, "right")]
-            block = (ids[i], tags[i], start[i], windows[i], size[i], text[ragged(begin[i], size[i])], ids[d], tags[d], start[d], windows[d])
-            out.append((s, self.pack(pickle.dumps(block, protocol=5))))
+            block = packed([x[i] for x in (ids, tags, start, windows, size)], [x[d] for x in (ids, tags, start, windows)], text[ragged(begin[i], size[i])])
+            out.append((s, self.pack(block)))
         return out
 
 
@@ -113,7 +143,7 @@ def shard_repeats(blocks: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    ids, tags, start, windows, size, text, *lost = (np.concatenate(x) for x in zip(*(pickle.loads(unpack(b)) for b in blocks), strict=True))
+    ids, tags, start, windows, size, *lost, text = (np.concatenate(x) for x in zip(*(unpacked(unpack(b)) for b in blocks), strict=True))
     out = [(lost[0], lost[1], lost[2], ones(lost[3]))]
     offsets = np.r_[0, np.cumsum(size.astype(np.int64))]
     rows = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(text))
@@ -124,11 +154,12 @@ def shard_repeats(blocks: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     if len(size):
         # equal segments: the earliest stands for all
         key = spans_hash(hashes, first, first + length)
-        order = np.lexsort((start, ids, key))
+        owner = owners(ids, tags)
+        order = np.lexsort((start, owner, key))
         k = key[order]
         new = np.r_[True, k[1:] != k[:-1]]
         head = order[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-        later = (ids[order] != ids[head]) | (start[order] != start[head])
+        later = (owner[order] != owner[head]) | (start[order] != start[head])
         d = order[later]
         out.append((ids[d], tags[d], start[d], ones(windows[d])))
         twins = order[~new & ~later]  # one place, told apart by the text as a whole
@@ -143,7 +174,7 @@ def shard_repeats(blocks: list[bytes], window: int) -> tuple[np.ndarray, ...]:
         hit = (found < len(twice)) & (twice[np.minimum(found, len(twice) - 1)] == grams) if len(twice) else np.zeros(len(grams), bool)
         live = kept[np.unique(of[hit])]
         if len(live):
-            mask = repeated_windows(hashes, first[live], length[live], ids[live], start[live], windows[live], window)
+            mask = repeated_windows(hashes, first[live], length[live], owner[live], start[live], windows[live], window)
             some = mask != 0
             out.append((ids[live][some], tags[live][some], start[live][some], mask[some]))
             if len(twins):
@@ -153,17 +184,17 @@ def shard_repeats(blocks: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def repeated_windows(hashes: np.ndarray, first: np.ndarray, length: np.ndarray, ids: np.ndarray, start: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
+def repeated_windows(hashes: np.ndarray, first: np.ndarray, length: np.ndarray, owner: np.ndarray, start: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
     """For each segment the mask of its windows that start earlier too, by the index's intervals."""
     flat = np.unique(hashes[ragged(first, length)], return_inverse=True)[1] + 1
     at = np.cumsum(length + 1) - (length + 1)
     symbols = np.zeros(int((length + 1).sum()), np.int64)
     symbols[ragged(at, length)] = flat
     index = FMIndex(symbols, window)
-    # places in order of (doc_id, start)
+    # places in order of (document, start)
     n = windows.astype(np.int64)
     places, segment = ragged(at, n), np.repeat(np.arange(len(n)), n)
-    doc, word = ids[segment], start[segment].astype(np.int64) + places - at[segment]
+    doc, word = owner[segment], start[segment].astype(np.int64) + places - at[segment]
     order = np.lexsort((word, doc))
     rank = np.zeros(len(order), np.int64)
     rank[order] = np.cumsum(np.r_[False, (doc[order][1:] != doc[order][:-1]) | (word[order][1:] != word[order][:-1])])
@@ -182,9 +213,9 @@ REPEATS = "doc_id bigint, tag int, start int, mask bigint"
 
 def substring_dedup(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row for each document: doc_id, n_words, n_removed, kept (the words left, joined by a blank) and kept_sha256."""
-    ship(documents.sparkSession)
+    prepare(documents.sparkSession)
     text_ = F.col(quoted(text))
-    docs = documents.select(F.coalesce(F.col(quoted(doc_id)), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce(text_, F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"), text_.alias("text"))
+    docs = documents.select(F.coalesce(F.col(quoted(doc_id)), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce(text_, F.lit(""))).bitwiseAND(NULL - 1).bitwiseOR(F.when(F.col(quoted(doc_id)).isNull(), NULL).otherwise(0)).cast("int").alias("tag"), text_.alias("text"))
     total = documents.agg(F.coalesce(F.sum(F.octet_length(text_)), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
 
@@ -201,7 +232,10 @@ def substring_dedup(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     def receive(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(dict(zip(("doc_id", "tag", "start", "mask"), shard_repeats(rows["block"].tolist(), window), strict=True)))
 
-    repeats = docs.mapInArrow(send, "shard bigint, block binary").groupBy("shard").applyInPandas(receive, REPEATS)
+    sent = docs.mapInArrow(send, "shard bigint, block binary")
+    # tasks follow the shards, and so the input, whatever the session's number of partitions
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_A_TASK))
+    repeats = sent.repartition(tasks, "shard").groupBy("shard").applyInPandas(receive, REPEATS)
     repeats = repeats.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))
     joined = docs.join(repeats, ["doc_id", "tag"], "left")
 
@@ -217,12 +251,12 @@ def substring_dedup(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
             total = np.r_[0, ends][np.searchsorted(kept, words.first)]
             rows = [data[a : max(a, b - 1)].tobytes() for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True)]
             gone = np.r_[0, np.cumsum(removed)][words.first]
-            ids = batch["doc_id"].to_pylist()
-            return {"doc_id": [None if i == LAST else i for i in ids], "n_words": words.count, "n_removed": np.diff(gone), "kept_sha256": [hashlib.sha256(r).hexdigest() for r in rows], "kept": [r.decode() for r in rows]}
+            ids = zip(batch["doc_id"].to_pylist(), batch["tag"].to_pylist(), strict=True)
+            return {"doc_id": [None if tag & NULL else i for i, tag in ids], "n_words": words.count, "n_removed": np.diff(gone), "kept_sha256": [hashlib.sha256(r).hexdigest() for r in rows], "kept": [r.decode() for r in rows]}
 
         return f
 
-    return over_texts(joined, {k: k for k in ("doc_id", "text", "starts", "masks")}, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string", work)
+    return over_texts(joined, {k: k for k in ("doc_id", "tag", "text", "starts", "masks")}, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string", work)
 
 
 def marked(words: Words, starts: pa.Array, masks: pa.Array, window: int) -> np.ndarray:
