@@ -605,19 +605,20 @@ def sliced(cigar: str, ref_start: int, ref_end: int, query_len: int, low: int, h
     return begin, query, run_lengths([(begin, "S"), *ops, (query_len - query, "S")])
 
 
-def slice_to_ref_range(alignment: Column, low: int, high: int) -> Column:
+def slice_to_ref_range(alignment: Column, low: int | Column, high: int | Column) -> Column:
     """The alignment cut to a range of the reference; null where it does not cover the range. Score and lengths stay."""
     ship()
 
     @F.pandas_udf(ALIGNMENT)
-    def run(a: pd.DataFrame) -> pd.DataFrame:
+    def run(a: pd.DataFrame, low: pd.Series, high: pd.Series) -> pd.DataFrame:
         rows = []
-        for r in a.itertuples(index=False):
-            cut = None if pd.isna(r.ref_start) or r.cigar is None else sliced(r.cigar, int(r.ref_start), int(r.ref_end), int(r.query_len), low, high)
-            rows.append((None,) * 9 if cut is None else (r.status, r.score, low, high, cut[0], cut[1], cut[2], r.ref_len, r.query_len))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in ALIGNMENT.split(", ")]).astype({c.split()[0]: "Int64" for c in ALIGNMENT.split(", ") if "bigint" in c})
+        for r, x, y in zip(a.itertuples(index=False), low, high, strict=True):
+            cut = None if pd.isna(r.ref_start) or r.cigar is None or pd.isna(x) or pd.isna(y) else sliced(r.cigar, int(r.ref_start), int(r.ref_end), int(r.query_len), int(x), int(y))
+            rows.append((None,) * 9 if cut is None else (r.status, r.score, int(x), int(y), cut[0], cut[1], cut[2], r.ref_len, r.query_len))
+        return _frame(rows)
 
-    return run(alignment)
+    as_long = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("bigint")
+    return run(alignment, as_long(low), as_long(high))
 
 
 def verbose(ref: str, query: str, cigar: str, ref_start: int) -> str:

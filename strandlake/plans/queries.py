@@ -16,12 +16,11 @@ from strandlake.functions import cigar as cg
 from strandlake.functions import composition as cp
 from strandlake.functions import distance as ds
 from strandlake.functions import sequence as sq
-from strandlake.functions.alphabets import AMINO_ACIDS, RECODE, REFINE, VALID, genetic_code
+from strandlake.functions.alphabets import AMINO_ACIDS, RECODE, REFINE, VALID
 from strandlake.operators import alignment as al
 from strandlake.operators import composition as oc
 from strandlake.operators import kmers as km
 from strandlake.operators import sam as sm
-from strandlake.operators import sampling as sp
 from strandlake.sources.fasta import fasta_line
 from strandlake.sources.fastq import fastq_line
 from strandlake.sources.sam import sam_line
@@ -144,31 +143,70 @@ def kmer_lookup(spark, sf_dir):
 # Validation and recoding ------------------------------------------------------------------------------------------------
 
 
-def _class(chars: str) -> str:
-    return "".join("\\" + c if c in "-.]^\\" else c for c in sorted(chars))
+#: Classes of the checks, stated again for SQL.
+_VALID_SQL = {
+    "iupac_no_gaps": "ACGTURYSWKMBDHVNacgturyswkmbdhvn",
+    "iupac_no_gaps_uc": "ACGTURYSWKMBDHVN",
+    "iupac_with_gaps": "ACGTURYSWKMBDHVNacgturyswkmbdhvn.-",
+    "iupac_with_gaps_uc": "ACGTURYSWKMBDHVN.-",
+    "acgtn_no_gaps": "ACGTNacgtn",
+    "acgtn_no_gaps_uc": "ACGTN",
+    "acgtn_std_gaps_uc": "ACGTN-",
+    "acgt_no_gaps": "ACGTacgt",
+    "acgt_no_gaps_uc": "ACGT",
+}
 
 
-@query("select doc_id, " + ", ".join(f"length(regexp_replace(s, '[{_class(v.text)}]+', '', 'g')) = 0 as {k}, length(regexp_replace(s, '[^{_class(v.text)}]+', '', 'g')) as kept_{k}" for k, v in VALID.items()) + f" from (select doc_id, {SEQ} as s from documents)")
+@query("select doc_id, " + ", ".join(f"length(regexp_replace(s, '[{v}]+', '', 'g')) = 0 as {k}, length(regexp_replace(s, '[^{v}]+', '', 'g')) as kept_{k}" for k, v in _VALID_SQL.items()) + f" from (select doc_id, {SEQ} as s from documents)")
 def validate_dna(spark, sf_dir):
     base = table(spark, sf_dir, "documents").select("doc_id", iupac(T).alias("s"))
     return base.select("doc_id", *[c for k in VALID for c in (sq.is_valid_dna(F.col("s"), k).alias(k), F.length(sq.retain_dna(F.col("s"), k)).cast("bigint").alias(f"kept_{k}"))])
 
 
-def _sql_map(m, col: str) -> str:
-    out, keys = col, "".join(sorted(m.pairs))
-    if m.default is not None:
-        out = f"regexp_replace({out}, '[^{_class(keys)}]', '{m.default}', 'g')"
-    moved = {k: v for k, v in m.pairs.items() if k != v}
-    return f"translate({out}, '{''.join(moved)}', '{''.join(moved.values())}')" if moved else out
-
-
-@query("select doc_id, " + ", ".join(f"md5({_sql_map(m, 's')}) as {k}" for k, m in RECODE.items()) + f" from (select doc_id, regexp_replace(coalesce(text, ''), '[^ -~]+', '', 'g') as s from documents)")
+def _sql_map(kept: str | None, rest: str, old: str, new: str) -> str:
+    """What is not of the class ``kept`` becomes ``rest``; then letters are exchanged."""
+    out = "s" if kept is None else f"regexp_replace(s, '[^{kept}]', '{rest}', 'g')"
+    return f"translate({out}, '{old}', '{new}')"
+
+
+_ANY, _IUPAC = "ACGTUNacgtun", "ACGTURYSWKMBDHVNacgturyswkmbdhvn"
+_LOW, _HIGH = "acgtnuU", "ACGTNTT"
+_LOW_I, _HIGH_I = "acgturyswkmbdhvnU", "ACGTTRYSWKMBDHVNT"
+_DOUBT = "RYSWKMBDHVryswkmbdhv"
+#: Maps, stated again for SQL: the class that is kept (none: all), what the rest becomes, and the letters exchanged.
+_RECODE_SQL = {
+    "iupac_to_acgtn_with_gaps": (None, "", "Uu" + _DOUBT, "Tt" + "N" * 10 + "n" * 10),
+    "iupac_to_acgtn_with_gaps_upper": (None, "", _LOW + _DOUBT, _HIGH + "N" * 20),
+    "any_to_acgtn_no_gaps_upper": (_ANY, "N", _LOW, _HIGH),
+    "any_to_acgtn_with_gaps_upper": (_ANY + ".-", "N", _LOW, _HIGH),
+    "any_to_iupac_with_gaps": (_IUPAC + ".-", "N", "Uu", "Tt"),
+    "any_to_iupac_with_gaps_upper": (_IUPAC + ".-", "N", _LOW_I, _HIGH_I),
+    "any_to_iupac_correct_gaps_upper": (_IUPAC + ".:~-", "N", _LOW_I + ":~", _HIGH_I + "--"),
+    "to_rna": ("ACGUNTacgunt", "N", "Tt", "Uu"),
+    "to_rna_upper": ("ACGUTacgut", "N", "Tacgut", "UACGUU"),
+    "any_to_acgtn_no_gaps": (_ANY, "N", "Uu", "Tt"),
+    "any_to_acgtn_with_gaps": (_ANY + ".-", "N", "Uu", "Tt"),
+    "any_to_iupac_no_gaps": (_IUPAC, "N", "Uu", "Tt"),
+    "any_to_iupac_no_gaps_upper": (_IUPAC, "N", _LOW_I, _HIGH_I),
+}
+_REFINE_SQL = {
+    "iupac_no_gaps_uc": (_IUPAC, "", _LOW_I, _HIGH_I),
+    "iupac_with_gaps_uc": (_IUPAC + ".-", "", _LOW_I, _HIGH_I),
+    "iupac_correct_gaps_uc": (_IUPAC + ".:~-", "", _LOW_I + ":~", _HIGH_I + "--"),
+    "acgtn_no_gaps_uc": (_ANY, "", _LOW, _HIGH),
+    "acgtn_with_gaps_uc": (_ANY + ".-", "", _LOW, _HIGH),
+    "acgtn_std_gaps_uc": (_ANY + ".:~-", "", _LOW + ".:~", _HIGH + "---"),
+    "acgt_no_gaps_uc": ("ACGTUacgtu", "", "acgtuU", "ACGTTT"),
+}
+
+
+@query("select doc_id, " + ", ".join(f"md5({_sql_map(*m)}) as {k}" for k, m in _RECODE_SQL.items()) + f" from (select doc_id, regexp_replace(coalesce(text, ''), '[^ -~]+', '', 'g') as s from documents)")
 def recode_dna(spark, sf_dir):
     base = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce(F.col(T), F.lit("")), "[^ -~]+", "").alias("s"))
     return base.select("doc_id", *[F.md5(sq.recode_dna(F.col("s"), k)).alias(k) for k in RECODE])
 
 
-@query("select doc_id, " + ", ".join(f"md5({_sql_map(m, 's')}) as {k}" for k, m in REFINE.items()) + f" from (select doc_id, {SEQ} as s from documents)")
+@query("select doc_id, " + ", ".join(f"md5({_sql_map(*m)}) as {k}" for k, m in _REFINE_SQL.items()) + f" from (select doc_id, {SEQ} as s from documents)")
 def refine_dna(spark, sf_dir):
     base = table(spark, sf_dir, "documents").select("doc_id", iupac(T).alias("s"))
     return base.select("doc_id", *[F.md5(sq.retain_and_recode_dna(F.col("s"), k)).alias(k) for k in REFINE])
@@ -196,7 +234,12 @@ def header_taxon(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", found["id"].alias("id"), found["taxon"].alias("taxon")).where("id is not null")
 
 
-_CODE = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in genetic_code().items() if set(k) <= set("ACGTN")) + "}"
+#: The standard code over ACGTN, stated again for SQL: each residue with its codons.
+_CODONS = """A GCT GCC GCA GCG GCN; R CGT CGC CGA CGG CGN AGA AGG; N AAT AAC; D GAT GAC; C TGT TGC; Q CAA CAG; E GAA GAG;
+G GGT GGC GGA GGG GGN; H CAT CAC; I ATT ATC ATA; L CTT CTC CTA CTG CTN TTA TTG; K AAA AAG; M ATG; F TTT TTC;
+P CCT CCC CCA CCG CCN; S TCT TCC TCA TCG TCN AGT AGC; T ACT ACC ACA ACG ACN; W TGG; Y TAT TAC; V GTT GTC GTA GTG GTN;
+* TAA TAG TGA; X NNN"""
+_CODE = "map {" + ", ".join(f"'{codon}': '{part.split()[0]}'" for part in _CODONS.split(";") for codon in part.split()[1:]) + "}"
 _AA = f"array_to_string([coalesce(({_CODE})[substring(s, 3 * i + 1, 3)], 'X') for i in range(0, length(s) // 3)], '')"
 _OVER = f"array_to_string([coalesce(({_CODE})[substring(s, i + 1, 3)], 'X') for i in range(0, greatest(length(s) - 2, 0))], '')"
 
@@ -307,11 +350,11 @@ _MATRIX += "f as (select *, case when total > 0 then d / total end as p, " + ",
 _MATRIX += "g as (select *, 1 - fA * fA - fC * fC - fG * fG - fT * fT as e, fA + fG as r, fC + fT as y from f)"
 _LN = lambda x: f"case when {x} > 0 then ln({x}) end"
 _JC = _LN("1 - 4 * p / 3")
-_K80A, _K80B = _LN("1 - 2 * (ag + ct) / total - (w1 + w2) / total"), _LN("1 - 2 * (w1 + w2) / total")
-_K81 = _LN("(1 - 2 * (ag + ct) / total - 2 * w1 / total) * (1 - 2 * (ag + ct) / total - 2 * w2 / total) * (1 - 2 * w1 / total - 2 * w2 / total)")
+_K80A, _K80B = _LN("1 - 2 * (ag + ct) / nullif(total, 0) - (w1 + w2) / nullif(total, 0)"), _LN("1 - 2 * (w1 + w2) / nullif(total, 0)")
+_K81 = _LN("(1 - 2 * (ag + ct) / nullif(total, 0) - 2 * w1 / nullif(total, 0)) * (1 - 2 * (ag + ct) / nullif(total, 0) - 2 * w2 / nullif(total, 0)) * (1 - 2 * w1 / nullif(total, 0) - 2 * w2 / nullif(total, 0))")
 _F81 = _LN("1 - p / nullif(e, 0)")
 _TN = "(2 * fA * fG / nullif(r, 0))", "(2 * fC * fT / nullif(y, 0))", "(2 * (r * y - fA * fG * y / nullif(r, 0) - fC * fT * r / nullif(y, 0)))"
-_TN1, _TN2, _TN3 = _LN(f"(1 - (ag / total) / nullif({_TN[0]}, 0) - ((w1 + w2) / total) / nullif(2 * r, 0))"), _LN(f"(1 - (ct / total) / nullif({_TN[1]}, 0) - ((w1 + w2) / total) / nullif(2 * y, 0))"), _LN("(1 - ((w1 + w2) / total) / nullif(2 * r * y, 0))")
+_TN1, _TN2, _TN3 = _LN(f"(1 - (ag / nullif(total, 0)) / nullif({_TN[0]}, 0) - ((w1 + w2) / nullif(total, 0)) / nullif(2 * r, 0))"), _LN(f"(1 - (ct / nullif(total, 0)) / nullif({_TN[1]}, 0) - ((w1 + w2) / nullif(total, 0)) / nullif(2 * y, 0))"), _LN("(1 - ((w1 + w2) / nullif(total, 0)) / nullif(2 * r * y, 0))")
 
 
 @query(
@@ -351,7 +394,7 @@ def _with_cigar(spark, sf_dir):
 
 
 @query(
-    f"select l_orderkey, l_linenumber, cigar, true as valid, cast(l_quantity as int) + l_linenumber + 8 as ref_len, l_linenumber + cast(l_quantity as int) + 6 as query_len, true as indels, "
+    f"select l_orderkey, l_linenumber, cigar, regexp_full_match(cigar, '([1-9][0-9]*[MIDNSHP=X])*') as valid, cast(l_quantity as int) + l_linenumber + 8 as ref_len, l_linenumber + cast(l_quantity as int) + 6 as query_len, regexp_matches(cigar, '[ID]') as indels, "
     "repeat('S', l_linenumber) || repeat('M', cast(l_quantity as int)) || 'II' || repeat('D', l_linenumber) || 'MMMNNNN=' as expanded, '1=4N3M' || cast(l_linenumber as varchar) || 'D2I' || cast(cast(l_quantity as int) as varchar) || 'M' || cast(l_linenumber as varchar) || 'S' as reversed "
     f"from (select *, {_CIGAR} as cigar from lineitem)"
 )
@@ -425,16 +468,3 @@ def align_global(spark, sf_dir):
 def align_scores(spark, sf_dir):
     w = al.Weights.dna(2, -5)
     return _item_pairs(spark, sf_dir).select("item_id", al.score(F.col("ref"), F.col("query"), w, -10, -1).alias("local"), al.score(F.col("ref"), F.col("query"), w, -10, -1, "global").alias("global"), al.pre_filter(F.col("ref"), F.col("query"), 0.9).alias("may_align"))
-
-
-# Sampling: tested for sizes and shares ------------------------------------------------------------------------------------
-
-
-@query()
-def sample_bernoulli(spark, sf_dir):
-    return sp.bernoulli(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 0.1)
-
-
-@query()
-def sample_reservoir(spark, sf_dir):
-    return sp.reservoir(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 500)
