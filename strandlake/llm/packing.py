@@ -27,7 +27,7 @@ from strandlake.llm._text import free, over_texts
 from strandlake.llm._tokens import Vocabulary
 from strandlake.shipping import ship
 
-CAPACITY, END, GROUP = 1024, 2, 4096
+CAPACITY, END, GROUP = 1024, 2, 16_384
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
