@@ -398,7 +398,8 @@ def _viterbi_sql() -> str:
 
 @query(_viterbi_sql())
 def phmm_scores(spark, sf_dir):
-    """The best global path of each part's name through a model of two match states."""
+    """The best global path of each part's name through a model of two match states, read from its text."""
+    model = phmm.parse(phmm.to_text(_two_states()))
     s = F.regexp_replace(F.upper("p_name"), "[^ACGT]+", "")
     rows = table(spark, sf_dir, "part").select("p_partkey", s.alias("sequence")).where("sequence <> ''")
-    return rows.select("p_partkey", "sequence", phmm.align(F.col("sequence"), _two_states(), "global").alias("a")).select("p_partkey", "sequence", F.round("a.score", 6).alias("score"))
+    return rows.select("p_partkey", "sequence", phmm.align(F.col("sequence"), model, "global").alias("a")).select("p_partkey", "sequence", F.round("a.score", 6).alias("score"))
