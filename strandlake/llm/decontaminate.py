@@ -11,7 +11,8 @@ scanned, without a shuffle. Beyond it documents' fingerprints that items have to
 joined with the items' windows (``_joined``). Both ways compare the words themselves, not only their hashes.
 
 Cases: a null or empty text has no words; items with a null id or no words never match; rows that repeat a doc_id are
-judged each by itself; items that repeat an item_id count once.
+judged each by itself; items that repeat an item_id count once; without items nothing is hit, and no documents give no rows;
+other columns are not read, and stay where documents are filtered.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ A pair at the linked similarity exceeds the sketch distance with a probability u
 is 9.6 of 128 bits on average with a deviation of 3, and pairs up to 28 go on; at 0.8 the average is 12.8 and the bound 33.
 
 Cases: null or empty texts have no shingles and are linked with nothing; rows that repeat a doc_id count as one document
-if their texts are equal, else each text has its links and the id joins them; a null doc_id comes after all others.
+if their texts are equal, else each text has its links and the id joins them; a null doc_id is linked with nothing; no rows
+give no rows; of equal ids all rows stay or go together; other columns are not read, and stay where documents are filtered.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ closed. The pieces of all others are gathered, a small part of the rows, and dea
 left or regrouping closes less than three tenths (as where long pieces lack short ones); there the last open pieces are
 placed by best fit. So each task holds a bounded number of pieces whatever the input, and only last groups leave gaps.
 
-Cases: null text is empty and gives its end mark alone; rows that repeat a doc_id are packed each; no rows give no rows.
+Cases: null text is empty and gives its end mark alone; rows that repeat a doc_id are packed each; no rows give no rows; of equal
+lengths the order of rows decides; other columns of pieces stay, but for sequence_id and offset, which are refused.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Everything is native and works inside the row: words are an array, repeated wind
 text's windows, and only the references are aggregated (with map-side combine, a row a language).
 
 Cases: null text has no words and no lines; a text of few words fails the base rule; rows that repeat a doc_id are judged
-each; clashing column names of the input are no matter, as only the id, the text and the language are read.
+each, equal texts alike; no rows give no rows; clashing column names of the input are no matter, as only the id, the text and
+the language are read.
 """
 
 from __future__ import annotations

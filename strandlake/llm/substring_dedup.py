@@ -12,7 +12,8 @@ length. A window is repeated where its interval holds an earlier place. A shard
 so the number of shards follows the input, and each document is streamed only through the shards of its own windows.
 
 Cases: null or empty texts have no words; a null doc_id comes after all others, the greatest one too; rows that repeat a doc_id with the same
-text stand at the same places and none is earlier than the other; with different texts each is judged by its own windows.
+text stand at the same places and none is earlier than the other; with different texts each is judged by its own windows; no rows
+give no rows; other columns are not read.
 """
 
 from __future__ import annotations
