@@ -23,6 +23,7 @@ from strandlake.shipping import ship
 SCHEMA = "header string, sequence string, quality string"
 BATCH = 4096
 SPLIT_BYTES = 64 << 20
+SCHEMES = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
 MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
 
 
@@ -122,17 +123,18 @@ def _aligned(lines: Iterator[tuple[int, str]], end: int | None) -> Iterator[tupl
             del held[:1]
 
 
-def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES, schemes: tuple[str, ...] = SCHEMES) -> DataFrame:
     """(header, sequence, quality) of files, plain or gzip. An empty file raises in FAILFAST.
 
     mode: FAILFAST raises on a malformed record, DROPMALFORMED leaves it out, PERMISSIVE keeps it with the fault in
-    ``_corrupt_record``.
+    ``_corrupt_record``. schemes: of the paths that tasks open through Arrow (on a cluster whose executors have no HDFS
+    library for it, leave hdfs out).
     """
     if mode not in MODES:
         raise ValueError(f"no mode is called {mode}")
     ship(spark)
     files = spark.read.format("binaryFile").load(path)
-    known = F.col("path").rlike(r"^(file|hdfs|s3|gs|abfss?)[^/]*:/")
+    known = F.col("path").rlike(rf"^({'|'.join(schemes)}):/")
     whole = F.endswith("path", F.lit(".gz")) | ~known
     starts = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint")))
     splits = files.where(known).select("path", "length", F.explode(starts).alias("start"), whole.alias("whole"), F.lit(None).cast("binary").alias("content"))

@@ -226,7 +226,9 @@ def test_fastq_splits(spark, tmp_path):
         f.write(text)
     for split in (37, 1000, 1 << 20):
         assert sorted(map(tuple, read_fastq(spark, str(tmp_path / "a.fastq"), split_bytes=split).collect())) == sorted(records)
-    assert sorted(map(tuple, read_fastq(spark, str(tmp_path / "b.fastq.gz"), split_bytes=37).collect())) == sorted(records)
+    for schemes in (("file",), ("s3",)):  # opened by the tasks, or loaded by Spark
+        assert sorted(map(tuple, read_fastq(spark, str(tmp_path / "b.fastq.gz"), split_bytes=37, schemes=schemes).collect())) == sorted(records)
+    assert read_fastq(spark, str(tmp_path / "a.fastq"), schemes=("s3",)).count() == 300
 
 
 def test_sam_header_order(spark, tmp_path):
