@@ -8,6 +8,7 @@ about ten times the bytes of the longest text. Arrow batches that Spark sends ar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +107,7 @@ class Words:
     """The words of a chunk of rows.
 
     data: the mapped bytes; start, end: byte ranges of words; first: for each row the number of its first word, and the
-    number of words; row: each word's row; hash: each word's hash.
+    number of words; row: each word's row; hash: each word's hash, taken when it is first asked for.
     """
 
     def __init__(self, texts: pa.Array, table: np.ndarray) -> None:
@@ -133,7 +134,10 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(texts)), self.count)
-        self.hash = spans_hash(data, self.start, self.end, _BYTES)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return spans_hash(self.data, self.start, self.end, _BYTES)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the k words from each word on, and which of these stay in one row."""

@@ -128,4 +128,36 @@ j as (select q.*, coalesce(rc, ac) as fc, coalesce(rw, aw) as fw, n_words < {qua
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (word_chars >= {quality_rules.MIN_CHARS_JUDGED} and {dist("pc", "fc")} > {limit(quality_rules.CLASS_LIMIT)}) and not (n_words >= {quality_rules.MIN_WORDS_JUDGED} and {dist("pw", "fw")} > {limit(quality_rules.WORD_LIMIT)}) as kept from j"""
 
 
-ORACLE_SQL = {"op1_decontaminate": _op1(), "op2_substring_dedup": _op2(), "op4_quality_rules": _op4(), "op5_secrets": _op5(), "op7_near_duplicates": _op7(), "op8_url_filter": _op8()}
+def _op12() -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, '{term}') as w from documents),
+s as (select count(*) filter (where len(w) > 0) as docs, cast(sum(len(w)) as bigint) as terms from d),
+i as (select item_id, t, count(*) as q from (select item_id, unnest(regexp_extract_all({_LOW}, '{term}')) as t from (select distinct item_id, text from benchmark where item_id is not null)) group by item_id, t),
+f as (select r, t, count(*) as tf from (select r, unnest(w) as t from d) where t in (select t from i) group by r, t),
+g as (select t, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as weight from (select t, count(*) as df from f group by t), s),
+m as (select r, doc_id, 100 - 75 + (75 * len(w) * docs) // terms as m from d, s where len(w) > 0),
+p as (select item_id, r, cast(sum(q * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score from i join f using (t) join g using (t) join m using (r) group by item_id, r),
+o as (select item_id, doc_id, score, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank from p join m using (r) where score > 0)
+select item_id, rank, doc_id, score from o where rank <= 10"""
+
+
+def _op13() -> str:
+    run = "[A-Za-z\u00C0-\u00FF]{6,}"
+    low = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    code = "list_transform(string_split({0}, ''), lambda c: case when unicode(c) < 128 then [unicode(c)] else [195, unicode(c) - 64] end)"
+    return f"""
+with recursive crc as (select list(c order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as c from range(256) r(i))),
+o as (select coalesce(cast(doc_id as varchar), '') as id, {low} as run from (select doc_id, unnest(regexp_extract_all(text, '{run}')) as run from documents)),
+k as (select id, run, count(*) as k from o group by id, run),
+h as (select run, k, xor(list_reduce(list_concat([4294967295], flatten({code.format("id || ':' || run")})), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from k, crc),
+v as (select word, cast(sum(k) as bigint) as n from (select k, case when h % 199 = 0 then substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) else run end as word from h) where length(word) >= 6 group by word having sum(k) >= 5),
+x as (select word, n, p, substring(word, 1, p) || substring(word, p + 2) as rest from (select word, n, unnest(range(0, length(word))) as p from v)),
+near as (select distinct x.word as word, v.word as near from x join v on v.word = x.rest union select distinct v.word, x.word from x join v on v.word = x.rest union select distinct a.word, b.word from x a join x b on a.rest = b.rest and a.p = b.p and a.word <> b.word),
+best as (select near.word as word, count(*) as n_near, first(near order by v.n desc, encode(near)) as form, max(v.n) as form_n from near join v on v.word = near.near group by near.word),
+j as (select v.word as word, n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * n then form end as form, case when form_n >= 5 * n then form_n end as form_n from v left join best on best.word = v.word),
+up(word, top) as (select word, word from j union select up.word, j.form from up join j on j.word = up.top where j.form is not null)
+select j.word as word, j.form as form, up.top as root, j.n as n, j.n_near as n_near, j.form_n as form_n from j join up on up.word = j.word join j e on e.word = up.top where e.form is null"""
+
+
+ORACLE_SQL = {"op1_decontaminate": _op1(), "op2_substring_dedup": _op2(), "op4_quality_rules": _op4(), "op5_secrets": _op5(), "op7_near_duplicates": _op7(), "op8_url_filter": _op8(), "op12_lexical_search": _op12(), "op13_spelling": _op13()}
