@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import id_taxon
+from strandlake.sources.modes import judged, known
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST") -> DataFrame:
     """(name, sequence). mode: FAILFAST raises on a malformed record, DROPMALFORMED leaves it out, PERMISSIVE keeps it with the fault in ``_corrupt_record``."""
-    if mode not in ("FAILFAST", "DROPMALFORMED", "PERMISSIVE"):
-        raise ValueError(f"no mode is called {mode}")
+    known(mode)
     raw = spark.read.option("lineSep", "\n>").text(path)
     # what stands before a file's first record is blank, and is no record
     records = raw.where(~F.col("value").rlike(r"^[ \t\r\n]*\z")).select(F.regexp_replace("value", r"^>", "").alias("value"))
@@ -26,15 +26,9 @@ def read_fasta(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST
     sequence = F.translate(body, "\r\n", "")
     has_line = F.col("value").rlike(r"[\r\n]")
     fault = F.when(~has_line & (F.trim("value") != ""), "no sequence follows the header, or the file does not start with '>'").when(F.trim(name) == "", "the header is empty").when(F.contains("value", F.lit(">")), "'>' stands inside a line").when(F.trim(sequence) == "", "the sequence is empty")
-    out = records.select(name.alias("name"), sequence.alias("sequence"), fault.alias("_corrupt_record"))
-    if mode == "PERMISSIVE":
-        return out
-    if mode == "DROPMALFORMED":
-        return out.where("_corrupt_record is null").drop("_corrupt_record")
-    if not _has_rows(raw):
+    if mode == "FAILFAST" and not _has_rows(raw):
         raise ValueError("No FASTA data found!")
-    checked = F.when(F.col("_corrupt_record").isNull(), F.col("sequence")).otherwise(F.raise_error(F.concat(F.lit("malformed FASTA record: "), F.col("_corrupt_record"))).cast("string"))
-    return out.select("name", checked.alias("sequence"))
+    return judged(records, fault, [name.alias("name"), sequence.alias("sequence")], mode, "FASTA record")
 
 
 def _has_rows(raw: DataFrame) -> bool:

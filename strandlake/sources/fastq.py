@@ -1,9 +1,10 @@
 """FASTQ files.
 
 Records are four strict lines and are not self-delimiting, as a quality line may start with ``@``. A plain file is read in
-splits: a task seeks to its split, finds the first record there (a line that starts with ``@`` whose second next starts
-with ``+`` and whose sequence and quality are of one length; a sequence does not start with ``+``), and parses on until the
-first record that begins behind its split. A gzip file is one task. Lines are streamed, so memory is bounded by a batch of
+splits. Where a split begins is moved on to the next boundary, a place that every reader of the file from its start comes
+to, whatever faults lie before: a line from which four lines make a record, the second of which starts with neither ``@`` nor
+``+``, and which isn't the last line of a record itself. Each split reads from its boundary to the next split's, so a malformed
+record belongs to the split in which reading the whole file would meet it. A gzip file is one task. Lines are streamed, so memory is bounded by a batch of
 records whatever a file's size. Files are opened by Arrow's file systems; where these do not know a path's scheme, Spark
 itself loads the file, up to the 2 GB that it can hold in a row.
 """
@@ -19,12 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.shipping import ship
+from strandlake.sources.modes import known
 
 SCHEMA = "header string, sequence string, quality string"
 BATCH = 4096
 SPLIT_BYTES = 64 << 20
 SCHEMES = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
-MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
 
 
 def fault(header: str, sequence: str, plus: str, quality: str) -> str | None:
@@ -52,7 +53,7 @@ def begins(lines: list[str]) -> bool:
 
 
 def entries(lines: Iterator[tuple[int, str]], end: int | None = None) -> Iterator[tuple[str, str, str, str | None]]:
-    """(header, sequence, quality, fault) of the records that begin before ``end``. lines: each with its place in the file.
+    """(header, sequence, quality, fault) of the records that begin before ``end``, a boundary or none. lines: each with its place in the file.
 
     After a malformed record reading goes on where the next one begins.
     """
@@ -108,19 +109,21 @@ def _opened(path: str, start: int):
     return _lines(stream, start)
 
 
-def _aligned(lines: Iterator[tuple[int, str]], end: int | None) -> Iterator[tuple[int, str]]:
-    """The lines from the first record on; nothing if none begins before ``end``."""
+def boundary(lines: Iterator[tuple[int, str]]) -> int | None:
+    """The first place among these lines, from the fourth on, at which a reader of the whole file begins a record; None if there is none.
+
+    Such a reader steps over a whole record or on to the next line that begins one. It can't step over a line that begins one
+    unless that is the second, third or last line of a record: the line after it, or the three before it, tell.
+    """
     held: list[tuple[int, str]] = []
     for x in lines:
         held.append(x)
-        if len(held) == 4:
-            if end is not None and held[0][0] >= end:
-                return
-            if begins([t for _, t in held]):
-                yield from held
-                yield from lines
-                return
+        if len(held) == 7:
+            texts = [t for _, t in held]
+            if begins(texts[3:]) and len(texts[3]) > 1 and texts[4][:1] not in ("", "@", "+") and fault(*texts[:4]) is not None:
+                return held[3][0]
             del held[:1]
+    return None
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES, schemes: tuple[str, ...] = SCHEMES) -> DataFrame:
@@ -130,17 +133,16 @@ def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST
     ``_corrupt_record``. schemes: of the paths that tasks open through Arrow (on a cluster whose executors have no HDFS
     library for it, leave hdfs out).
     """
-    if mode not in MODES:
-        raise ValueError(f"no mode is called {mode}")
+    known(mode)
     ship(spark)
     files = spark.read.format("binaryFile").load(path)
-    known = F.col("path").rlike(rf"^({'|'.join(schemes)}):/")
-    whole = F.endswith("path", F.lit(".gz")) | ~known
+    opened = F.col("path").rlike(rf"^({'|'.join(schemes)}):/")
+    whole = F.endswith("path", F.lit(".gz")) | ~opened
     starts = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint")))
-    splits = files.where(known).select("path", "length", F.explode(starts).alias("start"), whole.alias("whole"), F.lit(None).cast("binary").alias("content"))
+    splits = files.where(opened).select("path", "length", F.explode(starts).alias("start"), whole.alias("whole"), F.lit(None).cast("binary").alias("content"))
     n = splits.count()
     splits = splits.repartition(max(n, 1), "path", "start")
-    others = files.where(~known).select("path", "length", F.lit(0).cast("bigint").alias("start"), F.lit(True).alias("whole"), "content")
+    others = files.where(~opened).select("path", "length", F.lit(0).cast("bigint").alias("start"), F.lit(True).alias("whole"), "content")
     schema = SCHEMA + ", _corrupt_record string" * (mode == "PERMISSIVE")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +153,18 @@ def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST
                     stream = io.BytesIO(content.as_buffer())
                     lines = _lines(gzip.GzipFile(fileobj=stream) if file.endswith(".gz") else stream)
                 else:
-                    lines = _opened(file, start)
+                    if start:
+                        if (first := boundary(_opened(file, start))) is None:
+                            continue
+                        lines = _opened(file, first)
+                    else:
+                        lines = _opened(file, 0)
+                    end = end and boundary(_opened(file, end))
+                    if start and end == first:
+                        continue
                 rows: list[tuple] = []
                 some = False
-                for record in entries(_aligned(lines, end) if start else lines, end):
+                for record in entries(lines, end):
                     some = True
                     if record[3] and mode != "PERMISSIVE":
                         if mode == "FAILFAST":

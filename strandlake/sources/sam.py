@@ -6,28 +6,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators.sam import FIELDS, HEADER
+from strandlake.sources.modes import judged, known
 
 
 def records_of(lines: DataFrame, value: str = "value", mode: str = "FAILFAST", optional: bool = True) -> DataFrame:
     """Alignment rows of a frame of lines (batch or streaming). Mate columns are not kept: rnext is ``*``, pnext and tlen 0.
 
-    Malformed rows raise in FAILFAST and go in DROPMALFORMED.
+    mode: FAILFAST raises on a malformed row, DROPMALFORMED leaves it out, PERMISSIVE keeps what of it can be read with the fault in ``_corrupt_record``.
     """
+    known(mode)
     data = lines.where(~F.startswith(value, F.lit("@")) & (F.col(value) != ""))
     p = F.split(F.regexp_replace(value, r"\r\z", ""), "\t", -1)
     raw = data.select(p.alias("p"))
     c = F.col("p")
     bare = lambda x: F.when(x == "*", "").otherwise(x)
-    ok = (F.size(c) >= 11) & F.get(c, F.lit(1)).try_cast("int").between(0, 65535) & (F.get(c, F.lit(3)).try_cast("bigint") >= 0) & F.get(c, F.lit(4)).try_cast("int").between(0, 255) & F.get(c, F.lit(10)).rlike(r"^[!-~]*\z")
-    ok = F.coalesce(ok, F.lit(False))
-    if mode == "DROPMALFORMED":
-        raw = raw.where(ok)
-    guard = (lambda x: x) if mode == "DROPMALFORMED" else (lambda x: F.when(ok, x).otherwise(F.raise_error("malformed SAM row").cast("string")))
     at = lambda i: F.get(c, F.lit(i))
-    columns = [guard(at(0)).alias("qname"), at(1).try_cast("int").alias("flag"), at(2).alias("rname"), at(3).try_cast("bigint").alias("pos"), at(4).try_cast("smallint").alias("mapq"), bare(F.trim(at(5))).alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).cast("bigint").alias("pnext"), F.lit(0).alias("tlen"), at(9).alias("seq"), bare(at(10)).alias("qual")]
+    wrong = lambda good, what: F.when(~F.coalesce(good, F.lit(False)), what)
+    fault = F.coalesce(
+        wrong(F.size(c) >= 11, "fewer than 11 fields"),
+        wrong(at(1).try_cast("int").between(0, 65535), "the flag is no number of 16 bits"),
+        wrong(at(3).try_cast("bigint") >= 0, "the position is no number from 0 on"),
+        wrong(at(4).try_cast("int").between(0, 255), "the mapping quality is no number of 8 bits"),
+        wrong(at(10).rlike(r"^[!-~]*\z"), "the quality scores are not graphic ASCII"),
+    )
+    columns = [at(0).alias("qname"), at(1).try_cast("int").alias("flag"), at(2).alias("rname"), at(3).try_cast("bigint").alias("pos"), at(4).try_cast("smallint").alias("mapq"), bare(F.trim(at(5))).alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).cast("bigint").alias("pnext"), F.lit(0).alias("tlen"), at(9).alias("seq"), bare(at(10)).alias("qual")]
     if optional:
         columns.append(F.slice(c, F.lit(12), F.greatest(F.size(c) - 11, F.lit(0))).alias("opt_fields"))
-    return raw.select(*columns)
+    return judged(raw, fault, columns, mode, "SAM row")
 
 
 def read_sam(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", optional: bool = True) -> DataFrame:
