@@ -99,8 +99,27 @@ def min_average_max(col: Column) -> Column:
     return F.struct(min_q(col).alias("min"), arithmetic_mean_q(col).alias("mean"), max_q(col).alias("max"))
 
 
+#: A start codon, the codons up to the next stop in its frame, and that stop, or else all that is left.
+_REGION = "(?s)ATG((?:(?!TAA|TAG|TGA)...)*+)(TAA|TAG|TGA|.{0,2}\\z)"
+
+
+def coding_regions(col: Column) -> Column:
+    """All regions of a sequence, from left to right, as (bases, stop): what lies between a start codon and the next stop in its frame.
+
+    A region without a stop takes the rest of the sequence, an incomplete codon too, and its stop is null. The next region is
+    looked for behind the stop, in any frame.
+    """
+    up = F.translate(F.upper(col), "U", "T")
+    codons, last = (F.regexp_extract_all(up, F.lit(_REGION), F.lit(i)) for i in (1, 2))
+    return F.zip_with(codons, last, lambda c, s: F.when(F.length(s) == 3, F.struct(c.alias("bases"), s.alias("stop"))).otherwise(F.struct(F.concat(c, s).alias("bases"), F.lit(None).cast("string").alias("stop"))))
+
+
 def coding_gc(col: Column) -> Column:
-    """(coding, non_coding): G and C inside and outside the first open reading frame, from ATG through the first stop in its frame."""
+    """(coding, non_coding, coding_bases, non_coding_bases): G and C, and all bases, inside and outside the coding regions.
+
+    Start and stop codons count for neither.
+    """
     up = F.translate(F.upper(col), "U", "T")
-    frame = F.regexp_extract(up, "(?s)ATG(?:(?!TAA|TAG|TGA)...)*(?:TAA|TAG|TGA)", 0)
-    return F.struct(gc_content(frame).alias("coding"), (gc_content(up) - gc_content(frame)).alias("non_coding"))
+    inside = F.array_join(F.transform(coding_regions(col), lambda r: r["bases"]), "")
+    outside = F.regexp_replace(up, _REGION, "")
+    return F.struct(gc_content(inside).alias("coding"), gc_content(outside).alias("non_coding"), F.length(inside).cast("bigint").alias("coding_bases"), F.length(outside).cast("bigint").alias("non_coding_bases"))

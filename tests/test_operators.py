@@ -271,7 +271,7 @@ def test_byte_index_and_matrices(spark, tmp_path):
     assert tuple(row[1]) == (5, 49.0, 53)
     assert row[2]["mean"] == pytest.approx(107 / 3, abs=1e-4)
     assert 5 < row[3]["mean"] < 10
-    assert tuple(row[4]) == (4, 3)
+    assert tuple(row[4]) == (3, 3, 3, 3)
     assert ByteIndex("AB", "A", False).add_synonym("C", "B").synonyms == (("C", "B"),)
     assert AA_PROFILE.alphabet[-1] == "X"
     (tmp_path / "My_Matrix62.txt").write_text("A B\n1 0\n0 1\n")
