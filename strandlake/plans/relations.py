@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import seeding as sd
 from strandlake.plans.queries import DNA, QUAL, T, dna, quality, query, table
-from strandlake.sources import fasta, fastq, sam
+from strandlake.sources import fasta, fastq, formats, sam
 from strandlake.sources.modes import separated
 from strandlake.sources.scratch import scratch
 
@@ -103,3 +103,19 @@ def seeded_chains(spark, sf_dir):
     """The document of the best collinear chain of seeds for each benchmark item."""
     _, _, q, r = _seeds(spark, sf_dir, 10, 5)
     return sd.best_references(sd.chains(sd.hits(q, r), 10)).withColumnsRenamed({"query": "item_id", "ref": "doc_id"})
+
+
+# Formats ------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"select 'doc' || cast(doc_id as varchar) as header, md5(repeat('ACGTN', (length(q) + 4) // 5)[1 : length(q)]) as sequence, md5(q) as quality from (select doc_id, {QUAL} as q from documents) where length(q) > 0 and doc_id % 2 = 0")
+def fastq_format(spark, sf_dir):
+    """Documents as FASTQ records, written through the format and read back in splits, where headers are tested as they are parsed."""
+    formats.register(spark)
+    rows = table(spark, sf_dir, "documents").select("doc_id", quality(T).alias("quality")).where("quality <> ''")
+    n = F.length("quality")
+    rows = rows.select(F.concat(F.when(F.col("doc_id") % 2 == 0, "doc").otherwise("odd"), F.col("doc_id").cast("string")).alias("header"), F.substring(F.repeat(F.lit("ACGTN"), F.ceil(n / 5).cast("int")), F.lit(1), n).alias("sequence"), "quality")
+    path = scratch(spark)
+    rows.write.format("fastq").mode("append").save(path)
+    read = spark.read.format("fastq").option("splitBytes", 1 << 20).load(path)
+    return read.where(F.startswith("header", F.lit("doc"))).select("header", F.md5("sequence").alias("sequence"), F.md5("quality").alias("quality"))
