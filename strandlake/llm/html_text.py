@@ -13,6 +13,10 @@ A class, id or role name, or a form, marks an element only by likelihood: such a
 article or main element, nor does it hold where the element has most of the text that the ratios alone put in the upper
 cluster, unless an article or main element with text stands beside it. Boilerplate tags and hidden elements are always left out.
 
+Elements whose text isn't shown (scripts, templates, buttons, lists of choices) stay silent up to their end tag. The head ends
+at the first tag or text that can't stand in it. Where another silent element has no end tag, only what comes before the first
+block tag in it is silent, so none takes the rest of a page with it.
+
 Cases: null, empty or text-less html gives an empty text; unclosed and misnested tags are closed as the parser meets
 others; plain text without tags is one line and is the text; rows that repeat a page_id are judged each by itself; of equal
 regions all stay, in page order; no pages give no rows; other columns are not read.
@@ -35,6 +39,10 @@ PART = 10
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
+#: What can stand in a head.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
+#: An end tag of a silent element reaches up to one of these.
+SILENT_SCOPES = frozenset("table td th caption html body article main".split())
 FOREIGN = frozenset(("svg", "math"))
 BOILERPLATE = frozenset("nav header footer aside menu dialog".split())
 #: Words of class, id and role values that mark boilerplate.
@@ -54,27 +62,32 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []  # tag, number, boilerplate, silent, elements marked by name
+        self.raw: list[tuple] = []  # lines before it is known which silent elements have an end tag
+        self.stack: list[tuple[str, int, bool, tuple[int, ...], tuple[int, ...]]] = []  # tag, number, boilerplate, silent elements, elements marked by name
         self.kinds: dict[int, str] = {0: ""}
-        self.parts: list[str] = []
-        self.links, self.tags, self.in_link = 0, 0, 0
+        self.parts: list[tuple[str, bool, tuple[int, ...]]] = []  # text, in a link, silent elements
+        self.tags, self.in_link = 0, 0
+        self.ended: set[int] = set()  # silent elements with an end tag
+        self.broken: set[int] = set()  # silent elements in which a block tag was met
         self.plain = True
 
     def end_line(self) -> None:
         if self.parts:
-            text = WHITE.sub(" ", "".join(self.parts)).strip()
-            if text:
-                path = tuple(n for tag, n, *_ in self.stack if tag in BLOCKS)
-                self.lines.append((text, self.links, self.tags, path, bool(self.stack) and self.stack[-1][2], self.stack[-1][4] if self.stack else ()))
-                self.tags = 0
-            self.parts = []
-        self.links = 0
+            path = tuple(n for tag, n, *_ in self.stack if tag in BLOCKS)
+            self.raw.append((self.parts, self.tags, path, bool(self.stack) and self.stack[-1][2], self.stack[-1][4] if self.stack else ()))
+            self.tags, self.parts = 0, []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.plain = False
         self.tags += 1
+        silent = self.stack[-1][3] if self.stack else ()
+        if silent and (tag == "body" or tag not in IN_HEAD and self.kinds[silent[-1]] == "head"):
+            self.close_element("head")
+        if tag in ("button", "select"):
+            self.close_element(tag, SILENT_SCOPES)
         if tag in BLOCKS:
             self.end_line()
+            self.broken.update(self.stack[-1][3] if self.stack else ())
             if tag in ENDS_P:
                 self.close_element("p", SCOPES)
             if tag == "li":
@@ -84,7 +97,7 @@ class Lines(HTMLParser):
                 self.close_element("dd", frozenset(("dl",)))
         if tag in VOID:
             return
-        under = self.stack[-1] if self.stack else ("", 0, False, False, ())
+        under = self.stack[-1] if self.stack else ("", 0, False, (), ())
         marked = under[2] or tag in BOILERPLATE
         number, named = len(self.kinds), under[4]
         if tag in CONTENT:
@@ -96,18 +109,20 @@ class Lines(HTMLParser):
                 named = (*named, number)
         self.in_link += tag == "a"
         self.kinds[number] = tag
-        self.stack.append((tag, number, marked, under[3] or tag in SILENT, named))
+        self.stack.append((tag, number, marked, (*under[3], number) if tag in SILENT else under[3], named))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         foreign = tag in FOREIGN or tag not in BLOCKS and any(x[0] in FOREIGN for x in self.stack)
         self.handle_starttag(tag, attrs)  # as browsers do, <div/> opens an element
         if foreign and tag not in VOID:
-            self.close_element(tag)
+            self.close_element(tag, by_tag=True)
 
-    def close_element(self, tag: str, scopes: frozenset[str] = frozenset()) -> None:
+    def close_element(self, tag: str, scopes: frozenset[str] = frozenset(), by_tag: bool = False) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
+            name, number, *_ = self.stack[i]
             if name == tag:
+                if by_tag:
+                    self.ended.add(number)
                 for gone, *_ in self.stack[i:]:
                     self.in_link -= gone == "a"
                 del self.stack[i:]
@@ -120,20 +135,30 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
+            self.broken.update(self.stack[-1][3] if self.stack else ())
         if tag not in VOID:
             # an inline end tag does not close the blocks around it
-            self.close_element(tag, frozenset() if tag in BLOCKS else BLOCKS)
+            self.close_element(tag, frozenset() if tag in BLOCKS else SILENT_SCOPES if tag in SILENT else BLOCKS, by_tag=True)
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][3]:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.close_element("head")
+        silent = self.stack[-1][3] if self.stack else ()
+        if silent and not self.broken.issuperset(silent):
             return
-        self.parts.append(data)
-        if self.in_link > 0:
-            self.links += len(data)
+        self.parts.append((data, self.in_link > 0, silent))
 
     def finish(self) -> None:
         self.close()
         self.end_line()
+        before = 0  # tags of lines without text count for the next one
+        for parts, tags, path, marked, named in self.raw:
+            shown = [(t, link) for t, link, silent in parts if not any(n in self.ended for n in silent)]
+            text = WHITE.sub(" ", "".join(t for t, _ in shown)).strip()
+            before += tags
+            if text:
+                self.lines.append((text, sum(len(t) for t, link in shown if link), before, path, marked, named))
+                before = 0
 
 
 def smoothed(values: list[float], sigma: float) -> list[float]:
