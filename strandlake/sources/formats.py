@@ -3,7 +3,7 @@
 ``register(spark)`` adds the formats ``fasta``, ``fastq`` and ``sam``. Tables are read in planned splits of ``splitBytes``: a split begins
 at the format's first boundary behind its start and ends at the next split's, so no record is lost or met twice. Modes
 are those of the other readers (option ``mode``). Tests of equality, membership and prefix on a record's first column are
-done where records are parsed (``spark.sql.python.filterPushdown.enabled``); malformed records are met before them.
+done where records are parsed; malformed records are met before them.
 
 Streams read the files that appear in a folder. Which files make a batch is written down in the folder of the option
 ``log`` before Spark plans the batch, and an offset is a number of such lists: a query that is stopped anywhere and started
@@ -356,7 +356,8 @@ class Sam(_Source):
 
 
 def register(spark: SparkSession) -> None:
-    """Add the formats to a session."""
+    """Add the formats to a session, and let it push tests into formats of its kind, without which it refuses them."""
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (Fasta, Fastq, Sam):
         spark.dataSource.register(source)

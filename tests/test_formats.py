@@ -15,9 +15,7 @@ from tests.test_readers import FAULTS, SAM, records
 @pytest.fixture(scope="module")
 def formed(spark):
     formats.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    yield spark
-    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    return spark
 
 
 def rows(df):
