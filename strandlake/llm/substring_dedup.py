@@ -8,7 +8,8 @@ compressed blocks.
 
 In a shard, segments without any 12-gram that occurs twice are left out; over the others stands an FM-index whose backward
 search, by wavelet-matrix ranks, streams every segment through the index and keeps the matching statistics at the window's
-length. A window is repeated where its interval holds an earlier place. A shard holds about ``shard_bytes`` of the corpus,
+length. A window is repeated where its interval holds an earlier place. Hashes only choose what is compared: segments count as equal
+by their bytes, and the index's symbols are the words themselves. A shard holds about ``shard_bytes`` of the corpus,
 so the number of shards follows the input, and each document is streamed only through the shards of its own windows.
 
 Cases: null or empty texts have no words; a null doc_id comes after all others, the greatest one too; rows that repeat a doc_id with the same
@@ -89,6 +90,38 @@ def segments(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return start, np.minimum(size[row] - within * SEGMENT_WINDOWS, SEGMENT_WINDOWS), least[at[row]]
 
 
+def grouped(order: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of segments in an order that has equal keys together: whether each is the first of its text, and that first one.
+
+    A segment with the key of the one before it and other bytes is a first one by itself.
+    """
+    k = key[order]
+    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))] if len(k) else order
+    again = np.flatnonzero(~new)
+    i, h = order[again], first[again]
+    differs = size[i] != size[h]
+    some = np.flatnonzero(~differs)
+    n = size[i[some]].astype(np.int64)
+    if n.sum():
+        unlike = text[ragged(begin[i[some]], n)] != text[ragged(begin[h[some]], n)]
+        differs[np.repeat(some, n)[unlike]] = True
+    alone = again[differs]
+    new[alone] = True
+    first[alone] = order[alone]
+    return new, first
+
+
+def symbols(texts: pa.Array) -> np.ndarray:
+    """A number from 1 on for each word of the texts, the same for equal words only."""
+    parts = []
+    for part in chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        words = Words(part["text"], SPACED)
+        offsets = np.r_[0, np.cumsum(words.end - words.start)].astype(np.int64)
+        parts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(offsets), pa.py_buffer(words.raw[words.data != 0])]))
+    return pa.chunked_array(parts, pa.large_binary()).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
+
 class Sender:
     """Gathers a task's segments and turns them into blocks for the shards."""
 
@@ -117,12 +150,10 @@ class Sender:
         self.held, self.bytes = [], 0
         owner = owners(ids, tags)
         order = np.lexsort((start, owner, key))
-        k = key[order]
-        earliest = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-        first = order[np.maximum.accumulate(np.where(earliest, np.arange(len(k)), 0))] if len(k) else order
+        begin = np.cumsum(size.astype(np.int64)) - size
+        earliest, first = grouped(order, key, begin, size, text)
         same = (owner[order] == owner[first]) & (start[order] == start[first])
         send, drop = order[earliest | same & (tags[order] != tags[first])], order[~same]
-        begin = np.cumsum(size.astype(np.int64)) - size
         shard, lost = (least[send] % np.uint64(self.shards)).astype(np.int64), (ids[drop] % self.shards).astype(np.int64)
         send, shard = (x[np.argsort(shard, kind="stable")] for x in (send, shard))
         drop, lost = (x[np.argsort(lost, kind="stable")] for x in (drop, lost))
@@ -157,13 +188,11 @@ def shard_repeats(blocks: list[bytes], window: int) -> tuple[np.ndarray, ...]:
         key = spans_hash(hashes, first, first + length)
         owner = owners(ids, tags)
         order = np.lexsort((start, owner, key))
-        k = key[order]
-        new = np.r_[True, k[1:] != k[:-1]]
-        head = order[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+        new, head = grouped(order, key, offsets[:-1], size, text)
         later = (owner[order] != owner[head]) | (start[order] != start[head])
         d = order[later]
         out.append((ids[d], tags[d], start[d], ones(windows[d])))
-        twins = order[~new & ~later]  # one place, told apart by the text as a whole
+        twins, of_twins = order[~new & ~later], head[~new & ~later]  # one place, told apart by the text as a whole
         kept = np.sort(order[new])
         # only segments with a gram that stands twice can hold a repeated window
         places = ragged(first[kept], windows[kept].astype(np.int64))
@@ -175,19 +204,19 @@ def shard_repeats(blocks: list[bytes], window: int) -> tuple[np.ndarray, ...]:
         hit = (found < len(twice)) & (twice[np.minimum(found, len(twice) - 1)] == grams) if len(twice) else np.zeros(len(grams), bool)
         live = kept[np.unique(of[hit])]
         if len(live):
-            mask = repeated_windows(hashes, first[live], length[live], owner[live], start[live], windows[live], window)
+            flat = symbols(rows.take(pa.array(live)))
+            mask = repeated_windows(flat, length[live], owner[live], start[live], windows[live], window)
             some = mask != 0
             out.append((ids[live][some], tags[live][some], start[live][some], mask[some]))
             if len(twins):
-                by_key = dict(zip(key[live].tolist(), mask.tolist(), strict=True))
-                m = np.array([by_key.get(x, 0) for x in key[twins].tolist()], np.int64)
-                out.append((ids[twins], tags[twins], start[twins], m))
+                found = np.zeros(len(size), np.int64)
+                found[live] = mask
+                out.append((ids[twins], tags[twins], start[twins], found[of_twins]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def repeated_windows(hashes: np.ndarray, first: np.ndarray, length: np.ndarray, owner: np.ndarray, start: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
-    """For each segment the mask of its windows that start earlier too, by the index's intervals."""
-    flat = np.unique(hashes[ragged(first, length)], return_inverse=True)[1] + 1
+def repeated_windows(flat: np.ndarray, length: np.ndarray, owner: np.ndarray, start: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
+    """For each segment the mask of its windows that start earlier too, by the index's intervals. flat: the segments' symbols."""
     at = np.cumsum(length + 1) - (length + 1)
     symbols = np.zeros(int((length + 1).sum()), np.int64)
     symbols[ragged(at, length)] = flat
