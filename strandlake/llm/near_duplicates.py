@@ -15,8 +15,9 @@ The steps, none of which meets a whole group of copies in one task or emits a gr
    shingles are ordered from rare to frequent; a pair of the linked similarity shares one of the first shingles of both (of
    the longer set the first ``n - ceil(t n) + 1``, of the shorter ``n - ceil(2 t n / (1 + t)) + 1``), at places that leave
    room for the overlap. So texts that are alike but not linked, such as filled-in forms, do not meet: what they share is
-   frequent and comes last. Candidates of different components are confirmed on the full sets. The order needs no exact
-   counts: shingles are counted in ``LEVEL_BUCKETS`` buckets, a table of that size for every input.
+   frequent and comes last. Candidates of different components are confirmed on the full sets. While there are at most
+   ``BUCKET_LOAD`` shingles for each of ``LEVEL_BUCKETS`` buckets of hashes, the buckets' counts give the order: shingles that are more
+   frequent than a bucket's load still stand out. Beyond, each shingle's exact count is joined to it; both find every pair.
 A pair at the linked similarity exceeds the sketch distance with a probability under 1e-7. At similarity 0.85 the distance
 is 9.6 of 128 bits on average with a deviation of 3, and pairs up to 28 go on; at 0.8 the average is 12.8 and the bound 33.
 
@@ -32,7 +33,7 @@ from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm._spark import stored
@@ -44,6 +45,8 @@ SKETCH_BITS = 128
 #: Shingles are counted in so many buckets, by the first bits of their hashes.
 LEVEL_BUCKETS = 1 << 18
 LEVEL_SHIFT = 46
+#: Beyond so many shingles a bucket, and for shingles that occur so often at least, counts are exact.
+BUCKET_LOAD, OFTEN = 64, 16
 #: Pairs of one document that meet its set in one task.
 PAIRS_A_TASK = 200
 #: A pair at the linked similarity shares no band, or is beyond a sketch's distance, with a probability under these.
@@ -186,6 +189,29 @@ def first_shingles(texts: DataFrame, level: np.ndarray, shingle: int, percent: i
     return over_texts(texts, {c: c for c in ("doc_id", "text", "component")}, "id bigint, component bigint, n bigint, token bigint, pos bigint, short boolean", work)
 
 
+def first_shingles_exact(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """As ``first_shingles``, ordered by exact counts: only shingles that occur ``OFTEN`` are joined to all, others count as one kind."""
+
+    def work():
+        def f(batch: pa.RecordBatch) -> dict:
+            sets = [x.view(np.int64) for x in shingle_sets(Words(batch["text"], SPACED_LOWER), shingle)]
+            digests = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in sets]
+            return {"id": batch["doc_id"], "component": batch["component"], "digest": digests, "n": [len(x) for x in sets], "tokens": sets}
+
+        return f
+
+    sets = over_texts(texts, {c: c for c in ("doc_id", "text", "component")}, "id bigint, component bigint, digest bigint, n bigint, tokens array<bigint>", work)
+    rows = sets.select("id", "component", "digest", "n", F.explode("tokens").alias("token"))
+    often = rows.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN)
+    ranked = rows.join(often, "token", "left").withColumn("k", F.coalesce("k", F.lit(0).cast("bigint")))
+    # rows that repeat an id and text have equal places
+    order = Window.partitionBy("id", "component", "digest").orderBy("k", "token")
+    n, pos = F.col("n"), F.col("pos")
+    placed = ranked.withColumn("pos", F.dense_rank().over(order).cast("bigint") - 1)
+    placed = placed.where(pos <= n - F.expr(f"(n * {percent} + 99) div 100"))
+    return placed.select("id", "component", "n", "token", "pos", (pos <= n - F.expr(f"(2 * n * {percent} + {99 + percent}) div {100 + percent}")).alias("short"))
+
+
 def across(rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of ids of different components among ``first_shingles`` that may have the similarity.
 
@@ -234,7 +260,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, doc_id: str, text: str, sh
     return both.where((common * 100) >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
 
 
-def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, bands: int | None = None, rows: int | None = None, sketch_distance: int | None = None) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, bands: int | None = None, rows: int | None = None, sketch_distance: int | None = None, bucket_load: float = BUCKET_LOAD) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the least doc_id linked with it) and kept (it is that one).
 
     percent: documents are linked from this Jaccard similarity on, in hundredths; bands, rows and sketch distances that are
@@ -266,7 +292,13 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     rest = stored(labelled.join(mixed_keys, "key", "left_semi").select(F.col("id").alias("doc_id"), "component").distinct())
     small = rest.count() <= BROADCAST_IDS
     texts = documents.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text")).join(F.broadcast(rest) if small else rest, "doc_id")
-    cross = stored(across(first_shingles(texts, levels(texts, shingle), shingle, percent), percent).join(stars, ["a", "b"], "left_anti"))
+    ids = rest.select("doc_id").distinct()
+    met = signed.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    if met <= bucket_load * LEVEL_BUCKETS:
+        firsts = first_shingles(texts, levels(texts, shingle), shingle, percent)
+    else:
+        firsts = first_shingles_exact(texts, shingle, percent)
+    cross = stored(across(firsts, percent).join(stars, ["a", "b"], "left_anti"))
     more = stored(confirmed(cross, documents, doc_id, text, shingle, percent))
     if not more.isEmpty():
         found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
