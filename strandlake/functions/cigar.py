@@ -1,15 +1,10 @@
-"""CIGAR strings as native expressions (but for ``aligned_pair``). A ciglet is a struct (inc, op)."""
+"""CIGAR strings as native expressions. A ciglet is a struct (inc, op)."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandlake.shipping import ship
-
 OPS = "MIDNSHP=X"
 REF_OPS, QUERY_OPS = ("M", "D", "N", "=", "X"), ("M", "I", "S", "=", "X")
 LARGEST = "18446744073709551615"
@@ -105,37 +100,51 @@ def without_clipping(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, r"^(?:[0-9]+[HS])+", ""), r"(?:[0-9]+[HS])+\z", "")
 
 
-def paired(ref: str, query: str, cigar: str, start: int) -> tuple[str, str]:
-    """Both sequences with gaps, by one pass over the operations."""
-    r, q, a, b = start, 0, [], []
-    for n, op in re.findall(rf"([0-9]+)([{OPS}])", cigar):
-        n = int(n)
-        in_ref, in_query = op in "M=XDN", op in "M=XI"
-        if in_ref:
-            a.append(ref[r : r + n])
-        elif op == "I":
-            a.append("-" * n)
-        if in_query:
-            b.append(query[q : q + n])
-        elif op in "DN":
-            b.append(("-" if op == "D" else "N") * n)
-        r, q = r + n * in_ref, q + n * (in_query or op == "S")
-    return "".join(a), "".join(b)
+def prefix_sums(numbers: Column) -> Column:
+    """The sums of all numbers before each one and of them all, by doubling strides: n log n steps for n numbers (up to 2^24)."""
+    zero = F.lit(0).cast("bigint")
+
+    def doubled(stride: int):
+        # a stride beyond the array's end leaves it as it is
+        return lambda x: F.when(F.size(x) > stride, F.transform(x, lambda v, i: v + F.coalesce(F.get(x, i - stride), zero))).otherwise(x)
+
+    out = F.concat(F.array(zero), numbers)
+    for j in range(24):  # each step's array is bound once, by a lambda over the one element that it is
+        out = F.get(F.transform(F.array(out), doubled(1 << j)), F.lit(0))
+    return out
+
+
+def cursors(cigar: Column, ref_start: Column) -> Column:
+    """Each operation with the places where it begins, as (inc, op, ref, query)."""
+    steps = F.array(ciglets(cigar))
+
+    def placed(ops: Column) -> Column:
+        used = lambda which: prefix_sums(F.transform(ops, lambda c: F.when(c["op"].isin(*which), c["inc"]).otherwise(F.lit(0).cast("bigint"))))
+        sums = F.array(F.struct(used(REF_OPS).alias("r"), used(QUERY_OPS).alias("q")))
+        return F.get(F.transform(sums, lambda s: F.transform(ops, lambda c, i: F.struct(c["inc"].alias("inc"), c["op"].alias("op"), (ref_start + F.get(s["r"], i)).alias("ref"), F.get(s["q"], i).alias("query")))), F.lit(0))
+
+    return F.get(F.transform(steps, placed), F.lit(0))
 
 
 def aligned_pair(ref: Column, query: Column, cigar: Column, ref_start: Column) -> Column:
     """(ref, query) with gaps: ``-`` in the query for D, in the reference for I, N for N; S skips the query; H and P nothing.
 
-    Arrow-batched: native substrings count from a sequence's start at every operation.
+    One pass over the operations and their cursors. Sequences are cut into letters, as substrings would be counted from their start
+    at every operation.
     """
-    ship()
-
-    @F.pandas_udf("ref string, query string")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series, s: pd.Series) -> pd.DataFrame:
-        rows = [paired(w, x, y, int(z)) if isinstance(w, str) and isinstance(x, str) and isinstance(y, str) and not pd.isna(z) else (None, None) for w, x, y, z in zip(a, b, c, s, strict=True)]
-        return pd.DataFrame(rows, columns=["ref", "query"], dtype=object)
-
-    return run(ref, query, cigar, ref_start)
+    letters = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
+    cut = lambda x, at, n: F.array_join(F.slice(x, (at + 1).cast("int"), n.cast("int")), "")
+    filled = lambda c, n: F.repeat(F.lit(c), n.cast("int"))
+    parts = F.array(F.struct(letters(ref).alias("r"), letters(query).alias("q"), cursors(cigar, ref_start.cast("bigint")).alias("c")))
+
+    def rows(p: Column) -> Column:
+        of_ref = F.transform(p["c"], lambda c: F.when(c["op"].isin(*REF_OPS), cut(p["r"], c["ref"], c["inc"])).when(c["op"] == "I", filled("-", c["inc"])).otherwise(""))
+        of_query = F.transform(p["c"], lambda c: F.when(c["op"].isin("M", "I", "=", "X"), cut(p["q"], c["query"], c["inc"])).when(c["op"] == "D", filled("-", c["inc"])).when(c["op"] == "N", filled("N", c["inc"])).otherwise(""))
+        return F.struct(F.array_join(of_ref, "").alias("ref"), F.array_join(of_query, "").alias("query"))
+
+    whole = ref.isNotNull() & query.isNotNull() & cigar.isNotNull() & ref_start.isNotNull()
+    none = F.lit(None).cast("string")
+    return F.when(whole, F.get(F.transform(parts, rows), F.lit(0))).otherwise(F.struct(none.alias("ref"), none.alias("query")))
 
 
 def inverted(cigar: Column) -> Column:

@@ -40,13 +40,15 @@ def kmers(df: DataFrame, seq: str, k: int, *, bits: int = 3, keep: tuple[str, ..
     Sequences are cut into pieces of ``PIECE`` bases, each with the first k - 1 of the next, so that a window is cut from a
     short string: the cost is proportional to the length, and no array holds more than a piece's windows.
     """
-    base = df.select(*keep, normal(F.col(seq), bits).alias("_n")).where(F.length("_n") >= check_length(k, bits))
-    cut = F.regexp_extract_all("_n", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    base = base.select(*keep, cut.alias("_cut"))
-    whole = F.transform("_cut", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("_cut", i + 1), 1, k - 1), F.lit(""))))
-    pieces = base.select(*keep, F.posexplode(whole).alias("_at", "_n")).where(F.length("_n") >= k)
-    at = pieces.select(*keep, "_at", "_n", F.explode(F.sequence(F.lit(0), F.length("_n") - k)).alias("_pos"))
-    return at.select(*keep, (F.col("_at") * PIECE + F.col("_pos")).alias("pos"), F.substr("_n", F.col("_pos") + 1, F.lit(k)).alias("kmer"))
+    taken = {c.lower() for c in keep}
+    n, cut_, at_, pos = (next(x for x in (base + "_" * i for i in range(len(taken) + 1)) if x not in taken) for base in ("_n", "_cut", "_at", "_pos"))
+    base = df.select(*keep, normal(F.col(seq), bits).alias(n)).where(F.length(n) >= check_length(k, bits))
+    cut = F.regexp_extract_all(n, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    base = base.select(*keep, cut.alias(cut_))
+    whole = F.transform(cut_, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(cut_, i + 1), 1, k - 1), F.lit(""))))
+    pieces = base.select(*keep, F.posexplode(whole).alias(at_, n)).where(F.length(n) >= k)
+    at = pieces.select(*keep, at_, n, F.explode(F.sequence(F.lit(0), F.length(n) - k)).alias(pos))
+    return at.select(*keep, (F.col(at_) * PIECE + F.col(pos)).alias("pos"), F.substr(n, F.col(pos) + 1, F.lit(k)).alias("kmer"))
 
 
 def kmer_set(df: DataFrame, seq: str, k: int, *, bits: int = 3, mismatches: int = 0) -> DataFrame:

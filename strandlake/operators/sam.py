@@ -55,12 +55,17 @@ def to_alignment(flag: Column, pos: Column, cigar: Column, seq: Column, score: C
     return F.struct(F.when(gone, "Unmapped").otherwise("Some").alias("status"), of(score).alias("score"), of(pos - 1).alias("ref_start"), of(pos - 1 + cg.ref_len(cigar)).alias("ref_end"), of(lead).alias("query_start"), of(n - trail).alias("query_end"), of(cigar).alias("cigar"), of(ref_len).alias("ref_len"), of(n).alias("query_len"))
 
 
-def coordinate_sort(records: DataFrame, references: DataFrame) -> DataFrame:
-    """Records by reference, position and name. references: (rname, idx), the order of the header's sequences.
+def coordinate_sort(records: DataFrame, references: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """Records by reference, position and name; equal ones stay in the order of the input.
 
-    Known references come in the header's order; unknown ones are one class after them; ``*`` is last. The table of
-    references is small by nature (a header) and is joined; Spark broadcasts it below its threshold.
+    references: (rname, idx), the order of the header's sequences. Known references come in the header's order; unknown ones
+    are one class after them; ``*`` is last. The table of references is small by nature (a header) and is joined; Spark
+    broadcasts it below its threshold. ordinal: a column that orders the input (``read_sam`` makes one of files); without
+    it the order is that of the frame's partitions and of the rows in them.
     """
-    joined = records.join(references.select("rname", F.col("idx").alias("_idx")), "rname", "left")
-    kind = F.when(F.col("rname") == "*", 2).when(F.col("_idx").isNull(), 1).otherwise(0)
-    return joined.orderBy(kind, F.coalesce("_idx", F.lit(0)), "pos", "qname").select(*records.columns)
+    taken = {c.lower() for c in records.columns}
+    idx, place, name = (next(n for n in (base + "_" * i for i in range(len(taken) + 1)) if n not in taken) for base in ("idx", "place", "reference"))
+    order = F.col(ordinal) if ordinal else F.monotonically_increasing_id()
+    joined = records.withColumn(place, order).join(references.select(F.col("rname").alias(name), F.col("idx").alias(idx)), F.col("rname") == F.col(name), "left")
+    kind = F.when(F.col("rname") == "*", 2).when(F.col(idx).isNull(), 1).otherwise(0)
+    return joined.orderBy(kind, F.coalesce(idx, F.lit(0)), "pos", "qname", place).select(*records.columns)

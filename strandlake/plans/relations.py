@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlake.operators import kmers as km
+from strandlake.operators import mismatches as mm
 from strandlake.operators import seeding as sd
-from strandlake.plans.queries import DNA, QUAL, T, dna, quality, query, table
+from strandlake.operators import sites as si
+from strandlake.operators import superkmers as sk
+from strandlake.plans.queries import DNA, QUAL, SEQ, T, dna, iupac, quality, query, table
 from strandlake.sources import fasta, fastq, formats, sam
 from strandlake.sources.modes import separated
 from strandlake.sources.scratch import scratch
@@ -119,3 +123,34 @@ def fastq_format(spark, sf_dir):
     rows.write.format("fastq").mode("append").save(path)
     read = spark.read.format("fastq").option("splitBytes", 1 << 20).load(path)
     return read.where(F.startswith("header", F.lit("doc"))).select("header", F.md5("sequence").alias("sequence"), F.md5("quality").alias("quality"))
+
+
+# Packed k-mers, searches with mismatches, sites by key ------------------------------------------------------------------------------
+
+
+@query(f"select kmer, count(*) as count from (select unnest([replace(substring(s, i, 31), 'N', 'A') for i in range(1, length(s) - 29)]) as kmer from (select {DNA} as s from documents) where length(s) >= 31) group by kmer")
+def kmer_counts_packed(spark, sf_dir):
+    """All 31-mers of documents with their counts, from super-k-mers."""
+    return sk.kmer_counts(table(spark, sf_dir, "documents").select(dna(T).alias("s")), "s", 31)
+
+
+@query(
+    f"with q as (select distinct unnest([substring(s, i, 18) for i in range(1, length(s) - 16)]) as a from (select {DNA} as s from benchmark) where length(s) >= 18), "
+    "r as (select distinct substring(a, 1, 5) || case when a[6] = 'A' then 'C' else 'A' end || substring(a, 7, 6) || case when a[13] = 'T' then 'G' else 'T' end || substring(a, 14) as b from q) "
+    "select a, b, cast(hamming(a, b) as integer) as mismatches from q, r where hamming(a, b) <= 3"
+)
+def kmer_near_matches(spark, sf_dir):
+    """The 18-mers of benchmark items against themselves with two letters changed: all pairs within three mismatches."""
+    q = km.kmers(table(spark, sf_dir, "benchmark").select(dna(T).alias("s")), "s", 18).select("kmer").distinct()
+    part = lambda a, n=18: F.substring("kmer", a, n)
+    changed = F.concat(part(1, 5), F.when(part(6, 1) == "A", "C").otherwise("A"), part(7, 6), F.when(part(13, 1) == "T", "G").otherwise("T"), part(14))
+    return mm.near(q, q.select(changed.alias("kmer")), 18, 3)
+
+
+@query(
+    "select lang, pos, " + ", ".join(f"count(*) filter (where c in ({', '.join(repr(x) for x in letters)})) as \"{name}\"" for name, letters in {"a": "Aa", "c": "Cc", "g": "Gg", "t": "TtUu", "n": "Nn", "gap": "-", "other": "RYSWKMBDHVryswkmbdhv."}.items())
+    + f", count(*) filter (where c in (':', '~')) as invalid from (select lang, unnest(range(0, length(s))) as pos, unnest(string_split(s, '')) as c from (select lang, {SEQ} as s from documents) where s <> '') group by lang, pos"
+)
+def site_counts_by_key(spark, sf_dir):
+    """The eight counts of each site of the documents of each language, merged in blocks."""
+    return si.site_counts(table(spark, sf_dir, "documents").select("lang", iupac(T).alias("s")), "s", "lang")

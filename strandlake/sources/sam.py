@@ -9,7 +9,7 @@ from strandlake.operators.sam import FIELDS, HEADER
 from strandlake.sources.modes import judged, known
 
 
-def records_of(lines: DataFrame, value: str = "value", mode: str = "FAILFAST", optional: bool = True) -> DataFrame:
+def records_of(lines: DataFrame, value: str = "value", mode: str = "FAILFAST", optional: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Alignment rows of a frame of lines (batch or streaming). Mate columns are not kept: rnext is ``*``, pnext and tlen 0.
 
     mode: FAILFAST raises on a malformed row, DROPMALFORMED leaves it out, PERMISSIVE keeps what of it can be read with the fault in ``_corrupt_record``.
@@ -17,7 +17,7 @@ def records_of(lines: DataFrame, value: str = "value", mode: str = "FAILFAST", o
     known(mode)
     data = lines.where(~F.startswith(value, F.lit("@")) & (F.col(value) != ""))
     p = F.split(F.regexp_replace(value, r"\r\z", ""), "\t", -1)
-    raw = data.select(p.alias("p"))
+    raw = data.select(p.alias("p"), *keep)
     c = F.col("p")
     bare = lambda x: F.when(x == "*", "").otherwise(x)
     at = lambda i: F.get(c, F.lit(i))
@@ -32,11 +32,19 @@ def records_of(lines: DataFrame, value: str = "value", mode: str = "FAILFAST", o
     columns = [at(0).alias("qname"), at(1).try_cast("int").alias("flag"), at(2).alias("rname"), at(3).try_cast("bigint").alias("pos"), at(4).try_cast("smallint").alias("mapq"), bare(F.trim(at(5))).alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).cast("bigint").alias("pnext"), F.lit(0).alias("tlen"), at(9).alias("seq"), bare(at(10)).alias("qual")]
     if optional:
         columns.append(F.slice(c, F.lit(12), F.greatest(F.size(c) - 11, F.lit(0))).alias("opt_fields"))
-    return judged(raw, fault, columns, mode, "SAM row")
+    return judged(raw, fault, [*columns, *map(F.col, keep)], mode, "SAM row")
 
 
-def read_sam(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", optional: bool = True) -> DataFrame:
-    return records_of(spark.read.text(path), mode=mode, optional=optional)
+def read_sam(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", optional: bool = True, ordinal: str | None = None) -> DataFrame:
+    """The rows of files. ordinal: a further column of this name that orders rows by file and by their place in it.
+
+    It holds the file, the start of the part of the file that a task has read, and the row's number in the task.
+    """
+    lines = spark.read.text(path)
+    if ordinal is None:
+        return records_of(lines, mode=mode, optional=optional)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return records_of(lines.select("value", place.alias(ordinal)), mode=mode, optional=optional, keep=(ordinal,))
 
 
 def read_sam_header(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from strandlake.sources.fasta import fasta_line, read_fasta
 from strandlake.sources.fastq import entries, fault, parse
 from strandlake.sources.sam import records_of, sam_line
 from tests import strategies as own
+from tests.test_sites import paired
 
 quick = settings(max_examples=60, deadline=None)
 
@@ -39,7 +40,7 @@ def test_a_fault_loses_no_other_record(records, data):
 @given(own.aligned())
 def test_paths(case):
     ref, query, cigar = case
-    a, b = cg.paired(ref, query, cigar, 0)
+    a, b = paired(ref, query, cigar, 0)
     assert len(a) == len(b) and a.replace("-", "") == ref and b.replace("-", "") == query
     plain = al.verbose(ref, query, cigar, 0)
     assert sum(n for n, op in al.ciglets(plain) if op in "=X") == sum(n for n, op in al.ciglets(cigar) if op == "M")
