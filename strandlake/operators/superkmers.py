@@ -4,7 +4,7 @@ Neighbouring k-mers mostly have the same minimizer, the m-mer in them that an or
 piece of text (a super-k-mer) to where its minimizer's k-mers are counted: k - 1 bases once and one more for each k-mer, in place of a row of k
 bases for each. All occurrences of a k-mer have one minimizer and meet there. Equal super-k-mers are counted before they travel.
 
-K-mers are rolling two-bit codes in longs (A, C, G, T; others become A), shifted in base by base, and become text only
+There k-mers are two-bit codes in longs (A, C, G, T; others become A), and become text only
 after they are counted. Minimizers with more than ``HOT_BASES`` go the other way: their k-mers are dealt by their own codes, so no task holds
 all of a frequent minimizer's.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.kmers import MAX_TWO_BIT, decode, normal
+from strandlake.operators.kmers import MAX_TWO_BIT, decode, encode, normal
 
 PACKED = 32
 #: Windows of the pieces that sequences are cut into.
@@ -25,20 +25,18 @@ HOT_BASES = 64_000_000
 BROADCAST_BINS = 1_000_000
 
 
-def rolling_codes(seq: Column, k: int) -> Column:
-    """The two-bit codes of all k-mers of a short sequence over ACGT, each made of the one before it by a shift and a letter."""
-    if not 2 <= k <= PACKED:
-        raise ValueError(f"k-mer length {k} has no packed number; up to {PACKED} bases fit")
-    mask = F.lit((1 << 2 * k) - 1 if k < PACKED else -1).cast("bigint")
-    letters = F.transform(F.split(F.translate(seq, "ACGT", "0123"), ""), lambda c: c.cast("bigint"))
-    start = F.struct(F.lit(0).cast("bigint").alias("code"), F.array().cast("array<bigint>").alias("out"))
+def least_of(values: Column, width: int) -> Column:
+    """The least of each ``width`` neighbouring values, by doubling: each step takes the least of two windows that cover the next."""
 
-    def step(state: Column, letter: Column) -> Column:
-        code = F.shiftleft(state["code"], 2).bitwiseOR(letter).bitwiseAND(mask)
-        return F.struct(code.alias("code"), F.array_append(state["out"], code).alias("out"))
+    def step(stride: int):
+        return lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - stride), lambda v, i: F.least(v, F.get(x, i + stride)))
 
-    every = F.aggregate(letters, start, step)["out"]
-    return F.when(F.length(seq) >= k, F.slice(every, F.lit(k), F.greatest(F.size(every) - (k - 1), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    have = 1
+    while have < width:
+        stride = min(have, width - have)
+        values = F.get(F.transform(F.array(values), step(stride)), F.lit(0))  # the array is bound once
+        have += stride
+    return values
 
 
 def super_kmers(df: DataFrame, seq: str, k: int, m: int = 9) -> DataFrame:
@@ -53,8 +51,7 @@ def super_kmers(df: DataFrame, seq: str, k: int, m: int = 9) -> DataFrame:
     at = base.select("s", F.explode(pieces).alias("p")).select(F.substr("s", F.col("p") * PIECE + 1, F.lit(PIECE + k - 1)).alias("s"))
     ranks = F.transform(F.sequence(F.lit(1), F.length("s") - m + 1), lambda i: F.xxhash64(F.substr("s", i, F.lit(m))))
     ranked = at.select("s", ranks.alias("ranks"))
-    firsts = F.transform(F.sequence(F.lit(1), F.size("ranks") - (k - m)), lambda i: F.array_min(F.slice("ranks", i, k - m + 1)))
-    runs = ranked.select("s", firsts.alias("first"))
+    runs = ranked.select("s", least_of(F.col("ranks"), k - m + 1).alias("first"))
     begins = F.filter(F.sequence(F.lit(1), F.size("first")), lambda i: (i == 1) | (F.get("first", i - 1) != F.get("first", i - 2)))
     cut = runs.select("s", "first", begins.alias("begins"))
     each = F.transform("begins", lambda b, j: F.struct(F.get("first", b - 1).alias("minimizer"), F.substr("s", b, F.coalesce(F.get("begins", j + 1), F.size("first") + 1) - b + (k - 1)).alias("bases")))
@@ -63,17 +60,25 @@ def super_kmers(df: DataFrame, seq: str, k: int, m: int = 9) -> DataFrame:
 
 def counts(df: DataFrame, seq: str, k: int, m: int = 9, hot_bases: int = HOT_BASES) -> DataFrame:
     """(code, count) of all k-mers of up to 32 bases."""
+    if k > PACKED:
+        raise ValueError(f"k-mer length {k} has no packed number; up to {PACKED} bases fit")
     runs = super_kmers(df, seq, k, m).groupBy("minimizer", "bases").agg(F.count("*").alias("times"))
     sizes = runs.groupBy("minimizer").agg(F.sum(F.length("bases")).alias("n")).where(F.col("n") > hot_bases).select("minimizer")
     sizes = sizes.persist()
     n = sizes.count()
-    codes = lambda x: x.select(*[c for c in x.columns if c not in ("bases", "times")], F.explode(rolling_codes(F.col("bases"), k)).alias("code"), "times")
+    # a given number is kept: fewer tasks would suit the super-k-mers' bytes, but not the k-mers that come of them
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def codes(x: DataFrame) -> DataFrame:
+        at = x.select("minimizer", "bases", "times", F.explode(F.sequence(F.lit(1), F.length("bases") - (k - 1))).alias("at"))
+        return at.select("minimizer", encode(F.substr("bases", F.col("at"), F.lit(k)), 2).alias("code"), "times")
+
     if not n:
         sizes.unpersist()
-        met = codes(runs.repartition("minimizer")).groupBy("minimizer", "code")  # dealt by minimizer already: no further shuffle
+        met = codes(runs.repartition(tasks, "minimizer")).groupBy("minimizer", "code")  # dealt by minimizer already: no further shuffle
         return met.agg(F.sum("times").alias("count")).select("code", "count")
     hot = F.broadcast(sizes) if n <= BROADCAST_BINS else sizes
-    cold = codes(runs.join(hot, "minimizer", "left_anti").repartition("minimizer")).groupBy("minimizer", "code").agg(F.sum("times").alias("count")).select("code", "count")
+    cold = codes(runs.join(hot, "minimizer", "left_anti").repartition(tasks, "minimizer")).groupBy("minimizer", "code").agg(F.sum("times").alias("count")).select("code", "count")
     return cold.unionByName(codes(runs.join(hot, "minimizer", "left_semi")).groupBy("code").agg(F.sum("times").alias("count")))
 
 

@@ -37,14 +37,14 @@ def test_counts_of_super_kmers(spark, k, m):
         assert dict(tuple(r) for r in sk.kmer_counts(df, "s", k, m, hot).collect()) == expected
 
 
-def test_rolling_codes(spark):
+def test_least_of_neighbours(spark):
     rnd = random.Random(2)
-    df = spark.createDataFrame([(bases(rnd, n),) for n in (0, 1, 5, 31, 32, 33, 90)], "s string")
-    for k in (2, 5, 31, 32):
-        for r in df.select("s", sk.rolling_codes(F.col("s"), k).alias("c"), F.transform(km.windows(F.col("s"), k, 2), lambda x: km.encode(x, 2)).alias("e")).collect():
-            assert r["c"] == r["e"]
+    rows = [([rnd.randint(0, 99) for _ in range(n)],) for n in (23, 24, 60)]
+    for width in (1, 2, 3, 8, 23):
+        for r in spark.createDataFrame(rows, "x array<bigint>").select("x", sk.least_of(F.col("x"), width).alias("y")).collect():
+            assert r["y"] == [min(r["x"][i : i + width]) for i in range(len(r["x"]) - width + 1)]
     with pytest.raises(ValueError):
-        sk.rolling_codes(F.col("s"), 33)
+        sk.counts(spark.createDataFrame([("A",)], "s string"), "s", 33)
 
 
 def test_shuffled_bytes(spark, tmp_path):
