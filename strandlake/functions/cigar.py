@@ -38,8 +38,7 @@ def error(col: Column) -> Column:
 
 def ciglets(col: Column) -> Column:
     """All (inc, op) up to the first malformed place."""
-    head = F.regexp_extract(col, rf"^(?:[0-9]+[{OPS}])*", 0)
-    parts = F.regexp_extract_all(head, F.lit(rf"[0-9]+[{OPS}]"), F.lit(0))
+    parts = F.regexp_extract_all(col, F.lit(rf"\G[0-9]+[{OPS}]"), F.lit(0))  # each where the one before it ends; a repeated group would need a stack
     return F.transform(parts, lambda p: F.struct(F.substring(p, F.lit(1), F.length(p) - 1).try_cast("bigint").alias("inc"), F.substring(p, F.length(p), F.lit(1)).alias("op")))
 
 
@@ -133,7 +132,8 @@ def aligned_pair(ref: Column, query: Column, cigar: Column, ref_start: Column) -
     at every operation.
     """
     letters = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
-    cut = lambda x, at, n: F.array_join(F.slice(x, (at + 1).cast("int"), n.cast("int")), "")
+    # letter by letter: a slice would copy the whole array for each operation
+    cut = lambda x, at, n: F.when(n > 0, F.array_join(F.transform(F.sequence(at, at + n - 1), lambda i: F.get(x, i.cast("int"))), "")).otherwise("")
     filled = lambda c, n: F.repeat(F.lit(c), n.cast("int"))
     parts = F.array(F.struct(letters(ref).alias("r"), letters(query).alias("q"), cursors(cigar, ref_start.cast("bigint")).alias("c")))
 
