@@ -487,5 +487,5 @@ def test_pipeline(spark, tmp_path):
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
-    assert {q.split("_")[0] for q in entry.queries() if q.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in entry.queries() if q.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in entry.queries()
