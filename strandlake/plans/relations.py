@@ -9,6 +9,7 @@ from strandlake.operators import mismatches as mm
 from strandlake.operators import seeding as sd
 from strandlake.operators import sites as si
 from strandlake.operators import superkmers as sk
+from strandlake.operators import tags as tg
 from strandlake.plans.queries import DNA, QUAL, SEQ, T, dna, iupac, quality, query, table
 from strandlake.sources import fasta, fastq, formats, sam
 from strandlake.sources.modes import separated
@@ -154,3 +155,46 @@ def kmer_near_matches(spark, sf_dir):
 def site_counts_by_key(spark, sf_dir):
     """The eight counts of each site of the documents of each language, merged in blocks."""
     return si.site_counts(table(spark, sf_dir, "documents").select("lang", iupac(T).alias("s")), "s", "lang")
+
+
+# Optional SAM fields --------------------------------------------------------------------------------------------------------------
+
+_ITEM = "select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int) as q, l_returnflag from lineitem"
+
+
+def _tagged(spark, sf_dir):
+    """Line items with optional fields of every type; by line number some have a malformed field, before or after the others."""
+    line = F.col("l_linenumber")
+    q = F.col("l_quantity").cast("int")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.alias("q"), "l_returnflag")
+    fields = F.when(line == 2, F.array(F.lit("bad"))).when(line == 3, F.array(F.lit("XQ:f:1.5d"))).when(line == 4, F.array(F.concat(F.lit("AS:i:"), F.col("l_partkey").cast("string"), F.lit(".0"))))
+    fields = F.coalesce(fields, F.array().cast("array<string>"))
+    shown = [("AS", tg.show_integer(-F.col("l_partkey"))), ("XA", tg.show_char(F.col("l_returnflag"))), ("XF", tg.show_real(F.col("q") / 4)), ("XZ", tg.show_string(F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")))), ("XH", tg.show_hexadecimal(F.lower(F.hex(F.encode("l_returnflag", "utf-8"))))), ("XB", tg.show_items(F.array(F.col("q"), F.col("l_linenumber")), "c")), ("XI", tg.show_items(F.array(F.col("l_partkey").cast("bigint") + 4000000000), "I"))]
+    for tag, text in shown:
+        fields = tg.push(fields, tag, text)
+    fields = F.when(line == 5, F.array_append(fields, F.lit("bad"))).when(line == 6, F.array_append(fields, F.lit("AS:i:1"))).otherwise(fields)
+    return rows.select("l_orderkey", "l_linenumber", fields.alias("opt_fields"))
+
+
+@query(
+    "select l_orderkey, l_linenumber, case l_linenumber when 2 then 'no colon' when 4 then 'malformed' end as fault, case when l_linenumber not in (2, 4) then -l_partkey end as score, "
+    + ", ".join(f"case when l_linenumber <> 2 then {e} end as {n}" for n, e in {"one": "l_returnflag", "f": "q / 4.0::double", "text": "'s:' || cast(l_suppkey as varchar)", "hex": "case l_returnflag when 'A' then '41' when 'N' then '4E' when 'R' then '52' end", "items": "cast(q as varchar) || ';' || cast(l_linenumber as varchar)", "big": "l_partkey + 4000000000"}.items())
+    + f", case when l_linenumber in (2, 5) then true else false end as missing_raises from ({_ITEM})"
+)
+def sam_typed_fields(spark, sf_dir):
+    """Optional fields of every type pushed, parsed once and looked up, with what a lookup of two tags would raise."""
+    v = F.col("v")
+    rows = _tagged(spark, sf_dir).select("l_orderkey", "l_linenumber", tg.parsed(F.col("opt_fields")).alias("v"))
+    numbers = F.array_join(F.transform(tg.items(v, "XB", strict=False), lambda x: x.cast("string")), ";")
+    return rows.select("l_orderkey", "l_linenumber", _kinds(tg.fault(v, "AS"), {"malformed": "malformed", "without a colon": "no colon"}).alias("fault"), tg.integer(v, "AS", False).alias("score"), tg.char(v, "XA", False).alias("one"), tg.real(v, "XF", False).cast("double").alias("f"), tg.string(v, "XZ", False).alias("text"), tg.hexadecimal(v, "XH", False).alias("hex"), numbers.alias("items"), F.get(tg.items(v, "XI", strict=False), F.lit(0)).alias("big"), tg.fault(v, "QQ").isNotNull().alias("missing_raises"))
+
+
+@query(
+    f"with r as ({_ITEM}), good as (select l_linenumber, t.tag, t.type, cast(null as varchar) as fault, t.place + case when l_linenumber in (2, 3, 4) then 1 else 0 end as place from r, (values (0, 'AS', 'i'), (1, 'XA', 'A'), (2, 'XF', 'f'), (3, 'XZ', 'Z'), (4, 'XH', 'H'), (5, 'XB', 'B'), (6, 'XI', 'B')) t(place, tag, type)), "
+    "other as (select l_linenumber, t.tag, t.type, t.fault, t.place from r join (values (2, 0, 'bad', null, 'no colon'), (3, 0, 'XQ', 'f', 'malformed value of type f'), (4, 0, 'AS', 'i', 'malformed value of type i'), (5, 7, 'bad', null, 'no colon'), (6, 7, 'AS', 'i', null)) t(line, place, tag, type, fault) on l_linenumber = t.line) "
+    "select tag, type, fault, count(*) as fields, cast(sum(place) as bigint) as places from (from good union all by name from other) group by tag, type, fault"
+)
+def sam_field_rows(spark, sf_dir):
+    """All optional fields as rows, malformed ones with their fault, counted."""
+    rows = tg.rows(_tagged(spark, sf_dir), "opt_fields", mode="PERMISSIVE")
+    return rows.groupBy("tag", "type", F.col("_corrupt_record").alias("fault")).agg(F.count("*").alias("fields"), F.sum("at").alias("places"))
