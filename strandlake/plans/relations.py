@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlake.functions import tables
 from strandlake.operators import kmers as km
 from strandlake.operators import mismatches as mm
 from strandlake.operators import seeding as sd
 from strandlake.operators import sites as si
 from strandlake.operators import superkmers as sk
 from strandlake.operators import tags as tg
-from strandlake.plans.queries import DNA, QUAL, SEQ, T, dna, iupac, quality, query, table
+from strandlake.plans.queries import DNA, ORACLE_SQL, QUAL, SEQ, T, dna, iupac, quality, query, table
 from strandlake.sources import fasta, fastq, formats, sam
 from strandlake.sources.modes import separated
 from strandlake.sources.scratch import scratch
@@ -198,3 +199,52 @@ def sam_field_rows(spark, sf_dir):
     """All optional fields as rows, malformed ones with their fault, counted."""
     rows = tg.rows(_tagged(spark, sf_dir), "opt_fields", mode="PERMISSIVE")
     return rows.groupBy("tag", "type", F.col("_corrupt_record").alias("fault")).agg(F.count("*").alias("fields"), F.sum("at").alias("places"))
+
+
+# Table functions in SQL text ------------------------------------------------------------------------------------------------------
+
+
+def _in_sql(spark, text: str, **frames):
+    """The rows of SQL text over frames, which it names."""
+    tables.register(spark)
+    for name, frame in frames.items():
+        frame.createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+@query(f"select kmer, count(*) as count, cast(sum(pos) as bigint) as places from (select s[i + 1 : i + 21] as kmer, i as pos from (select s, unnest(range(0, length(s) - 20)) as i from (select {DNA} as s from documents) where length(s) >= 21)) group by kmer")
+def sql_kmers(spark, sf_dir):
+    """All 21-mers of documents by table functions: sequences cut to pieces, pieces to k-mers."""
+    text = "select kmer, count(*) as count, sum(p.start + k.pos) as places from dna_of_documents d, lateral sequence_pieces(d.s, 21) p, lateral kmers(p.piece, 21, 'N') k group by kmer"
+    return _in_sql(spark, text, dna_of_documents=table(spark, sf_dir, "documents").select(dna(T).alias("s")))
+
+
+@query(f"select doc_id, i as pos, s[i + 1 : i + 50] as part from (select doc_id, s, unnest(range(0, length(s) - 49, 35)) as i from (select doc_id, {DNA} as s from documents) where length(s) >= 50)")
+def sql_windows(spark, sf_dir):
+    """Full windows of 50 bases at every 35th base of documents."""
+    return _in_sql(spark, "select doc_id, w.pos, w.part from dna_of_documents d, lateral stepped_windows(d.s, 50, 35) w", dna_of_documents=table(spark, sf_dir, "documents").select("doc_id", dna(T).alias("s")))
+
+
+@query("select op, count(*) as ciglets, cast(sum(inc) as bigint) as total, cast(sum(place) as bigint) as places from (select unnest([{'place': 0, 'inc': l_linenumber, 'op': 'S'}, {'place': 1, 'inc': cast(l_quantity as int), 'op': 'M'}, {'place': 2, 'inc': l_suppkey, 'op': 'D'}], recursive := true) from lineitem) group by op")
+def sql_ciglets(spark, sf_dir):
+    """The operations of line items' CIGAR strings up to a malformed place, tallied."""
+    cigar = F.concat(F.col("l_linenumber").cast("string"), F.lit("S"), F.col("l_quantity").cast("int").cast("string"), F.lit("M"), F.col("l_suppkey").cast("string"), F.lit("D?5M"))
+    return _in_sql(spark, "select op, count(*) as ciglets, sum(inc) as total, sum(c.place) as places from cigars, lateral ciglets(cigar) c group by op", cigars=table(spark, sf_dir, "lineitem").select(cigar.alias("cigar")))
+
+
+@query(ORACLE_SQL["site_counts_by_key"])
+def sql_site_counts(spark, sf_dir):
+    """The counts of each site of the documents of each language by a table function that deals a language to several tasks."""
+    sums = ", ".join(f"cast(sum({x}) as bigint) as {x}" for x in si.SLOTS)
+    text = f"select lang, pos, {sums} from site_counts(table(letters_of_documents), 'lang', 's', spread => 'doc_id') group by lang, pos"
+    return _in_sql(spark, text, letters_of_documents=table(spark, sf_dir, "documents").select("doc_id", "lang", iupac(T).alias("s")))
+
+
+@query(
+    "with s as (select distinct l_suppkey, l_partkey from lineitem), g as (select *, l_partkey - row_number() over (partition by l_suppkey order by l_partkey) as island from s) "
+    "select l_suppkey, min(l_partkey) as start, string_agg(substring('ACGTN', l_partkey % 5 + 1, 1), '' order by l_partkey) as text from g group by l_suppkey, island"
+)
+def sql_runs(spark, sf_dir):
+    """A letter for each part that a supplier ships, at the part's number; letters of neighbouring numbers joined."""
+    letters = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.substring(F.lit("ACGTN"), F.col("l_partkey") % 5 + 1, F.lit(1)).alias("letter"))
+    return _in_sql(spark, "select l_suppkey, start, text from runs(table(letters) partition by l_suppkey order by (l_partkey), 'l_partkey', 'letter')", letters=letters)
