@@ -94,6 +94,13 @@ class ByteMap:
         n = ord(last) - ord(first) + 1
         return self.map("".join(chr(ord(first) + i) for i in range(n)), "".join(chr(ord(start) + i) for i in range(n)))
 
+    def map_range_to_one(self, first: str, last: str, to: str) -> ByteMap:
+        """All characters from first to last become one; none if last comes before first."""
+        return self.map_to_one("".join(map(chr, range(ord(first), ord(last) + 1))), to)
+
+    def preserve_range(self, first: str, last: str) -> ByteMap:
+        return self.map_range(first, last, first)
+
     def apply(self, col: Column) -> Column:
         out = col
         if self.default is not None:

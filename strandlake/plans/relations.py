@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlake.functions import sequence as sq
 from strandlake.functions import tables
+from strandlake.functions.alphabets import ByteMap
 from strandlake.operators import kmers as km
 from strandlake.operators import mismatches as mm
 from strandlake.operators import seeding as sd
 from strandlake.operators import sites as si
 from strandlake.operators import superkmers as sk
 from strandlake.operators import tags as tg
-from strandlake.plans.queries import DNA, ORACLE_SQL, QUAL, SEQ, T, dna, iupac, quality, query, table
+from strandlake.plans.queries import _AA, _OVER, DNA, ORACLE_SQL, QUAL, SEQ, T, dna, iupac, quality, query, table
 from strandlake.sources import fasta, fastq, formats, sam
 from strandlake.sources.modes import separated
 from strandlake.sources.scratch import scratch
@@ -248,3 +250,37 @@ def sql_runs(spark, sf_dir):
     """A letter for each part that a supplier ships, at the part's number; letters of neighbouring numbers joined."""
     letters = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.substring(F.lit("ACGTN"), F.col("l_partkey") % 5 + 1, F.lit(1)).alias("letter"))
     return _in_sql(spark, "select l_suppkey, start, text from runs(table(letters) partition by l_suppkey order by (l_partkey), 'l_partkey', 'letter')", letters=letters)
+
+
+# Translation forms, ranges of maps, and the header of a sorted file ---------------------------------------------------------------
+
+_FRAMES = f"select doc_id, s, {_AA} as t, {_OVER} as o from (select doc_id, {DNA} as s from documents)"
+
+
+@query(
+    "select doc_id, md5(t) as exact, md5(t || case when length(s) % 3 > 0 then '?' else '' end) as own_sign, md5(regexp_extract(t || case when length(s) % 3 > 0 then '~' else '' end, '^[^*]*\\*?', 0)) as to_stop, "
+    "nullif(position('M' in substring(o, 8)), 0) + 6 as next_m_from_7, (nullif(position('M' in substring(t, 4)), 0) + 2) * 3 as next_m_in_frame_from_7 "
+    f"from ({_FRAMES})"
+)
+def translation_forms(spark, sf_dir):
+    """Translations without a partial codon, with a sign of one's own for it and up to the first stop; residues found from a place on."""
+    s = F.col("s")
+    base = table(spark, sf_dir, "documents").select("doc_id", dna(T).alias("s"))
+    own = sq.translate(s, partial="?")
+    return base.select("doc_id", F.md5(sq.translate(s, exact=True)).alias("exact"), F.md5(own).alias("own_sign"), F.md5(sq.translate_to_stop(s)).alias("to_stop"), sq.find_next_aa(s, "M", 7).cast("bigint").alias("next_m_from_7"), sq.find_next_aa_in_frame(s, "M", 7).cast("bigint").alias("next_m_in_frame_from_7"))
+
+
+@query("select doc_id, md5(regexp_replace(translate(text, 'abcdefgh', '--------'), '[^0-9\\-A-F]', '_', 'g')) as mapped, length(regexp_replace(text, '[a-hk-m]', '', 'g')) as left_over from documents where text is not null")
+def mapped_ranges(spark, sf_dir):
+    """Maps of ranges: some to one letter, some kept, the rest to a default; and ranges left out."""
+    one = ByteMap("_").preserve_range("0", "9").preserve_range("A", "F").preserve("-").map_range_to_one("a", "h", "-").map_range_to_one("z", "y", "!")
+    gone = ByteMap().map_range_to_one("a", "h", "").map_range_to_one("k", "m", "")
+    return table(spark, sf_dir, "documents").where(F.col(T).isNotNull()).select("doc_id", F.md5(one.apply(F.col(T))).alias("mapped"), F.length(gone.apply(F.col(T))).alias("left_over"))
+
+
+@query("select idx, line from (select -1 as idx, '@HD' || chr(9) || 'VN:1.6' || chr(9) || 'SO:coordinate' as line union all select nationkey, '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || cast(nationkey + 1 as varchar) from (select n_nationkey as nationkey, n_name as name from nation))")
+def sam_sorted_header(spark, sf_dir):
+    """A header with a sequence for each nation, its first line put in place of the one for coordinate order."""
+    lines = table(spark, sf_dir, "nation").select(F.concat(F.lit("@SQ\tSN:"), "n_name", F.lit("\tLN:"), (F.col("n_nationkey") + 1).cast("string")).alias("line"), F.col("n_nationkey").cast("int").alias("idx"))
+    old = lines.where("idx = 0").select(F.lit("@HD\tVN:1.5\tSO:unsorted").alias("line"), F.lit(-1).alias("idx"))
+    return sam.sorted_header(lines.unionByName(old)).select("idx", "line")

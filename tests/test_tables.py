@@ -65,3 +65,13 @@ def test_runs(sql):
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([("x", 7, 1, "AC"), ("x", 7, 4, "G"), ("x", 7, 6, "T"), ("y", 8, 3, "A"), (None, 9, 9, "N")], key=str)
     with pytest.raises(Exception, match="start or text"):
         sql("select * from runs(table(select k as text, p, c from r) partition by text order by (p), 'p', 'c')").collect()
+
+
+def test_map_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.functions.alphabets import ByteMap
+
+    one = ByteMap("_").preserve_range("0", "9").map_range_to_one("a", "c", "!").map_range_to_one("b", "a", "?").map("c", "d")
+    row = spark.createDataFrame([("09abcd x\n", "")], "s string, e string").select(one.apply(F.col("s")), one.apply(F.col("e")), ByteMap().map_range_to_one("a", "c", "").apply(F.col("s"))).first()
+    assert list(row) == ["09!!d____", "", "09d x\n"]
