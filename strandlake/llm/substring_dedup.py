@@ -6,6 +6,11 @@ segment of text. Each task sends a segment that it meets again only once, with i
 as places to remove, dealt by document; so the copies of a passage never come to one task one by one. Segments travel as
 compressed blocks.
 
+A k-gram that stands in very many different surroundings would bring all of them to one shard. So k-grams are counted first,
+in ``BUCKETS_A_SHARD`` times as many buckets as there are shards, over all documents; those of buckets with more than
+``frequent`` of them, and more than ``TIMES_MEAN`` times the mean, deal no window. A window goes by the least hash of its
+other k-grams, and by its own hash where it has none, so no shard grows with the occurrences of one k-gram.
+
 In a shard, segments without any 12-gram that occurs twice are left out; over the others stands an FM-index whose backward
 search, by wavelet-matrix ranks, streams every segment through the index and keeps the matching statistics at the window's
 length. A window is repeated where its interval holds an earlier place. Hashes only choose what is compared: segments count as equal
@@ -27,13 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._text import SPACED, Words, chunks, over_texts, prepare, quoted, ragged, rolled, spans_hash
+from strandlake.llm._spark import written
+from strandlake.llm._text import SPACED, Words, chunks, over_texts, prepare, quoted, ragged, rolled, same_row, spans_hash
 from strandlake.llm.fm_index import FMIndex
 
 WINDOW, GRAM, FILTER_GRAM = 20, 4, 12
 SHARD_BYTES, BLOCK_BYTES, SEGMENT_WINDOWS = 4 << 20, 6 << 20, 62
 #: Shards that one task takes on, one after another.
 SHARDS_A_TASK = 16
+#: Buckets in which k-grams are counted, and the counts from which on a bucket's k-grams deal no window. An occurrence
+#: brings up to 36 words to its shard, so at seven bytes a word the first of the counts is about ``SHARD_BYTES`` of text.
+BUCKETS_A_SHARD, FREQUENT, TIMES_MEAN = 8, 1 << 14, 4
+#: k-grams that a task counts at a time.
+COUNTED = 1 << 21
 #: What a null doc_id is sent as, with this bit in the row's tag: it comes after a document that has this id.
 LAST, NULL = (1 << 63) - 1, 1 << 30
 #: The columns of a block and of its list of places to remove, as they stand there one after another.
@@ -66,17 +77,67 @@ def owners(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, windows, least hash) of the runs of windows in one row that share their least gram hash."""
+class Frequent:
+    """The buckets whose k-grams deal no window, a bit each: an eighth of a byte for every half megabyte of the corpus."""
+
+    def __init__(self, buckets: int, chosen: np.ndarray) -> None:
+        self.buckets, self.bits = np.uint64(buckets), np.zeros(buckets // 8 + 1, np.uint8)
+        np.bitwise_or.at(self.bits, chosen >> 3, (1 << (chosen & 7)).astype(np.uint8))
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        bucket = (h % self.buckets).astype(np.int64)
+        return (self.bits[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bucket_counts(texts: DataFrame, buckets: int, gram: int) -> DataFrame:
+    """bucket and n: how many k-grams of the texts have a hash in the bucket."""
+
+    def tally(held: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
+    def count(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                words = Words(part["text"], SPACED)
+                held.append((rolled(words.hash, gram)[same_row(words.row, gram)] % np.uint64(buckets)).astype(np.int64))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield tally(held)
+                    held, size = [], 0
+        if held:
+            yield tally(held)
+
+    return texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def frequent_grams(texts: DataFrame, shards: int, gram: int, frequent: int) -> Frequent | None:
+    """The buckets of k-grams too frequent to deal windows; at most a ``TIMES_MEAN``-th of all. One shard needs none."""
+    if shards < 2:
+        return None
+    buckets = shards * BUCKETS_A_SHARD
+    counts = written(bucket_counts(texts, buckets, gram))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    chosen = counts.where(F.col("n") > max(frequent, TIMES_MEAN * total // buckets)).select("bucket").toArrow()["bucket"].to_numpy()
+    return Frequent(buckets, chosen) if len(chosen) else None
+
+
+def segments(words: Words, window: int, gram: int, frequent: Frequent | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, windows, hash) of the runs of windows in one row that are dealt by the same hash."""
     n = len(words.hash) - window + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    least, have = rolled(words.hash, gram), 1
+    least, have, none = rolled(words.hash, gram), 1, np.uint64((1 << 64) - 1)
+    if frequent is not None:
+        least = np.where(frequent.holds(least), none, least)
     span = window - gram + 1
     while have < span:
         more = min(have, span - have)
         least = np.minimum(least[: len(least) - more], least[more:])
         have += more
+    if frequent is not None and (bare := np.flatnonzero(least == none)).size:
+        least[bare] = rolled(words.hash, window)[bare]
     inside = words.row[:n] == words.row[window - 1 :]
     new = np.r_[True, (least[1:] != least[:-1]) | (words.row[1:n] != words.row[: n - 1])]
     at = np.flatnonzero(new | np.r_[False, inside[1:] != inside[:-1]])
@@ -125,16 +186,16 @@ def symbols(texts: pa.Array) -> np.ndarray:
 class Sender:
     """Gathers a task's segments and turns them into blocks for the shards."""
 
-    def __init__(self, shards: int, window: int, gram: int) -> None:
+    def __init__(self, shards: int, window: int, gram: int, frequent: Frequent | None = None) -> None:
         import zstandard
 
-        self.shards, self.window, self.gram, self.pack = shards, window, gram, zstandard.ZstdCompressor(level=3).compress
+        self.shards, self.window, self.gram, self.frequent, self.pack = shards, window, gram, frequent, zstandard.ZstdCompressor(level=3).compress
         self.held: list[tuple] = []
         self.bytes = 0
 
     def add(self, ids: np.ndarray, tags: np.ndarray, texts: pa.Array) -> list[tuple[int, bytes]]:
         words = Words(texts, SPACED)
-        start, windows, least = segments(words, self.window, self.gram)
+        start, windows, least = segments(words, self.window, self.gram, self.frequent)
         end = start + windows + self.window - 1
         row = words.row[start] if len(start) else start
         a, b = words.start[start], words.end[end - 1] if len(start) else start
@@ -241,16 +302,17 @@ def repeated_windows(flat: np.ndarray, length: np.ndarray, owner: np.ndarray, st
 REPEATS = "doc_id bigint, tag int, start int, mask bigint"
 
 
-def substring_dedup(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def substring_dedup(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """A row for each document: doc_id, n_words, n_removed, kept (the words left, joined by a blank) and kept_sha256."""
     prepare(documents.sparkSession)
     text_ = F.col(quoted(text))
     docs = documents.select(F.coalesce(F.col(quoted(doc_id)), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce(text_, F.lit(""))).bitwiseAND(NULL - 1).bitwiseOR(F.when(F.col(quoted(doc_id)).isNull(), NULL).otherwise(0)).cast("int").alias("tag"), text_.alias("text"))
     total = documents.agg(F.coalesce(F.sum(F.octet_length(text_)), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
+    held = documents.sparkSession.sparkContext.broadcast(frequent_grams(docs.select("text"), shards, gram, frequent))  # a bit a bucket
 
     def send(batches):
-        sender = Sender(shards, window, gram)
+        sender = Sender(shards, window, gram, held.value)
         block = lambda x: pa.RecordBatch.from_arrays([pa.array([s for s, _ in x], pa.int64()), pa.array([b for _, b in x], pa.binary())], names=["shard", "block"])
         for batch in batches:
             for part in chunks(batch, "text"):
