@@ -17,7 +17,8 @@ Over whole tables, in Arrow batches, with schemas that follow their arguments:
   eight counts a site of its longest sequence. Counts are partial: sum them by key and pos.
 - ``runs(TABLE(t) PARTITION BY ... ORDER BY (pos), 'pos', 'letter')``: letters at neighbouring positions joined to text, as
   (the other columns, start, text), at most a million letters a row. It holds one run, however large the partition is. Of
-  rows at one position the first counts; rows without a position or a letter end a run.
+  rows at one position the first counts; rows without a position or a letter end a run. It takes rows one by one in Python;
+  ``joined_runs`` does the same for a frame natively.
 
 Nulls and empty texts give no rows. Names of columns are as in the table, apart from upper and lower case.
 """
@@ -27,7 +28,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, PartitioningColumn, SelectedColumn
 
@@ -163,6 +165,23 @@ class Runs:
         yield from self._run()
 
 
+def joined_runs(df: DataFrame, pos: str, letter: str, *by: str) -> DataFrame:
+    """The rows of ``runs`` over a frame, (the columns by, start, text), by windows and aggregations alone: no row passes through Python.
+
+    Rows without a position or a letter leave a gap; of several letters at a position the least counts. A row of text has at
+    most ``RUN`` positions.
+    """
+    keys = [F.col(c) for c in by]
+    at, x = F.col(pos).cast("bigint").alias("_at"), F.col(letter).alias("_x")
+    placed = df.where(F.col(pos).isNotNull() & (F.col(letter) != "")).select(*keys, at, x).repartition(*keys)  # one shuffle serves all steps
+    one = placed.groupBy(*keys, "_at").agg(F.min("_x").alias("_x"))
+    island = F.col("_at") - F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))
+    rows = one.withColumn("_island", island)
+    rows = rows.withColumn("_part", F.floor((F.col("_at") - F.min("_at").over(Window.partitionBy(*keys, "_island").orderBy("_at"))) / RUN))
+    joined = rows.groupBy(*keys, "_island", "_part").agg(F.min("_at").alias("start"), F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_all"))
+    return joined.select(*keys, "start", F.array_join(F.col("_all._x"), "").alias("text"))
+
+
 def register(spark: SparkSession) -> None:
     """Make the functions known to the session, under the names above; functions of these names are replaced."""
     from pyspark.sql.functions import udtf

@@ -249,7 +249,7 @@ def sql_site_counts(spark, sf_dir):
 def sql_runs(spark, sf_dir):
     """A letter for each part that a supplier ships, at the part's number; letters of neighbouring numbers joined."""
     letters = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.substring(F.lit("ACGTN"), F.col("l_partkey") % 5 + 1, F.lit(1)).alias("letter"))
-    return _in_sql(spark, "select l_suppkey, start, text from runs(table(letters) partition by l_suppkey order by (l_partkey), 'l_partkey', 'letter')", letters=letters)
+    return _in_sql(spark, "select l_suppkey, start, text from joined", joined=tables.joined_runs(letters, "l_partkey", "letter", "l_suppkey"))
 
 
 # Translation forms, ranges of maps, and the header of a sorted file ---------------------------------------------------------------

@@ -75,3 +75,22 @@ def test_map_ranges(spark):
     one = ByteMap("_").preserve_range("0", "9").map_range_to_one("a", "c", "!").map_range_to_one("b", "a", "?").map("c", "d")
     row = spark.createDataFrame([("09abcd x\n", "")], "s string, e string").select(one.apply(F.col("s")), one.apply(F.col("e")), ByteMap().map_range_to_one("a", "c", "").apply(F.col("s"))).first()
     assert list(row) == ["09!!d____", "", "09d x\n"]
+
+
+def test_joined_runs(spark, sql, monkeypatch):
+    rows = [("x", 1, "A", 7), ("x", 2, "C", 7), ("x", 2, "C", 7), ("x", 4, "G", 7), ("x", 5, None, 7), ("x", 6, "T", 7), ("x", 8, "", 7), ("y", 3, "A", 8), (None, 9, "N", 9), (None, 10, "A", 9), ("x", None, "Z", 7)]
+    df = spark.createDataFrame(rows, "k string, p int, c string, other int").repartition(3)
+    expected = [("x", 7, 1, "AC"), ("x", 7, 4, "G"), ("x", 7, 6, "T"), ("y", 8, 3, "A"), (None, 9, 9, "NA")]
+    got = tables.joined_runs(df, "p", "c", "k", "other")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("Exchange hashpartitioning") == 1, plan
+    assert got.columns == ["k", "other", "start", "text"] and sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    monkeypatch.setattr(tables, "RUN", 4)
+    long = spark.createDataFrame([(1, p, "ACGT"[p % 4]) for p in [*range(10), *range(11, 13)]], "k int, p int, c string")
+    assert sorted(map(tuple, tables.joined_runs(long, "p", "c", "k").collect())) == [(1, 0, "ACGT"), (1, 4, "ACGT"), (1, 8, "AC"), (1, 11, "TA")]
+
+
+def test_the_query_of_runs_calls_no_python(spark):
+    from strandlake.plans import QUERIES
+
+    assert "Python" not in QUERIES["sql_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
