@@ -19,8 +19,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST
     """(name, sequence). mode: FAILFAST raises on a malformed record, DROPMALFORMED leaves it out, PERMISSIVE keeps it with the fault in ``_corrupt_record``."""
     known(mode)
     raw = spark.read.option("lineSep", "\n>").text(path)
-    # what stands before a file's first record is blank, and is no record
-    records = raw.where(~F.col("value").rlike(r"^[ \t\r\n]*\z")).select(F.regexp_replace("value", r"^>", "").alias("value"))
+    records = _records(raw).select(F.regexp_replace("value", r"^>", "").alias("value"))
     body = F.regexp_replace("value", r"^[^\r\n]*[\r\n]*", "")
     name = F.regexp_extract("value", r"^[^\r\n]*", 0)
     sequence = F.translate(body, "\r\n", "")
@@ -31,8 +30,22 @@ def read_fasta(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST
     return judged(records, fault, [name.alias("name"), sequence.alias("sequence")], mode, "FASTA record")
 
 
+_BLANK = r"^[ \t\r\n]*\z"
+
+
+def _records(raw: DataFrame) -> DataFrame:
+    """Without what stands before the first record of a file, where that is blank. A blank text anywhere else is a record without a name and bases.
+
+    Where each file's text begins comes from a second reading of the same splits, one row a file.
+    """
+    placed = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    firsts = placed.where("block = 0").groupBy("file").agg(F.min(F.struct("row", F.col("value").rlike(_BLANK).alias("blank"))).alias("first"))
+    before = firsts.where("first.blank").select("file", F.col("first.row").alias("row"))
+    return placed.join(F.broadcast(before), ["file", "row"], "left_anti").select("value")
+
+
 def _has_rows(raw: DataFrame) -> bool:
-    return not raw.where(~F.col("value").rlike(r"^[ \t\r\n]*\z")).isEmpty()
+    return not _records(raw).isEmpty()
 
 
 def annotated(records: DataFrame) -> DataFrame:
