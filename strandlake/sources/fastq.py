@@ -48,8 +48,8 @@ def fault(header: str, sequence: str, plus: str, quality: str) -> str | None:
 
 
 def begins(lines: list[str]) -> bool:
-    """Whether a record starts at the first of these lines."""
-    return len(lines) >= 4 and lines[0].startswith("@") and lines[2].startswith("+") and len(lines[1]) == len(lines[3])
+    """Whether a record starts at the first of these lines, with or without a fault in its letters or scores."""
+    return len(lines) >= 4 and lines[0].startswith("@") and lines[2].startswith("+")
 
 
 def entries(lines: Iterator[tuple[int, str]], end: int | None = None) -> Iterator[tuple[str, str, str, str | None]]:

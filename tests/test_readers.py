@@ -141,3 +141,29 @@ def test_both_sides_in_one_pass(spark, tmp_path):
     assert results(rows.where("_corrupt_record is null")).count() == 2
     good, bad, counts = separated(rows.limit(0))
     assert counts == {"good": 0, "malformed": 0} and good.count() == bad.count() == 0
+
+
+def test_a_blank_fasta_record_is_no_file_head(spark, tmp_path):
+    """A record without a name and bases is malformed wherever it stands; only blank text before a file's first record is none."""
+    texts = {"a.fa": "\n\n>r1\nAC\n>\n\n>r2\nGT\n>\n\n", "b.fa": ">\n\n>r3\nA\n", "c.fa": " \n>r4\nC\n>\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = [(r["name"], r["sequence"], r["_corrupt_record"]) for r in read_fasta(spark, str(tmp_path), "PERMISSIVE").collect()]
+    assert sorted((n, s) for n, s, f in got if f is None) == [("r1", "AC"), ("r2", "GT"), ("r3", "A"), ("r4", "C")]
+    assert [f for _, _, f in got if f] == ["the header is empty"] * 4
+    assert read_fasta(spark, str(tmp_path), "DROPMALFORMED").count() == 4
+
+
+def test_neighbouring_short_qualities(tmp_path):
+    """Each record of a length mismatch is met, also behind another malformed one, wherever the file is cut."""
+    rnd = random.Random(6)
+    good = records(rnd, 8)
+    bad = [f"@bad{i}\nACGTN\n+\n{'I' * (i % 5)}@\n" if i % 5 != 4 else f"@bad{i}\nACGTN\n+\nI III\n" for i in range(7)]
+    text = "".join([*good[:4], *bad, *good[4:]])
+    expected = serial(text)
+    assert [r[0] for r in expected] == [*[f"r{i}" for i in range(4)], *[f"bad{i}" for i in range(7)], *[f"r{i}" for i in range(4, 8)]]
+    assert sum(r[3] is not None for r in expected) == 7
+    path = tmp_path / "a.fastq"
+    path.write_bytes(text.encode())
+    for step in range(1, len(text) + 2):
+        assert in_splits(str(path), len(text), step) == expected, step
