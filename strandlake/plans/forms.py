@@ -159,7 +159,7 @@ def byte_index_counts(spark, sf_dir):
     return base.select("doc_id", DNA_PROFILE.counts(s).alias("counts"), DNA_PROFILE.to_index(F.substring("s", 1, 1)).alias("index"), F.when(starts > 0, starts).alias("n_start"))
 
 
-@query(
+_REGIONS = (
     "with recursive u as (select doc_id, s, q from ("
     f"select doc_id, {DNA} as s, {QUAL} as q from documents) where length(q) > 0), "
     # each step takes what lies before the next start codon and the region behind it off the rest
@@ -168,7 +168,11 @@ def byte_index_counts(spark, sf_dir):
     "(select doc_id, regions, coding, non_coding, before, after, list_min([i for i in range(1, length(after) - 1, 3) if substring(after, i, 3) in ('TAA', 'TAG', 'TGA')]) as stop from "
     "(select doc_id, regions, coding, non_coding, substring(rest, 1, position('ATG' in rest) - 1) as before, substring(rest, position('ATG' in rest) + 3) as after from step where position('ATG' in rest) > 0))), "
     "ends as (select doc_id, regions, coding, non_coding || rest as non_coding from step where position('ATG' in rest) = 0) "
-    "select u.doc_id as doc_id, length(s) as bases, regions, length(regexp_replace(coding, '[^GC]+', '', 'g')) as coding, length(regexp_replace(non_coding, '[^GC]+', '', 'g')) as non_coding, length(coding) as coding_bases, length(non_coding) as non_coding_bases, md5(coding) as coding_md5 from u join ends on ends.doc_id = u.doc_id"
+)
+
+
+@query(
+    _REGIONS + "select u.doc_id as doc_id, length(s) as bases, regions, length(regexp_replace(coding, '[^GC]+', '', 'g')) as coding, length(regexp_replace(non_coding, '[^GC]+', '', 'g')) as non_coding, length(coding) as coding_bases, length(non_coding) as non_coding_bases, md5(coding) as coding_md5 from u join ends on ends.doc_id = u.doc_id"
 )
 def coding_regions(spark, sf_dir):
     """G and C inside and outside all coding regions, which a start codon begins and a stop in its frame or the sequence ends."""
@@ -180,17 +184,16 @@ def coding_regions(spark, sf_dir):
 
 
 @query(
-    "select doc_id, round(cast(cast(pow(10, -q / 10.0) as float) as double), 9) as error, round(q, 3) as q_again, q_min, q_max "
-    "from (select doc_id, cast(ascii(substring(u, 1, 1)) - 33 as double) as q, list_min([ascii(x) - 33 for x in string_split(u, '')]) as q_min, list_max([ascii(x) - 33 for x in string_split(u, '')]) as q_max "
-    f"from (select doc_id, {QUAL} as u from documents) where length(u) > 0)"
+    _REGIONS + ", p as (select doc_id, cast(ascii(substring(u.q, 1, 1)) - 33 as double) as x, list_min([ascii(c) - 33 for c in string_split(u.q, '')]) as q_min, list_max([ascii(c) - 33 for c in string_split(u.q, '')]) as q_max from u) "
+    "select u.doc_id as doc_id, length(s) as bases, length(regexp_replace(coding, '[^GC]+', '', 'g')) as coding, length(regexp_replace(non_coding, '[^GC]+', '', 'g')) as non_coding, round(cast(cast(pow(10, -x / 10.0) as float) as double), 9) as error, round(x, 3) as q_again, q_min, q_max from u join ends on ends.doc_id = u.doc_id join p on p.doc_id = u.doc_id"
 )
 def composition_forms(spark, sf_dir):
-    """Phred conversions there and back, and the ends of the scores' range."""
-    q = F.col("q")
-    base = table(spark, sf_dir, "documents").select("doc_id", quality(T).alias("q")).where("q <> ''")
+    """G and C inside and outside coding regions, Phred conversions there and back, and the ends of the scores' range."""
+    s, q = F.col("s"), F.col("q")
+    base = table(spark, sf_dir, "documents").select("doc_id", dna(T).alias("s"), quality(T).alias("q")).where("q <> ''")
     first = (F.ascii(F.substring(q, 1, 1)) - 33).cast("double")
-    mm = cp.min_median_max(q)
-    return base.select("doc_id", F.round(cp.error_of_q(first).cast("double"), 9).alias("error"), F.round(cp.q_of_error(cp.error_of_q(first)).cast("double"), 3).alias("q_again"), mm["min"].alias("q_min"), mm["max"].alias("q_max"))
+    mm, gc = cp.min_median_max(q), cp.coding_gc(s)
+    return base.select("doc_id", F.length("s").alias("bases"), gc["coding"].alias("coding"), gc["non_coding"].alias("non_coding"), F.round(cp.error_of_q(first).cast("double"), 9).alias("error"), F.round(cp.q_of_error(cp.error_of_q(first)).cast("double"), 3).alias("q_again"), mm["min"].alias("q_min"), mm["max"].alias("q_max"))
 
 
 # K-mers and trimming --------------------------------------------------------------------------------------------------------------

@@ -40,3 +40,11 @@ def test_coding_regions(spark):
         assert tuple(r["g"]) == (gc(inside), gc(outside), len(inside), len(outside))
     assert (out[0]["g"]["coding"], out[0]["g"]["non_coding"]) == (5, 4)
     assert spark.createDataFrame([(None,)], "s string").select(coding_gc(F.col("s"))["coding"], coding_regions(F.col("s"))).first() == (None, None)
+
+
+def test_composition_forms_has_the_regions_of_coding_regions(spark):
+    from strandlake.plans import QUERIES
+
+    columns = ["doc_id", "bases", "coding", "non_coding"]
+    got, expected = (sorted(map(tuple, QUERIES[q](spark, "/root/testdata/sf0.001").select(*columns).collect())) for q in ("composition_forms", "coding_regions"))
+    assert got == expected and got
