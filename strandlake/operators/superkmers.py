@@ -4,8 +4,8 @@ Neighbouring k-mers mostly have the same minimizer, the m-mer in them that an or
 piece of text (a super-k-mer) to where its minimizer's k-mers are counted: k - 1 bases once and one more for each k-mer, in place of a row of k
 bases for each. All occurrences of a k-mer have one minimizer and meet there. Equal super-k-mers are counted before they travel.
 
-There k-mers are two-bit codes in longs (A, C, G, T; others become A), and become text only
-after they are counted. Minimizers with more than ``HOT_BASES`` go the other way: their k-mers are dealt by their own codes, so no task holds
+There k-mers are cut out and counted as text (A, C, G, T; others become A), and each is packed to a two-bit code in a long only
+after that, once and not at every occurrence. Minimizers with more than ``HOT_BASES`` go the other way: their k-mers are dealt by themselves, so no task holds
 all of a frequent minimizer's.
 """
 
@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.kmers import MAX_TWO_BIT, decode, encode, normal
+from strandlake.operators.kmers import MAX_TWO_BIT, encode, normal
+from strandlake.sources.scratch import scratch
 
 PACKED = 32
 #: Windows of the pieces that sequences are cut into.
@@ -62,26 +63,37 @@ def counts(df: DataFrame, seq: str, k: int, m: int = 9, hot_bases: int = HOT_BAS
     """(code, count) of all k-mers of up to 32 bases."""
     if k > PACKED:
         raise ValueError(f"k-mer length {k} has no packed number; up to {PACKED} bases fit")
-    runs = super_kmers(df, seq, k, m).groupBy("minimizer", "bases").agg(F.count("*").alias("times"))
-    sizes = runs.groupBy("minimizer").agg(F.sum(F.length("bases")).alias("n")).where(F.col("n") > hot_bases).select("minimizer")
-    sizes = sizes.persist()
-    n = sizes.count()
+    return texts(df, seq, k, m, hot_bases).select(encode(F.col("kmer"), 2).alias("code"), "count")
+
+
+def texts(df: DataFrame, seq: str, k: int, m: int = 9, hot_bases: int = HOT_BASES) -> DataFrame:
+    """(kmer, count). Super-k-mers are made once and written, as their minimizers are counted first."""
+    spark = df.sparkSession
+    path = scratch(spark)
+    super_kmers(df, seq, k, m).groupBy("minimizer", "bases").agg(F.count("*").alias("times")).write.parquet(path)
+    runs = spark.read.parquet(path)
+    hot = runs.groupBy("minimizer").agg(F.sum(F.length("bases")).alias("n")).where(F.col("n") > hot_bases).select("minimizer").persist()
+    n = hot.count()
     # a given number is kept: fewer tasks would suit the super-k-mers' bytes, but not the k-mers that come of them
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, runs.rdd.getNumPartitions())
 
-    def codes(x: DataFrame) -> DataFrame:
+    def windows(x: DataFrame) -> DataFrame:
         at = x.select("minimizer", "bases", "times", F.explode(F.sequence(F.lit(1), F.length("bases") - (k - 1))).alias("at"))
-        return at.select("minimizer", encode(F.substr("bases", F.col("at"), F.lit(k)), 2).alias("code"), "times")
+        return at.select("minimizer", F.substr("bases", F.col("at"), F.lit(k)).alias("kmer"), "times")
+
+    def met(x: DataFrame) -> DataFrame:  # dealt by minimizer already: no further shuffle
+        return windows(x.repartition(tasks, "minimizer")).groupBy("minimizer", "kmer").agg(F.sum("times").alias("count")).select("kmer", "count")
 
     if not n:
-        sizes.unpersist()
-        met = codes(runs.repartition(tasks, "minimizer")).groupBy("minimizer", "code")  # dealt by minimizer already: no further shuffle
-        return met.agg(F.sum("times").alias("count")).select("code", "count")
-    hot = F.broadcast(sizes) if n <= BROADCAST_BINS else sizes
-    cold = codes(runs.join(hot, "minimizer", "left_anti").repartition(tasks, "minimizer")).groupBy("minimizer", "code").agg(F.sum("times").alias("count")).select("code", "count")
-    return cold.unionByName(codes(runs.join(hot, "minimizer", "left_semi")).groupBy("code").agg(F.sum("times").alias("count")))
+        hot.unpersist()
+        return met(runs)
+    few = F.broadcast(hot) if n <= BROADCAST_BINS else hot
+    frequent = windows(runs.join(few, "minimizer", "left_semi")).groupBy("kmer").agg(F.sum("times").alias("count"))
+    return met(runs.join(few, "minimizer", "left_anti")).unionByName(frequent)
 
 
 def kmer_counts(df: DataFrame, seq: str, k: int, m: int = 9, hot_bases: int = HOT_BASES) -> DataFrame:
     """(kmer, count) as the counter of strings gives it with two bits, for k from m + 1 to 32."""
-    return counts(df, seq, k, m, hot_bases).select(decode(F.col("code"), k, 2).alias("kmer"), "count")
+    if k > PACKED:
+        raise ValueError(f"k-mer length {k} has no packed number; up to {PACKED} bases fit")
+    return texts(df, seq, k, m, hot_bases)
