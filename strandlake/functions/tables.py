@@ -48,7 +48,8 @@ _SQL = {
     "kmers": (
         "seq string, k int, other string",
         "pos bigint, kmer string",
-        "inline(transform(if(length(seq) >= k and k > 0, sequence(0, length(seq) - k), array()), i -> named_struct('pos', cast(i as bigint), 'kmer', regexp_replace(translate(substr(seq, i + 1, k), 'acgtuU', 'ACGTTT'), '[^ACGT]', other))))",
+        # the letters are mapped once, not again in each k-mer; the lambda over one element binds them
+        "inline(flatten(transform(array(regexp_replace(translate(seq, 'acgtuU', 'ACGTTT'), '[^ACGT]', other)), s -> transform(if(length(seq) >= k and k > 0, sequence(0, length(seq) - k), array()), i -> named_struct('pos', cast(i as bigint), 'kmer', substr(s, i + 1, k))))))",
     ),
     "stepped_windows": (
         "seq string, width int, step int",
