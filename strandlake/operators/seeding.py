@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import reverse_complement
+from strandlake.operators.superkmers import least_of
+from strandlake.sources.scratch import scratch
 
 K, W = 12, 6
 #: Windows of k-mers of the pieces that sequences are cut into.
@@ -33,20 +35,24 @@ def minimizers(df: DataFrame, id_: str, seq: str, k: int = K, w: int = W, order:
     """(id, pos, seed): each place that is the first by ``order`` (ties: the leftmost) of some w neighbouring k-mers.
 
     A sequence of fewer k-mers is one window; one shorter than k, or null, has none. Sequences are cut into pieces of
-    ``PIECE`` windows, so the cost follows the length and no array holds more than a piece.
+    ``PIECE`` windows, so the cost follows the length and no array holds more than a piece. An id names one row.
     """
     if k < 1 or w < 1:
         raise ValueError("k and w are at least 1")
     n = F.length("s") - (k - 1)  # k-mers
     base = df.select(F.col(id_).alias("id"), F.col(seq).alias("s")).where(n > 0)
     pieces = F.sequence(F.lit(0), F.floor(F.greatest(n - w, F.lit(0)) / PIECE).cast("int"))
-    at = base.select("id", "s", F.explode(pieces).alias("piece")).select("id", (F.col("piece") * PIECE).alias("at"), F.substr("s", F.col("piece") * PIECE + 1, F.lit(PIECE + w + k - 2)).alias("s"))
+    # a piece begins with the last window of the one before it, which tells whether its first choice is new
+    lead = F.least(F.col("piece"), F.lit(1))
+    at = base.select("id", "s", F.explode(pieces).alias("piece")).select("id", lead.alias("lead"), (F.col("piece") * PIECE - lead).alias("at"), F.substr("s", F.col("piece") * PIECE - lead + 1, lead + (PIECE + w + k - 2)).alias("s"))
     kmers = F.transform(F.sequence(F.lit(0), F.length("s") - k), lambda i: F.struct(order(F.substr("s", i + 1, F.lit(k))).alias("rank"), i.alias("i")))
-    ranked = at.select("id", "at", "s", kmers.alias("kmers"))
-    firsts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("kmers") - w + 1, F.lit(1))), lambda i: F.array_min(F.slice("kmers", i, w))["i"])
-    places = ranked.select("id", "at", "s", F.explode(F.array_distinct(firsts)).alias("i"))
-    # the first windows of a piece can choose what the last ones of the piece before it chose
-    return places.select("id", (F.col("at") + F.col("i")).alias("pos"), F.substr("s", F.col("i") + 1, F.lit(k)).alias("seed")).distinct()
+    ranked = at.select("id", "lead", "at", "s", kmers.alias("kmers"))
+    firsts = F.when(F.size("kmers") >= w, least_of(F.col("kmers"), w)).otherwise(F.array(F.array_min("kmers")))
+    chosen = ranked.select("id", "lead", "at", "s", F.transform(firsts, lambda x: x["i"]).alias("firsts"))
+    # choices never go back, so a place is new where it differs from the choice before
+    new = F.filter("firsts", lambda i, j: F.when(j == 0, F.col("lead") == 0).otherwise(i != F.get("firsts", j - 1)))
+    places = chosen.select("id", "at", "s", F.explode(new).alias("i"))
+    return places.select("id", (F.col("at") + F.col("i")).alias("pos"), F.substr("s", F.col("i") + 1, F.lit(k)).alias("seed"))
 
 
 def both_strands(df: DataFrame, id_: str, seq: str) -> DataFrame:
@@ -55,7 +61,13 @@ def both_strands(df: DataFrame, id_: str, seq: str) -> DataFrame:
 
 
 def hits(queries: DataFrame, references: DataFrame, hot: int = HOT) -> DataFrame:
-    """(query, ref, query_pos, ref_pos, diag) of every two equal seeds of two frames of ``minimizers``."""
+    """(query, ref, query_pos, ref_pos, diag) of every two equal seeds of two frames of ``minimizers``.
+
+    Only references' seeds that some query has are kept, and written once, as they are counted before they are joined.
+    """
+    path = scratch(references.sparkSession)
+    references.join(queries.select("seed").distinct(), "seed", "left_semi").write.parquet(path)
+    references = references.sparkSession.read.parquet(path)
     often = references.groupBy("seed").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts")).where("parts > 1")
     often = often.persist()
     n = often.count()
