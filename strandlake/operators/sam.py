@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandlake.functions import cigar as cg
 
 HEADER = "@HD\tVN:1.6\tSO:coordinate"
+#: Parts of a sorted table for each split of its input.
+SORTED_PARTS = 8
 FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 
 
@@ -27,12 +29,16 @@ def unmapped(qname: Column, rname: Column) -> list[Column]:
 
 def optional(fields: Column, tag: str) -> Column:
     """The first field with this tag, as (type, value); null if there is none."""
-    found = F.get(F.filter(fields, lambda x: F.startswith(x, F.lit(tag + ":"))), F.lit(0))
-    return F.when(found.isNotNull(), F.struct(F.substring(found, 4, 1).alias("type"), F.substring(found, 6, 1 << 30).alias("value")))
+    found = F.filter(fields, lambda x: F.startswith(x, F.lit(tag + ":")))
+    return F.get(F.transform(found, lambda x: F.struct(F.substring(x, 4, 1).alias("type"), F.substring(x, 6, 1 << 30).alias("value"))), F.lit(0))
 
 
 def typed(field: Column) -> Column:
     """A field (type, value) as (type, char, int, float, string, subtype, arr); null members where it is of another type."""
+    return F.get(F.transform(F.array(field), _typed), F.lit(0))  # the field is looked for once
+
+
+def _typed(field: Column) -> Column:
     t, v = field["type"], field["value"]
     parts = F.split(v, ",")
     arr = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.try_cast("double"))
@@ -68,4 +74,8 @@ def coordinate_sort(records: DataFrame, references: DataFrame, ordinal: str | No
     order = F.col(ordinal) if ordinal else F.monotonically_increasing_id()
     joined = records.withColumn(place, order).join(references.select(F.col("rname").alias(name), F.col("idx").alias(idx)), F.col("rname") == F.col(name), "left")
     kind = F.when(F.col("rname") == "*", 2).when(F.col(idx).isNull(), 1).otherwise(0)
-    return joined.orderBy(kind, F.coalesce(idx, F.lit(0)), "pos", "qname", place).select(*records.columns)
+    keys = [kind, F.coalesce(idx, F.lit(0)), F.col("pos"), F.col("qname"), F.col(place)]
+    # parts follow the input's splits, so that no task's part grows with the input; in their order they are the sorted table
+    conf = records.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = max(int(conf), SORTED_PARTS * records.rdd.getNumPartitions())
+    return joined.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(*records.columns)
