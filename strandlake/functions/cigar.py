@@ -1,7 +1,10 @@
-"""CIGAR strings as native expressions. A ciglet is a struct (inc, op)."""
+"""CIGAR strings as native expressions, but for gapped rows. A ciglet is a struct (inc, op)."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,25 +45,32 @@ def ciglets(col: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(F.substring(p, F.lit(1), F.length(p) - 1).try_cast("bigint").alias("inc"), F.substring(p, F.length(p), F.lit(1)).alias("op")))
 
 
-def _length(col: Column, ops: tuple[str, ...]) -> Column:
-    return F.aggregate(F.filter(ciglets(col), lambda c: c["op"].isin(*ops)), F.lit(0).cast("bigint"), lambda a, c: a + c["inc"])
+# These take the string, or with ``parsed`` a column of its ciglets: several of them then parse a string once.
+
+
+def _ops(col: Column, parsed: bool) -> Column:
+    return col if parsed else ciglets(col)
+
 
+def _length(col: Column, ops: tuple[str, ...], parsed: bool) -> Column:
+    return F.aggregate(_ops(col, parsed), F.lit(0).cast("bigint"), lambda a, c: F.when(c["op"].isin(*ops), a + c["inc"]).otherwise(a))
 
-def ref_len(col: Column) -> Column:
-    return _length(col, REF_OPS)
 
+def ref_len(col: Column, parsed: bool = False) -> Column:
+    return _length(col, REF_OPS, parsed)
 
-def query_len(col: Column) -> Column:
-    return _length(col, QUERY_OPS)
 
+def query_len(col: Column, parsed: bool = False) -> Column:
+    return _length(col, QUERY_OPS, parsed)
 
-def has_indels(col: Column) -> Column:
-    return F.exists(ciglets(col), lambda c: c["op"].isin("I", "D"))
 
+def has_indels(col: Column, parsed: bool = False) -> Column:
+    return F.exists(_ops(col, parsed), lambda c: c["op"].isin("I", "D"))
 
-def expanded(col: Column) -> Column:
+
+def expanded(col: Column, parsed: bool = False) -> Column:
     """One operation a base."""
-    return F.array_join(F.transform(ciglets(col), lambda c: F.repeat(c["op"], c["inc"].cast("int"))), "")
+    return F.array_join(F.transform(_ops(col, parsed), lambda c: F.repeat(c["op"], c["inc"].cast("int"))), "")
 
 
 def of_ciglets(states: Column) -> Column:
@@ -79,8 +89,8 @@ def merged(states: Column) -> Column:
     return F.aggregate(states, F.array().cast("array<struct<inc: bigint, op: string>>"), step)
 
 
-def reversed_cigar(col: Column) -> Column:
-    return of_ciglets(F.reverse(ciglets(col)))
+def reversed_cigar(col: Column, parsed: bool = False) -> Column:
+    return of_ciglets(F.reverse(_ops(col, parsed)))
 
 
 def clipped(col: Column) -> Column:
@@ -128,23 +138,46 @@ def cursors(cigar: Column, ref_start: Column) -> Column:
 def aligned_pair(ref: Column, query: Column, cigar: Column, ref_start: Column) -> Column:
     """(ref, query) with gaps: ``-`` in the query for D, in the reference for I, N for N; S skips the query; H and P nothing.
 
-    One pass over the operations and their cursors. Sequences are cut into letters, as substrings would be counted from their start
-    at every operation.
+    One pass over the operations of each row, in Arrow batches: as expressions this took a millisecond a row.
     """
-    letters = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
-    # letter by letter: a slice would copy the whole array for each operation
-    cut = lambda x, at, n: F.when(n > 0, F.array_join(F.transform(F.sequence(at, at + n - 1), lambda i: F.get(x, i.cast("int"))), "")).otherwise("")
-    filled = lambda c, n: F.repeat(F.lit(c), n.cast("int"))
-    parts = F.array(F.struct(letters(ref).alias("r"), letters(query).alias("q"), cursors(cigar, ref_start.cast("bigint")).alias("c")))
-
-    def rows(p: Column) -> Column:
-        of_ref = F.transform(p["c"], lambda c: F.when(c["op"].isin(*REF_OPS), cut(p["r"], c["ref"], c["inc"])).when(c["op"] == "I", filled("-", c["inc"])).otherwise(""))
-        of_query = F.transform(p["c"], lambda c: F.when(c["op"].isin("M", "I", "=", "X"), cut(p["q"], c["query"], c["inc"])).when(c["op"] == "D", filled("-", c["inc"])).when(c["op"] == "N", filled("N", c["inc"])).otherwise(""))
-        return F.struct(F.array_join(of_ref, "").alias("ref"), F.array_join(of_query, "").alias("query"))
-
-    whole = ref.isNotNull() & query.isNotNull() & cigar.isNotNull() & ref_start.isNotNull()
-    none = F.lit(None).cast("string")
-    return F.when(whole, F.get(F.transform(parts, rows), F.lit(0))).otherwise(F.struct(none.alias("ref"), none.alias("query")))
+    from strandlake.shipping import ship
+
+    ship()
+
+    @F.pandas_udf("ref string, query string")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, start: pd.Series) -> pd.DataFrame:
+        rows = [gapped(w, x, y, int(z)) if isinstance(w, str) and isinstance(x, str) and isinstance(y, str) and z == z and z is not None else (None, None) for w, x, y, z in zip(a, b, c, start, strict=True)]
+        return pd.DataFrame(rows, columns=["ref", "query"], dtype=object)
+
+    return run(ref, query, cigar, ref_start.cast("bigint"))
+
+
+_CIGLET = re.compile(f"([0-9]+)([{OPS}])")
+
+
+def _parsed(cigar: str) -> list[tuple[int | None, str]]:
+    """As ``ciglets``: up to the first malformed place, None for a length beyond 64 bits."""
+    out, at = [], 0
+    while found := _CIGLET.match(cigar, at):
+        n, at = int(found[1]), found.end()
+        out.append((n if n < 1 << 63 else None, found[2]))
+    return out
+
+
+def gapped(ref: str, query: str, cigar: str, ref_start: int) -> tuple[str, str]:
+    """Both rows of one alignment."""
+    r, q = ref_start, 0
+    of_ref, of_query = [], []
+    cut = lambda x, at, n: "" if at is None or n is None else x[max(at, 0) : max(at + n, 0)]
+    for n, op in _parsed(cigar):
+        filled = n or 0
+        of_ref.append(cut(ref, r, n) if op in REF_OPS else "-" * filled if op == "I" else "")
+        of_query.append(cut(query, q, n) if op in "MI=X" else "-" * filled if op == "D" else "N" * filled if op == "N" else "")
+        if op in REF_OPS:
+            r = None if r is None or n is None else r + n
+        if op in QUERY_OPS:
+            q = None if q is None or n is None else q + n
+    return "".join(of_ref), "".join(of_query)
 
 
 def inverted(cigar: Column) -> Column:

@@ -43,6 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys over all cores: a table of few bytes has few scan splits, however much work its rows make."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def dna(text: str) -> Column:
     return F.translate(F.upper(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^ACGTUNacgtun]+", "")), "U", "T")
 
@@ -399,8 +405,9 @@ def _with_cigar(spark, sf_dir):
     f"from (select *, {_CIGAR} as cigar from lineitem)"
 )
 def cigar_algebra(spark, sf_dir):
-    c = F.col("cigar")
-    return _with_cigar(spark, sf_dir).select("l_orderkey", "l_linenumber", "cigar", cg.is_valid(c).alias("valid"), cg.ref_len(c).alias("ref_len"), cg.query_len(c).alias("query_len"), cg.has_indels(c).alias("indels"), cg.expanded(c).alias("expanded"), cg.reversed_cigar(c).alias("reversed"))
+    c, ops = F.col("cigar"), F.col("ops")
+    rows = _with_cigar(spark, sf_dir).select("l_orderkey", "l_linenumber", "cigar", cg.ciglets(c).alias("ops"))
+    return rows.select("l_orderkey", "l_linenumber", "cigar", cg.is_valid(c).alias("valid"), cg.ref_len(ops, True).alias("ref_len"), cg.query_len(ops, True).alias("query_len"), cg.has_indels(ops, True).alias("indels"), cg.expanded(ops, True).alias("expanded"), cg.reversed_cigar(ops, True).alias("reversed"))
 
 
 def _sam(spark, sf_dir):
