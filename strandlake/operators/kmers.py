@@ -134,6 +134,12 @@ def find_all(df: DataFrame, id_: str, seq: str, collection: DataFrame, k: int, *
     return found.select(id_, F.col("pos").cast("bigint").alias("start"), (F.col("pos") + k).cast("bigint").alias("end"))
 
 
+def find_ends(df: DataFrame, id_: str, seq: str, collection: DataFrame, k: int, *, bits: int = 3) -> DataFrame:
+    """(id, first_start, last_start, last_end): the leftmost and the rightmost place of each row, in one pass."""
+    ends = find_all(df, id_, seq, collection, k, bits=bits).groupBy(id_).agg(F.min("start").alias("first_start"), F.max("start").alias("last_start"))
+    return ends.withColumn("last_end", F.col("last_start") + k)
+
+
 def find_first(df: DataFrame, id_: str, seq: str, collection: DataFrame, k: int, *, bits: int = 3, reverse: bool = False) -> DataFrame:
     """The leftmost place of each row, or the rightmost."""
     pick = F.max("start") if reverse else F.min("start")

@@ -18,7 +18,7 @@ from strandlake.operators import phmm
 from strandlake.operators import sam as sm
 from strandlake.operators import sampling as sp
 from strandlake.operators import trimming as tr
-from strandlake.plans.queries import DNA, QUAL, SEQ, T, _sam, dna, iupac, quality, query, table
+from strandlake.plans.queries import DNA, QUAL, SEQ, T, _sam, dealt, dna, iupac, quality, query, table
 from strandlake.sources import fasta, fastq, sam
 from strandlake.sources.scratch import scratch
 
@@ -206,8 +206,7 @@ def composition_forms(spark, sf_dir):
 def kmer_first_and_last(spark, sf_dir):
     probe = km.kmer_set(table(spark, sf_dir, "benchmark").select(dna(T).alias("s")), "s", 9)
     docs = table(spark, sf_dir, "documents").select("doc_id", dna(T).alias("s"))
-    a, b = (km.find_first(docs, "doc_id", "s", probe, 9, reverse=r) for r in (False, True))
-    return a.select("doc_id", F.col("start").alias("first_start")).join(b.select("doc_id", F.col("start").alias("last_start"), F.col("end").alias("last_end")), "doc_id")
+    return km.find_ends(docs, "doc_id", "s", probe, 9)
 
 
 @query(f"select item_id, pos, kmer, kmer as decoded, cast(list_sum([case substring(kmer, i, 1) when 'C' then 1 when 'G' then 2 when 'T' then 3 else 0 end * (cast(1 as bigint) << (2 * (40 - i))) for i in range(10, 41)]) as bigint) % 4611686018427387904 as low_part from (select item_id, unnest(range(0, length(s) - 39)) as pos, substring(s, pos + 1, 40) as kmer from (select item_id, replace({DNA}, 'N', 'A') as s from benchmark))")
@@ -258,7 +257,8 @@ def _recurrence(mode: str, match: int, mismatch: int, go: int, ge_: int, band: i
 
 def _short_pairs(spark, sf_dir):
     letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]+", "")
-    return table(spark, sf_dir, "part").select("p_partkey", letters("p_name").alias("ref"), letters("p_type").alias("query")).where("ref <> '' and query <> ''")
+    pairs = table(spark, sf_dir, "part").select("p_partkey", letters("p_name").alias("ref"), letters("p_type").alias("query")).where("ref <> '' and query <> ''")
+    return dealt(pairs, "p_partkey")
 
 
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -305,7 +305,8 @@ def pre_filter_never_rejects(spark, sf_dir):
 )
 def alignment_algebra(spark, sf_dir):
     """Alignments of a known path, inverted, turned, written out, compared letter by letter and cut to a range."""
-    rows = _sam(spark, sf_dir).withColumn("q", cg.query_len(F.col("cigar"))).withColumn("r", cg.ref_len(F.col("cigar")))
+    rows = _sam(spark, sf_dir).withColumn("ops", cg.ciglets(F.col("cigar")))
+    rows = rows.withColumn("q", cg.query_len(F.col("ops"), True)).withColumn("r", cg.ref_len(F.col("ops"), True)).drop("ops")
     a = F.struct(F.lit("Some").alias("status"), F.lit(1).cast("bigint").alias("score"), F.col("pos").alias("ref_start"), (F.col("pos") + F.col("r")).alias("ref_end"), F.lit(0).cast("bigint").alias("query_start"), F.col("q").alias("query_end"), F.col("cigar").alias("cigar"), (F.col("pos") + F.col("r") + 7).alias("ref_len"), F.col("q").alias("query_len"))
     rows = rows.withColumn("a", a)
     # sequences whose aligned letters differ
@@ -425,4 +426,4 @@ def phmm_scores(spark, sf_dir):
     model = phmm.parse(phmm.to_text(_two_states()))
     s = F.regexp_replace(F.upper("p_name"), "[^ACGT]+", "")
     rows = table(spark, sf_dir, "part").select("p_partkey", s.alias("sequence")).where("sequence <> ''")
-    return rows.select("p_partkey", "sequence", phmm.align(F.col("sequence"), model, "global").alias("a")).select("p_partkey", "sequence", F.round("a.score", 6).alias("score"))
+    return dealt(rows, "p_partkey").select("p_partkey", "sequence", phmm.align(F.col("sequence"), model, "global").alias("a")).select("p_partkey", "sequence", F.round("a.score", 6).alias("score"))
