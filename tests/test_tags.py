@@ -79,3 +79,18 @@ def test_float_text_reads_back(spark):
     assert [r["t"] for r in got[: len(fixed)]] == [t for _, t in fixed]
     for r in got:
         assert "e" not in r["t"].lower() and struct.pack("f", float(r["t"])) == struct.pack("f", r["x"])
+
+
+def test_fields_are_read_outside_of_lambdas(spark):
+    """Rows are cut before they are judged, and lookups judge only the field that they find, with the same faults."""
+    df = spark.createDataFrame([(i, [x]) for i, x in enumerate([*ALL, *BAD])], "id int, o array<string>")
+    rows = tg.rows(df, "o", ("id",), "PERMISSIVE")
+    v = F.col("v")
+    looked = df.select("id", tg.parsed(F.col("o")).alias("v"))
+    faults = looked.select("id", F.coalesce(*[tg.fault(v, t) for t in dict.fromkeys(x[:2] for x in ALL)]).alias("fault"))
+    assert {r["id"]: r["_corrupt_record"] for r in rows.collect()} == {r["id"]: r["fault"] for r in faults.collect()}
+    inside = df.select("id", F.explode(tg.members(F.col("o"))).alias("m")).select("id", "m.tag", "m.type", F.expr("cast(m.value as string)"), "m.fault")
+    assert sorted(inside.collect(), key=str) == sorted(rows.select("id", "tag", "type", F.expr("cast(value as string)"), "_corrupt_record").collect(), key=str)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(transform" not in plan(rows)
+    assert "variant" not in plan(looked.select(tg.integer(v, "AS"))).lower()
