@@ -1,10 +1,12 @@
-"""Base composition and Phred quality as native expressions."""
+"""Base composition as native expressions, and Phred quality; statistics of scores are made in Arrow batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.functions import batches
+
 SLOTS = ("a", "c", "g", "t", "n", "gap", "other", "invalid")
 #: The characters of each slot but the last; a dot counts as other, not as a gap.
 _SLOT_CHARS = {"a": "Aa", "c": "Cc", "g": "Gg", "t": "TtUu", "n": "Nn", "gap": "\\-", "other": "RYSWKMBDHVryswkmbdhv."}
@@ -54,29 +56,26 @@ def phred(col: Column) -> Column:
 
 
 def min_q(col: Column) -> Column:
-    return F.array_min(phred(col))
+    return batches.score_statistics(col)["min"]
 
 
 def max_q(col: Column) -> Column:
-    return F.array_max(phred(col))
+    return batches.score_statistics(col)["max"]
 
 
 def median_q(col: Column) -> Column:
     """The median score; of an even number the mean of the middle two; null if there is none."""
-    s, n = F.sort_array(phred(col)), F.length(col)
-    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, ((F.get(s, low) + F.get(s, high)) / 2).cast("float"))
+    return batches.score_statistics(col)["median"]
 
 
 def geometric_mean_q(col: Column) -> Column:
     """The mean of the scores, which is that of the geometric mean of the errors."""
-    return F.when(F.length(col) > 0, (F.aggregate(phred(col), F.lit(0).cast("bigint"), lambda a, x: a + x) / F.length(col)).cast("float"))
+    return batches.score_statistics(col)["geometric_mean"]
 
 
 def arithmetic_mean_q(col: Column) -> Column:
     """The score of the mean error."""
-    error = F.aggregate(phred(col), F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), -x / 10.0))
-    return F.when(F.length(col) > 0, (-10 * F.log10(error / F.length(col))).cast("float"))
+    return batches.score_statistics(col)["arithmetic_mean"]
 
 
 def error_of_q(q: Column) -> Column:
