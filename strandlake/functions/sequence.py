@@ -10,6 +10,7 @@ from itertools import product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.functions import batches
 from strandlake.functions.alphabets import AMBIGUITY, COMPLEMENT, RECODE, REFINE, VALID, ByteMap, both_cases, char_class, genetic_code
 
 
@@ -200,8 +201,7 @@ def get_amino_acid(codon: Column) -> Column:
 
 def translate(col: Column, partial: str = "~", exact: bool = False) -> Column:
     """Residues of all codons in frame 0; a trailing partial codon counts unless ``exact``."""
-    table = _table(partial)
-    body = F.array_join(F.transform(codons(F.upper(col)), lambda c: _place(c, table)), "")
+    body = batches.residues(F.upper(col), partial, 3)
     return body if exact else F.concat(body, F.when(F.length(col) % 3 > 0, F.lit(partial)).otherwise(F.lit("")))
 
 
@@ -212,20 +212,22 @@ def translate_to_stop(col: Column) -> Column:
 
 def translate_overlapping(col: Column) -> Column:
     """The residue of each window of three, in all frames."""
-    table = _table(None)
-    windows = F.regexp_extract_all(F.upper(col), F.lit("(?s)(?=(...))"), F.lit(1))
-    return F.array_join(F.transform(windows, lambda w: _place(w, table)), "")
+    return batches.residues(F.upper(col), None, 1)
+
+
+def _from(col: Column, start: int) -> Column:
+    return F.substring(col, start + 1, 1 << 30) if start > 0 else col
 
 
 def find_next_aa(col: Column, aa: str, start: int = 0) -> Column:
     """The first base from ``start`` on whose window of three translates to aa, in any frame."""
-    return _found(F.locate(aa.upper(), translate_overlapping(F.substring(col, start + 1, 1 << 30))), start)
+    return _found(F.locate(aa.upper(), translate_overlapping(_from(col, start))), start)
 
 
 def find_next_aa_in_frame(col: Column, aa: str, start: int = 0) -> Column:
     """The first base of a codon, in the frame of the whole sequence, from ``start`` on that translates to aa."""
     begin = -(-start // 3) * 3
-    at = F.locate(aa.upper(), translate(F.substring(col, begin + 1, 1 << 30), exact=True))
+    at = F.locate(aa.upper(), translate(_from(col, begin), exact=True))
     return F.when(at > 0, (at - 1) * 3 + begin)
 
 
