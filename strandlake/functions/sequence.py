@@ -50,7 +50,7 @@ def maybe_base(col: Column, bases: str) -> Column:
 
 
 def recode_dna(col: Column, strategy: str) -> Column:
-    return RECODE[strategy].apply(col)
+    return batches.mapped(col, RECODE[strategy])
 
 
 def recode_dna_reads(col: Column) -> Column:
@@ -62,7 +62,7 @@ def recode_dna_aligned(col: Column) -> Column:
 
 
 def retain_and_recode_dna(col: Column, strategy: str) -> Column:
-    return REFINE[strategy].apply(col)
+    return batches.mapped(col, REFINE[strategy])
 
 
 def filter_to_dna(col: Column) -> Column:
