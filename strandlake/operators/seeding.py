@@ -3,7 +3,7 @@
 Both sides are reduced to minimizers: of each ``w`` neighbouring k-mers the one that an order puts first. Sequences that share
 ``w + k - 1`` bases in a row share a minimizer at the same place, so seeds that are joined by equality propose every such pair and
 no other is looked at. Hits are told apart by their diagonal (place in the reference less place in the query), counted there, or
-chained: hits of a band of diagonals in a block of the reference make one small group, in which a fold finds the best collinear chain.
+chained over the whole of both sequences (``collinear``).
 
 Seeds that many references have are split: their references are dealt to several keys, to each of which the queries' rows are
 sent. No seed and no hit is left out.
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import reverse_complement
+from strandlake.operators.collinear import RESULT, best_chains
 from strandlake.operators.superkmers import least_of
 from strandlake.sources.scratch import scratch
 
@@ -27,8 +28,6 @@ PIECE = 128
 HOT = 1000
 #: Seeds of more references are broadcast up to so many, else joined.
 BROADCAST_SEEDS = 1_000_000
-#: Diagonals of a band, and bases of a block; a chain over half of either lies in one group.
-BAND, BLOCK = 128, 8192
 
 
 def minimizers(df: DataFrame, id_: str, seq: str, k: int = K, w: int = W, order: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -102,38 +101,24 @@ def ungapped(query: Column, ref: Column, diag: Column) -> Column:
     return F.struct(same.alias("matches"), n.alias("length"))
 
 
-def chains(found: DataFrame, k: int = K, band: int = BAND, block: int = BLOCK) -> DataFrame:
+def chains(found: DataFrame, k: int = K, band: int | None = None, block: int | None = None) -> DataFrame:
     """(query, ref, score, n_seeds, query_start, query_end, ref_start, ref_end): the best collinear chain of each pair.
 
     Of two chained hits both places ascend; a hit adds the bases that the one before it has not covered, less a quarter of
     the diagonals between them (rounded down). Equal scores: the least start in the reference, then in the query.
-    Groups hold hits of ``band`` diagonals in ``block`` bases of the reference. Bands and blocks overlap by half.
+    A chain may have any of a pair's hits. Only where the caller asks for it, it stays within a ``band`` of diagonals or a ``block`` of
+    bases of the reference; bands and blocks overlap by half.
     """
     halves = lambda x, size: F.array(F.floor(x * 2 / size).cast("bigint"), (F.floor(x * 2 / size) - 1).cast("bigint"))
-    placed = found.select("query", "ref", "query_pos", "ref_pos", F.explode(halves(F.col("diag"), band)).alias("band"), "diag")
-    placed = placed.select("query", "ref", "query_pos", "ref_pos", "band", F.explode(halves(F.col("ref_pos"), block)).alias("block"))
-    groups = placed.groupBy("query", "ref", "band", "block").agg(F.array_sort(F.collect_set(F.struct(F.col("ref_pos").cast("bigint").alias("r"), F.col("query_pos").cast("bigint").alias("q")))).alias("hits"))
-
-    def key(x: Column) -> Column:
-        return F.struct(x["score"].alias("score"), (-x["r0"]).alias("a"), (-x["q0"]).alias("b"), x["n"].alias("n"), x["r"].alias("r"), x["q"].alias("q"))
-
-    def step(done: Column, x: Column) -> Column:
-        alone = F.struct(F.lit(k).cast("bigint").alias("score"), (-x["r"]).alias("a"), (-x["q"]).alias("b"), F.lit(1).alias("n"), x["r"].alias("r"), x["q"].alias("q"))
-
-        def after(p: Column) -> Column:
-            dr, dq = x["r"] - p["r"], x["q"] - p["q"]
-            gain = F.least(dr, dq, F.lit(k).cast("bigint")) - F.floor(F.abs(dr - dq) / 4)
-            joined = F.struct((p["score"] + gain).alias("score"), (-p["r0"]).alias("a"), (-p["q0"]).alias("b"), (p["n"] + 1).alias("n"), x["r"].alias("r"), x["q"].alias("q"))
-            return F.when((dr > 0) & (dq > 0), joined)
-
-        best = F.array_max(F.concat(F.array(alone), F.filter(F.transform(done, after), lambda y: y.isNotNull())))
-        end = F.struct(best["score"].alias("score"), (-best["a"]).alias("r0"), (-best["b"]).alias("q0"), best["n"].alias("n"), best["r"].alias("r"), best["q"].alias("q"))
-        return F.concat(done, F.array(end))
-
-    none = F.array().cast("array<struct<score:bigint,r0:bigint,q0:bigint,n:int,r:bigint,q:bigint>>")
-    best = F.array_max(F.transform(F.aggregate("hits", none, step), key))
-    top = groups.select("query", "ref", best.alias("b")).groupBy("query", "ref").agg(F.max("b").alias("b"))
-    return top.select("query", "ref", F.col("b.score").alias("score"), F.col("b.n").alias("n_seeds"), (-F.col("b.b")).alias("query_start"), (F.col("b.q") + k).alias("query_end"), (-F.col("b.a")).alias("ref_start"), (F.col("b.r") + k).alias("ref_end"))
+    hits_, keys = found.select("query", "ref", F.col("ref_pos").alias("r"), F.col("query_pos").alias("q"), "diag"), ["query", "ref"]
+    for name, x, size in (("band", "diag", band), ("block", "r", block)):
+        if size is not None:
+            hits_, keys = hits_.withColumn(name, F.explode(halves(F.col(x), size))), [*keys, name]
+    best = best_chains(hits_, keys, k)
+    if len(keys) > 2:  # the best of a pair's groups
+        top = F.struct("score", (-F.col("ref_start")).alias("a"), (-F.col("query_start")).alias("b"), "n_seeds", "ref_end", "query_end")
+        best = best.groupBy("query", "ref").agg(F.max_by(F.struct(*RESULT), top).alias("x")).select("query", "ref", "x.*")
+    return best
 
 
 def best_references(chained: DataFrame) -> DataFrame:

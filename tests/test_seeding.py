@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import seeding as sd
+from strandlake.operators.collinear import Many, best_chains
 
 
 def bases(rnd, n, letters="ACGT"):
@@ -115,6 +116,58 @@ def test_chains(spark):
     assert top == {q: max(s for (a, _), (s, *_) in got.items() if a == q) for q in top} and len(top) == len({q for q, _ in pairs})
 
 
+def scattered(rnd):
+    """Hits of pairs: a gap of 300 diagonals, 21,000 bases of one diagonal, runs at any place, and repeats that hit everywhere."""
+    far = [(12 * i, 12 * i) for i in range(60)] + [(1020 + 12 * i, 720 + 12 * i) for i in range(60)]
+    long = [(300 * i, 300 * i) for i in range(70)]
+    runs = {(r + 5 * i, q + 5 * i) for _ in range(9) for r, q in [(rnd.randrange(30000), rnd.randrange(900))] for i in range(rnd.randint(1, 12))}
+    repeats = [(r, q) for r in range(40, 62) for q in range(0, 18)]
+    return {("a", 1): far, ("a", 2): long, ("b", 1): sorted(runs), ("b", 2): repeats, ("c", 1): [(5, 7)], ("c", 3): [(5, 7), (5, 9), (6, 8)]}
+
+
+def test_chains_over_whole_pairs(spark):
+    k, pairs = 12, scattered(random.Random(4))
+    found = spark.createDataFrame([(a, b, q, r, r - q) for (a, b), hs in pairs.items() for r, q in hs], "query string, ref int, query_pos int, ref_pos int, diag int")
+    expected = {pair: literal_chain(hs, k) for pair, hs in pairs.items()}
+
+    def of(df):
+        return {(x["query"], x["ref"]): (x["score"], -x["ref_start"], -x["query_start"], x["n_seeds"], x["ref_end"] - k, x["query_end"] - k) for x in df.collect()}
+
+    assert expected["a", 1][3] == 120 and expected["a", 2][3] == 70
+    assert of(sd.chains(found, k)) == expected
+    # pairs of many hits go through staircases, pairs of all sizes go on in other batches
+    hits = found.select("query", "ref", F.col("ref_pos").alias("r"), F.col("query_pos").alias("q"))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "7")
+        for many in (0, 3, 80, 2048):
+            assert of(best_chains(hits, ["query", "ref"], k, many)) == expected
+    finally:
+        spark.conf.set(size, before)
+    assert sd.chains(found.where("false"), k).collect() == []
+
+
+def test_chains_of_many_hits():
+    rnd = random.Random(9)
+    for _ in range(60):
+        k, (m, n) = rnd.choice([1, 2, 5, 12]), rnd.choice([(6, 6), (30, 20), (400, 30), (30, 400), (90000, 300)])
+        hs = {(rnd.randrange(m), rnd.randrange(n)) for _ in range(rnd.randint(1, 80))}
+        hs |= {(r + 3 * i, q + 3 * i) for r, q in list(hs)[:3] for i in range(rnd.randint(1, 25))}
+        pair = Many(k, max(q for _, q in hs))
+        for r, q in sorted(hs):
+            pair.add(r, q)
+        s, a, b, c, r, q = literal_chain(hs, k)
+        assert pair.result() == [s, c, -b, q + k, -a, r + k]
+    # letters that all hit: what is held follows the query, not the hits
+    pair, held = Many(8, 29), []
+    for r in range(600):
+        for q in range(30):
+            pair.add(r, q)
+        held.append(sum(len(x.at) for f in (*pair.columns.values(), *pair.tree.values(), pair.above) for x in f))
+    assert max(held[300:]) <= 2 * max(held[:300])
+
+
 def test_ungapped(spark):
     rnd = random.Random(3)
     rows = [(bases(rnd, rnd.randint(0, 12), "AC"), bases(rnd, rnd.randint(0, 12), "AC"), d) for d in range(-15, 16)]
